@@ -33,7 +33,8 @@ DOCS_PER_LANGUAGE = 250
 SEQUENCES, SEQUENCE_WORDS, EPOCHS = 1600, 60, 40
 NGRAM_BITS, WORD_BITS = 14, 17
 UNKNOWN = "und"
-BATCH_CHARS = 1 << 21
+#: Texts whose recursions run together, and texts whose features are made together.
+BATCH_CHARS, PART_CHARS = 1 << 23, 1 << 19
 _letters: list[np.ndarray] = []
 
 
@@ -75,9 +76,9 @@ def features(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray],
     # a sum over a word's letters that depends on their order, from prefix sums
     n = len(cp)
     place = np.arange(n, dtype=np.uint64)
-    word_of = np.zeros(n + 1, np.int64)
-    np.add.at(word_of, starts, 1)
-    index = place - starts.astype(np.uint64)[np.maximum(np.cumsum(word_of[:n]) - 1, 0)] if len(starts) else place
+    begun = np.zeros(n, np.uint64)
+    begun[starts] = starts.astype(np.uint64) - np.concatenate((np.zeros(1, np.uint64), starts[:-1].astype(np.uint64)))[: len(starts)]
+    index = place - np.cumsum(begun)
     spread = (c0 + np.uint64(7)) * (index * np.uint64(2) + np.uint64(0xD1B54A32D192ED03))
     spread ^= spread >> np.uint64(29)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread * np.uint64(0xBF58476D1CE4E5B9))))
@@ -152,6 +153,17 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, start: np.ndarray,
     return forward / forward.sum(axis=1, keepdims=True)
 
 
+def word_scores(field: Field, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where each text begins and how many words it has; each word's start, stop and scores."""
+    parts, at = [], 0
+    for a, b in chunks_of(sizes, PART_CHARS):
+        cp, begin = code_points(texts[a:b])
+        starts, stops, local = field.scores(cp)
+        parts.append((begin[:-1] + at, np.diff(np.searchsorted(starts, begin)), starts + at, stops + at, local))
+        at += len(cp)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
 def train(texts: list[str], langs: list[str], seed: int = 7) -> Field | None:
     """Maximum likelihood with L2 by Adam over sequences made of pieces of texts."""
     cp, begin = code_points(texts)
@@ -266,11 +278,9 @@ def labelled(df: DataFrame, field: Field | None, text_col: str = "text", spans:
                     langs, scores, counts = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
                     starts = stops = best = np.zeros(0, np.int64)
                     p = np.zeros((0, 1))
-                    begin = np.zeros(n + 1, np.int64)
+                    begin = np.zeros(n, np.int64)
                 else:
-                    cp, begin = code_points(texts)
-                    starts, stops, local = field.scores(cp)
-                    counts = np.diff(np.searchsorted(starts, begin))
+                    begin, counts, starts, stops, local = word_scores(field, texts, sizes[lo:hi])
                     p = forward_backward(local, counts, field.start, field.step)
                     share = np.zeros((n, len(field.labels)))
                     some = np.flatnonzero(counts)
@@ -282,7 +292,7 @@ def labelled(df: DataFrame, field: Field | None, text_col: str = "text", spans:
                     best = p.argmax(axis=1)
                 columns = [batch.column(i) for i in range(1, batch.num_columns)] + [pa.array(langs, pa.string()), pa.array(scores)]
                 if spans:
-                    shift = np.repeat(begin[:-1], counts)
+                    shift = np.repeat(begin, counts)
                     parts = [pa.array((starts - shift).astype(np.int32)), pa.array((stops - shift).astype(np.int32)), pa.array([field.labels[i] for i in best.tolist()] if field else [], pa.string()), pa.array(p.max(axis=1).astype(np.float32) if len(p) else np.zeros(0, np.float32))]
                     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, ["start", "end", "lang", "p"])))
