@@ -32,11 +32,17 @@ from ladle.llm.components import components
 from ladle.session import ensure_checkpoint_dir
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
+#: For `keep_one`: bits by which near copies' word fingerprints may differ, blocks of bits of which two
+#: must agree, words of a verified shingle, and the similarity of the shingle sets.
+WIDE_RADIUS, WIDE_BLOCKS, VERIFIED_SHINGLE, SIMILARITY = 10, 8, 5, 0.8
+SKETCH = 64
 
 
-def simhash(text: str, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text as an unsigned number."""
+def simhash(text: str, shingle: int = SHINGLE, distinct: bool = False) -> int:
+    """The fingerprint of one text as an unsigned number; distinct: over its different words, each once."""
     words = text.encode().lower().split()
+    if distinct:
+        words = list(set(words))
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -57,16 +63,16 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for each row."""
+def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), th (hash of the whole text) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            prints = np.array([simhash(t, shingle, distinct) for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["doc_id", "fp", "th"])
 
-    docs = keyed_text(df, id_col, text_col)
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    docs = keyed_text(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint, th bigint")
 
 
 class LinkedTree:
@@ -133,9 +139,10 @@ class LinkedTree:
             node = child
 
 
-def shard_links(df: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """u, v: links between distinct fingerprints `fp` that join all that lie within the radius."""
-    blocks = radius + 2
+def shard_links(df: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """u, v: links between distinct fingerprints `fp` that join all that lie within the radius; with
+    fewer than radius + 2 blocks, all that also agree in two blocks."""
+    blocks = blocks or radius + 2
     edges = [64 * i // blocks for i in range(blocks + 1)]
     parts = [F.shiftrightunsigned("fp", edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1) for i in range(blocks)]
     width = 64 // blocks + 1
@@ -169,19 +176,127 @@ def shard_links(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     return shards.mapInArrow(run, "u bigint, v bigint")
 
 
+def _with_roots(prints: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
+    """prints and root, a fingerprint that stands for its component."""
+    nodes = prints.select("fp").distinct()
+    roots = components(shard_links(nodes, radius, blocks))
+    return prints.join(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "fp")
+
+
+def _least(id_col: str = "doc_id"):
+    """The smallest id, null before all others."""
+    return F.min(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id")))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id (the smallest id reachable over links) for each row."""
     ensure_checkpoint_dir(df.sparkSession)
     prints = fingerprint_documents(df, id_col, text_col, shingle).checkpoint()
-    nodes = prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("least"))
+    nodes = prints.groupBy("fp").agg(_least().alias("least"))
     roots = components(shard_links(nodes.select("fp"), radius))
     labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("least").alias("smallest"))
-    component = labelled.join(least, "root").select("fp", F.col("smallest.doc_id").alias("component_id"))
+    component = labelled.join(least, "root").select("fp", F.col("smallest.id").alias("component_id"))
     return prints.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of df that stand for their component: those of its smallest id, once."""
-    kept = near_duplicates(df, id_col, text_col, shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+def shingle_hashes(text: str, size: int = VERIFIED_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct word shingles of a text (of all its words, if they are fewer)."""
+    words = text.encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))], np.uint64))
+
+
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """The least of `SKETCH` orders of the hashes."""
+    k = np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    out = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        x = hashes[at : at + 4096, None] ^ k
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        out = np.minimum(out, (x ^ (x >> np.uint64(32))).min(axis=0))
+    return out
+
+
+class Verified:
+    """Groups of texts whose shingle sets are similar, directly or through others."""
+
+    def __init__(self, similarity: float):
+        self.similarity = similarity
+        self.sets: list[np.ndarray] = []
+        self.sketches = np.zeros((16, SKETCH), np.uint64)
+        self.parent: list[int] = []
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def add(self, text: str) -> None:
+        me, own = len(self.sets), shingle_hashes(text)
+        sketch = _sketch(own)
+        self.parent.append(me)
+        if me:
+            # at 0.8 the share of equal values is under 0.5 once in ten million
+            agree = (self.sketches[:me] == sketch).mean(axis=1)
+            for other in np.argsort(-agree, kind="stable")[: int((agree >= self.similarity - 0.3).sum())].tolist():
+                if self.find(other) != self.find(me):
+                    a = self.sets[other]
+                    shared = len(np.intersect1d(a, own, assume_unique=True))
+                    if shared >= self.similarity * (len(a) + len(own) - shared) - 1e-9:
+                        self.parent[self.find(me)] = self.find(other)
+        if me == len(self.sketches):
+            self.sketches = np.concatenate((self.sketches, np.zeros_like(self.sketches)))
+        self.sketches[me] = sketch
+        self.sets.append(own)
+
+
+def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, blocks: int = WIDE_BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, th, group_id (the smallest id of the group) for each row.
+
+    The fingerprints are over distinct words, which near copies share nearly all of; components of
+    fingerprints within the radius are taken apart into groups joined by pairs of texts whose shingle
+    sets have the similarity. Equal texts count once. A component's distinct texts meet in one task,
+    which holds their shingle hashes.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = fingerprint_documents(df, id_col, text_col, 1, True).checkpoint()
+    rooted = _with_roots(prints, radius, blocks)
+    texts = rooted.groupBy("root", "th").agg(_least().alias("least")).checkpoint()
+    mixed = texts.groupBy("root").count().filter("count > 1").select("root")
+    members = texts.join(mixed, "root").select("root", F.col("th").alias("m_th"), F.col("least.id").alias("m_id"))
+    docs = keyed_text(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
+    read = docs.join(members, docs["doc_id"].eqNullSafe(members["m_id"]) & (docs["th"] == members["m_th"])).select("root", "th", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, ths, groups = None, [], Verified(similarity)
+
+        def done() -> pa.RecordBatch:
+            heads = [ths[groups.find(i)] for i in range(len(ths))]
+            return pa.RecordBatch.from_arrays([pa.array([root] * len(ths), pa.int64()), pa.array(ths, pa.int64()), pa.array(heads, pa.int64())], ["root", "th", "head"])
+
+        for batch in batches:
+            for r, th, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if r != root:
+                    if ths:
+                        yield done()
+                    root, ths, groups = r, [], Verified(similarity)
+                if not ths or ths[-1] != th:  # rows with one id and one text come more than once
+                    ths.append(th)
+                    groups.add(text)
+        if ths:
+            yield done()
+
+    heads = read.repartition(n, "root").sortWithinPartitions("root", "th").mapInArrow(run, "root bigint, th bigint, head bigint")
+    labelled = texts.join(heads, ["root", "th"], "left").withColumn("head", F.coalesce("head", "th"))
+    least = labelled.groupBy("root", "head").agg(F.min("least").alias("smallest"))
+    group = labelled.join(least, ["root", "head"]).select("root", "th", F.col("smallest.id").alias("group_id"))
+    return rooted.join(group, ["root", "th"]).select("doc_id", "th", "group_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The rows of df that stand for their group: the row of its smallest id, once."""
+    kept = verified_groups(df, id_col, text_col, **more).filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])

@@ -332,7 +332,7 @@ def _resolve(length: int, gram: int):
     return run
 
 
-def _cut(names: list[str]):
+def _cut(names: list[str], as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
@@ -350,18 +350,20 @@ def _cut(names: list[str]):
                 for a, b in runs:
                     parts.append(text[at:a])
                     at = b
-                kept.append(b"".join([*parts, text[at:]]) if runs else text)
+                rest = b"".join([*parts, text[at:]]) if runs else text
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in names] + [pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
+                [batch.column(c) for c in names] + [pa.array(np.diff(offsets)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.string() if as_text else pa.binary())],
                 [*names, "n_bytes", "spans", "kept"],
             )
 
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
     """The columns of df without its text, and n_bytes, spans (array<struct<start, end>> of removed
-    bytes, maximal and in order) and kept (binary: the other bytes in order)."""
+    bytes, maximal and in order) and kept (binary: the other bytes in order; as_text: a string of them,
+    without what a cut has left of a character)."""
     ensure_checkpoint_dir(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = {c: f"c{i}" for i, c in enumerate(df.columns) if c != text_col}
@@ -385,6 +387,6 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = shared.filter("whole").select("id", "tk", (F.col("pos") - (length - gram)).alias("lo"), (F.col("pos") + length).alias("hi"))
     per_doc = whole.unionAll(part).groupBy("id", F.col("tk").alias("xtk")).agg(F.collect_list(F.struct("lo", "hi")).alias("items"))
     final = docs.join(per_doc, docs[key].eqNullSafe(per_doc["id"]) & (docs["tk"] == per_doc["xtk"]), "left").select("tk", "text", *names.values(), "items")
-    schema = ", ".join([*(f"{a} {docs.schema[a].dataType.simpleString()}" for a in names.values()), "n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"])
-    out = final.mapInArrow(_cut(list(names.values())), schema)
+    schema = ", ".join([*(f"{a} {docs.schema[a].dataType.simpleString()}" for a in names.values()), f"n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}"])
+    out = final.mapInArrow(_cut(list(names.values()), as_text), schema)
     return out.select(*[F.col(a).alias(c) for c, a in names.items()], "n_bytes", "spans", "kept")
