@@ -1 +1 @@
-
+"""Column functions: vectors, text, lemmas."""

@@ -1 +1 @@
-
+"""Operators over DataFrames: linking, taxonomies, flow graphs, triples, scoring, ranking."""

@@ -1 +1 @@
-
+"""Pipelines made of the operators."""
