@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,9 @@ from ladle.llm.common import chunks_of, list_array, string_bytes
 
 UNIT = re.compile(r" *[^ ]+| +")
 SPACE, LITERAL = 0x2581, 0x110000  # LITERAL stands for a U+2581 of the text
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 19
+UNIT_MASS = 1 << 40
+COMMON_LENGTH = 64
 ONE = np.uint64(1)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 _vocabularies: dict[int, "Vocabulary"] = {}
@@ -83,6 +86,7 @@ class Vocabulary:
         self.logp = -theta * np.log(rank + 2)
         self.longest = max(map(len, texts))
         self.bit = np.zeros(1 << self.BITS, bool)
+        self.common: tuple[dict[str, int], Lattice] | None = None
         self.by_length: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
         for size in range(1, self.longest + 1):
             some = [(p, i) for p, i in texts.items() if len(p) == size]
@@ -217,16 +221,16 @@ class Lattice:
             total = np.add.reduceat(e, first)
             reach[target[a:b][first]] = top + np.log(total)
             share[a:b] = e / np.repeat(total, repeat)
-        # arcs by target; the upper end of each arc's share of its node's unit of probability
+        # arcs by target; the upper end of each arc's part of its node's 2**40, in whole numbers, so
+        # that a draw does not depend on what else stands in the tables
         by = np.argsort(target * 64 + lengths)
         self.source, target, share = source[by], target[by], share[by]
-        first = np.concatenate(([True], target[1:] != target[:-1])) if len(target) else np.zeros(0, bool)
-        total = np.cumsum(share)
-        starts = np.flatnonzero(first)
-        before = np.repeat(total[starts] - share[starts], np.diff(np.append(starts, len(target))))
-        self.upper = target + np.minimum(total - before, 1.0)
-        if len(target):
-            self.upper[np.append(starts[1:], len(target)) - 1] = target[np.append(starts[1:], len(target)) - 1] + 1.0
+        width = (share * UNIT_MASS).astype(np.int64)
+        total = np.cumsum(width)
+        starts = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1]))) if len(target) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(target))
+        self.upper = total - np.repeat(total[starts] - width[starts], ends - starts)
+        self.upper[ends - 1] = UNIT_MASS
         self.first = np.zeros(nodes + 1, np.int64)  # where a node's arcs begin
         self.first[1:] = np.cumsum(np.bincount(target, minlength=nodes))
         # tokens of each arc
@@ -253,8 +257,8 @@ class Lattice:
         while len(live):
             at = node[live]
             r = _mix(keys[live] + (at - home[live]).astype(np.uint64) * MULT)
-            u = (r >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            arc, final, aim = self.first[at], self.first[at + 1] - 1, at + u
+            aim = (r >> np.uint64(24)).astype(np.int64)
+            arc, final = self.first[at], self.first[at + 1] - 1
             more = np.flatnonzero((self.upper[arc] <= aim) & (arc < final))
             while len(more):
                 arc[more] += 1
@@ -263,8 +267,8 @@ class Lattice:
             steps[live] += 1
             node[live] = self.source[arc]
             live = live[node[live] > home[live]]
-        if not drawn:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not len(parts):
+            return steps, np.zeros(0, np.int64)
         end = np.cumsum(steps)
         path = np.empty(int(end[-1]), np.int64)
         for k, (who, arc) in enumerate(drawn):
@@ -275,23 +279,50 @@ class Lattice:
         return per_part, self.flat[place]
 
 
+def common_parts(v: Vocabulary, units: list[str]) -> tuple[dict[str, int], Lattice]:
+    """A worker's first parts, filtered once and kept: they are mostly the frequent ones."""
+    if v.common is None:
+        known = {u: i for i, u in enumerate(dict.fromkeys([" ", *(u for u in units if len(u) <= COMMON_LENGTH)]))}
+        v.common = known, Lattice(v, list(known))
+    return v.common
+
+
+def sample_parts(v: Vocabulary, units: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens each part has, and all tokens in order."""
+    known, kept = common_parts(v, units)
+    others = Numbers()
+    get, number = known.get, others.__getitem__
+    numbers = np.fromiter(map(get, units, repeat(-1)), np.int64, len(units))
+    new = np.flatnonzero(numbers < 0)
+    old = np.flatnonzero(numbers >= 0)
+    fresh = np.fromiter((number(units[i]) for i in new.tolist()), np.int64, len(new))
+    sizes = np.empty(len(units), np.int64)
+    drawn = []
+    for lattice, where, parts in ((kept, old, numbers[old]), (Lattice(v, list(others)) if others else kept, new, fresh)):
+        count, tokens = lattice.sample(parts, keys[where])
+        sizes[where] = count
+        drawn.append((where, count, tokens))
+    begin = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.int64)
+    for where, count, tokens in drawn:
+        out[np.repeat(begin[where] - (np.cumsum(count) - count), count) + np.arange(len(tokens))] = tokens
+    return sizes, out
+
+
 def encode_many(v: Vocabulary, texts: list[str], keys: list[str], seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of tokens of each text, and all tokens."""
-    known = Numbers()
-    counts, numbers = [], []
-    find, number = UNIT.findall, known.__getitem__
+    counts, units = [], []
     for t in texts:
-        units = find(t)
-        counts.append(len(units))
-        numbers += map(number, units)
-    parts = np.array(numbers, np.int64)
+        found = UNIT.findall(t)
+        counts.append(len(found))
+        units += found
     counts = np.array(counts, np.int64)
-    if not len(parts):
-        return np.zeros(len(texts), np.int64), parts
+    if not units:
+        return np.zeros(len(texts), np.int64), np.zeros(0, np.int64)
     row = np.fromiter((xxhash.xxh64_intdigest(k, seed) for k in keys), np.uint64, len(keys))
-    within = np.arange(len(parts)) - np.repeat(np.cumsum(counts) - counts, counts)
+    within = np.arange(len(units)) - np.repeat(np.cumsum(counts) - counts, counts)
     random = _mix(np.repeat(row, counts) + (within.astype(np.uint64) + ONE) * np.uint64(0xD1B54A32D192ED03))
-    per_part, tokens = Lattice(v, list(known)).sample(parts, random)
+    per_part, tokens = sample_parts(v, units, random)
     sizes = np.zeros(len(texts), np.int64)
     some = np.flatnonzero(counts)
     sizes[some] = np.add.reduceat(per_part, (np.cumsum(counts) - counts)[some])
