@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ladle.queries import embedding, substitution, taxonomies, texts
+from ladle.queries import embedding, flows, substitution, taxonomies, texts
 
-MODULES = (substitution, texts, taxonomies, embedding)
+MODULES = (substitution, texts, taxonomies, embedding, flows)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE.items()}
