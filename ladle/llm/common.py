@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ladle.session import ensure_checkpoint_dir
+
 
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns only, so that other columns of the caller can't clash; a null text is empty."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared checkpoint folder: computed once, compressed, and safe from lost executors."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def chunks_of(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges whose sizes add up to `limit` at most, or that hold one row."""
     start, total = 0, 0
@@ -44,8 +56,3 @@ def list_array(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.A
     offsets = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
-
-
-def ascii_lower(c: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -89,4 +89,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
 }
-ORACLE: dict[str, str] = {}
+
+
+def _license_sql() -> str:
+    word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+    upper, lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+    sets = ", ".join(f"({i}, '{label}', {words}, {need})" for i, label, words, need in license_scan.template_sets())
+    hits = " UNION ALL ".join(
+        f"SELECT doc_id, '{label}' AS label, CAST(i - 1 AS BIGINT) AS place FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE " + " AND ".join(f"w[i + {k}] = '{part}'" for k, part in enumerate(phrase.split(" ")))
+        for phrase, label in license_scan.PHRASES
+    )
+    return f"""WITH x AS (SELECT doc_id, translate(coalesce(text, ''), {upper}, {lower}) AS t FROM documents), d AS (SELECT doc_id, regexp_extract_all(t, {word}) AS w FROM x),
+        h AS ({hits}), b AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list_sort(list(DISTINCT label)) AS labels FROM h GROUP BY doc_id),
+        tp(tid, label, words, need) AS (VALUES {sets}), l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, {word})) AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM x)),
+        m AS (SELECT doc_id, label, len(list_intersect(w, words)) / len(words) AS c FROM l, tp WHERE len(list_intersect(w, words)) >= need), f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM m GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, b.lo AS first_word, b.hi AS last_word, array_to_string(coalesce(b.labels, []), ',') AS base_labels,
+        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ',') AS labels, CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(f.c, 0) END AS score
+        FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN f ON d.doc_id = f.doc_id"""
+
+
+#: Per conversation what the rows themselves say; formatted_chars counts marks and escapes.
+CHAT_SQL = """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+    p AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before, length(replace(replace(text, chr(92), repeat(chr(92), 2)), '<|', '<' || chr(92) || '|')) AS escaped FROM c)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(escaped + CASE WHEN before = role THEN 10 ELSE 24 + length(role) END) AS BIGINT) AS formatted_chars, CAST(sum(CAST(before IS DISTINCT FROM role AS INT)) AS BIGINT) AS n_messages FROM p GROUP BY conv_id"""
+
+ORACLE: dict[str, str] = {"op1_license_scans": _license_sql(), "op10_chat_formatting": CHAT_SQL}
