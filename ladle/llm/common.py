@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +52,11 @@ def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def text_sizes(column: pa.Array) -> np.ndarray:
+    """Bytes of each row of a string column; 0 for null."""
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def list_array(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and the size of each row."""
     offsets = np.zeros(len(sizes) + 1, np.int32)

@@ -227,7 +227,7 @@ def with_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id:
     items = items.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
     shards = max(1, math.ceil(items.count() / shard_items))
     names = list(df.columns)
-    out = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.array().cast(LEAK).alias("leaks"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    out, at = df.select(F.array().cast(LEAK).alias("leaks"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]), names.index(text_col) + 1
     kind = out.schema
     for shard in range(shards):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text").collect()  # shard_items or so at most
@@ -235,17 +235,17 @@ def with_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id:
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(0).to_pylist()
+                texts = [t or "" for t in batch.column(at).to_pylist()]
                 found, start, size = [], 0, 0
                 for i, t in enumerate(texts):
                     size += len(t)
                     if size >= 1 << 21 or i + 1 == len(texts):
                         found += index.value.leaks(texts[start : i + 1])
                         start, size = i + 1, 0
-                before = batch.column(1)
+                before = batch.column(0)
                 if any(found) or before.null_count or len(before.values):
                     before = pa.array([[*a, *b] for a, b in zip(before.to_pylist(), found)], before.type)
-                yield pa.RecordBatch.from_arrays([batch.column(0), before, *(batch.column(i) for i in range(2, batch.num_columns))], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([before, *batch.columns[1:]], batch.schema.names)
 
         out = out.mapInArrow(run, kind)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("leaks").alias("__leaks"))

@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladle.llm.common import chunks_of
+from ladle.llm.common import chunks_of, text_sizes
 
 DOCS_PER_LANGUAGE = 250
 SEQUENCES, SEQUENCE_WORDS, EPOCHS = 1600, 60, 40
 NGRAM_BITS, WORD_BITS = 14, 17
 UNKNOWN = "und"
 #: Texts whose recursions run together, and texts whose features are made together.
-BATCH_CHARS, PART_CHARS = 1 << 23, 1 << 19
+BATCH_CHARS, PART_CHARS = 1 << 22, 1 << 19
 _letters: list[np.ndarray] = []
 
 
@@ -150,7 +150,8 @@ def forward_backward(scores: np.ndarray, counts: np.ndarray, start: np.ndarray,
         forward[at] *= b
         b = carried
     forward[begin[: len(b)]] *= b
-    return forward / forward.sum(axis=1, keepdims=True)
+    forward /= forward.sum(axis=1, keepdims=True)
+    return forward
 
 
 def word_scores(field: Field, texts: list[str], sizes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -263,16 +264,16 @@ def labelled(df: DataFrame, field: Field | None, text_col: str = "text", spans:
     for, __words: array<struct<start, end, lang, p>> with code point offsets."""
     model = df.sparkSession.sparkContext.broadcast(field)
     names = list(df.columns)
-    inner = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in inner.schema[1:]] + ["lang string, score double"] + ["words array<struct<start:int,end:int,lang:string,p:float>>"] * spans)
+    inner, at = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]), names.index(text_col)
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in inner.schema] + ["lang string, score double"] + ["words array<struct<start:int,end:int,lang:string,p:float>>"] * spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = model.value
         for whole in batches:
-            sizes = np.array([len(t) for t in whole.column(0).to_pylist()], np.int64)
+            sizes = text_sizes(whole.column(at))
             for lo, hi in chunks_of(sizes, BATCH_CHARS):
                 batch = whole.slice(lo, hi - lo)
-                texts = batch.column(0).to_pylist()
+                texts = [t or "" for t in batch.column(at).to_pylist()]
                 n = len(texts)
                 if field is None:
                     langs, scores, counts = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
@@ -290,13 +291,13 @@ def labelled(df: DataFrame, field: Field | None, text_col: str = "text", spans:
                     langs = [field.labels[t] if c else UNKNOWN for t, c in zip(top.tolist(), counts.tolist())]
                     scores = np.minimum(share[np.arange(n), top], 1.0)
                     best = p.argmax(axis=1)
-                columns = [batch.column(i) for i in range(1, batch.num_columns)] + [pa.array(langs, pa.string()), pa.array(scores)]
+                columns = batch.columns + [pa.array(langs, pa.string()), pa.array(scores)]
                 if spans:
                     shift = np.repeat(begin, counts)
                     parts = [pa.array((starts - shift).astype(np.int32)), pa.array((stops - shift).astype(np.int32)), pa.array([field.labels[i] for i in best.tolist()] if field else [], pa.string()), pa.array(p.max(axis=1).astype(np.float32) if len(p) else np.zeros(0, np.float32))]
                     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, ["start", "end", "lang", "p"])))
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[1:], "lang", "score", *["words"] * spans])
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang", "score", *["words"] * spans])
 
     out = inner.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("lang").alias("__lang"), F.col("score").alias("__score"), *[F.col("words").alias("__words")] * spans)

@@ -27,11 +27,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.llm.common import chunks_of, list_array, string_bytes
+from ladle.llm.common import chunks_of, list_array, string_bytes, text_sizes
 
 UNIT = re.compile(r" *[^ ]+| +")
 SPACE, LITERAL = 0x2581, 0x110000  # LITERAL stands for a U+2581 of the text
@@ -342,23 +343,23 @@ def encode(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", seed:
     the text's bytes back)."""
     proto = df.sparkSession.sparkContext.broadcast(model or model_bytes())
     names = list(df.columns)
-    inner = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(key_col).cast("string").alias("key"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
-    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in inner.schema[2:]] + ["pieces array<int>", "lossless boolean"])
+    inner, at = df.select(F.col(key_col).cast("string").alias("key"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]), names.index(text_col) + 1
+    schema = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in inner.schema[1:]] + ["pieces array<int>", "lossless boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(proto.value, theta)
         for whole in batches:
-            lengths = np.diff(string_bytes(whole.column(0))[1])
-            for a, b in chunks_of(lengths, BATCH_CHARS):
+            for a, b in chunks_of(text_sizes(whole.column(at)), BATCH_CHARS):
                 batch = whole.slice(a, b - a)
-                data, offsets = string_bytes(batch.column(0))
-                sizes, tokens = encode_many(v, batch.column(0).to_pylist(), [str(k) for k in batch.column(1).to_pylist()], seed)
+                texts = pc.fill_null(batch.column(at), "")
+                data, offsets = string_bytes(texts)
+                sizes, tokens = encode_many(v, texts.to_pylist(), [str(k) for k in batch.column(0).to_pylist()], seed)
                 back, decoded = decode_many(v, sizes, tokens)
                 same = back == np.diff(offsets)
                 if not (same.all() and np.array_equal(decoded, data)):
                     ends = np.cumsum(back)
                     same = np.array([bool(s) and decoded[e - n : e].tobytes() == data[p:q].tobytes() for s, e, n, p, q in zip(same, ends, back, offsets, offsets[1:])], bool)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(2, batch.num_columns)), list_array(tokens.astype(np.int32), sizes, pa.int32()), pa.array(same)], [*batch.schema.names[2:], "pieces", "lossless"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], list_array(tokens.astype(np.int32), sizes, pa.int32()), pa.array(same)], [*batch.schema.names[1:], "pieces", "lossless"])
 
     out = inner.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("pieces").alias("__pieces"), F.col("lossless").alias("__lossless"))
