@@ -42,12 +42,22 @@ def registered(facts: DataFrame) -> DataFrame:
 
 def final_actions(facts: DataFrame) -> DataFrame:
     """recipe_id, step_num, final: the action of the largest word index (smallest name on ties) of the
-    main facts; where a step has none, of its modifiers."""
-    usable = facts.filter("kind = 'modifier' or kind = 'main' and dep <> 'acomp'")
-    rank = F.struct(F.when(F.col("kind") == "main", 0).otherwise(1), -F.col("word_idx"), F.col("action"))
+    main and prep facts; where a step has none, of its modifiers."""
+    usable = facts.filter("kind = 'modifier' or kind = 'prep' and entity <> action or kind = 'main' and dep <> 'acomp'")
+    rank = F.struct(F.when(F.col("kind") == "modifier", 1).otherwise(0), -F.col("word_idx"), F.col("action"))
     return usable.groupBy(*STEP).agg(F.min_by("action", rank).alias("final"))
 
 
+def followed_finals(edges: DataFrame, finals: DataFrame) -> DataFrame:
+    """The finals, each moved on along single out-edges within its step to where they end (a final on a
+    cycle stays)."""
+    key = F.struct(*STEP)
+    inner = edges.filter("src.step = step_num and dst.step = step_num and src.kind = 'pred'").select(key.alias("key"), "src", "dst")
+    ends = terminals(inner, "key").select("key", F.col("node.name").alias("final"), F.col("terminal.name").alias("end"))
+    f = finals.withColumn("key", key).join(ends, ["key", "final"], "left")
+    return f.select(*STEP, F.coalesce("end", "final").alias("final"))
+
+
 def action_chains(facts: DataFrame) -> DataFrame:
     """Edges entity -> first action -> next action ..., by word index."""
     order = Window.partitionBy(*STEP, "entity").orderBy("word_idx", "action")
@@ -65,15 +75,17 @@ def preposition_edges(facts: DataFrame, chains: DataFrame) -> DataFrame:
 
 def continuations(facts: DataFrame) -> DataFrame:
     """A step without a direct object takes up the last step's final action: edge to its first action
-    that only prepositions have (its orphans, by word index), else to its own final action."""
+    that only prepositions have (its orphans, chained by word index), else to its own final action."""
     own = facts.groupBy(*STEP).agg(F.max((F.col("dep") == "dobj").cast("int")).alias("has_object"))
     main = registered(facts).select(*STEP, "action").distinct()
-    orphans = facts.filter("kind = 'prep'").join(main, [*STEP, "action"], "left_anti").groupBy(*STEP).agg(F.min_by("action", F.struct("word_idx", "action")).alias("orphan"))
+    orphans = facts.filter("kind = 'prep' and entity <> action").join(main, [*STEP, "action"], "left_anti").groupBy(*STEP, "action").agg(F.min("word_idx").alias("at"))
+    order = Window.partitionBy(*STEP).orderBy("at", "action")
+    orphans = orphans.withColumn("last", F.lag("action").over(order))
     w = Window.partitionBy("recipe_id").orderBy("step_num")
-    steps = own.join(final_actions(facts), STEP, "left").join(orphans, STEP, "left").withColumn("before", F.lag(F.struct("step_num", "final")).over(w))
-    to = F.coalesce("orphan", "final")
-    out = steps.filter((F.col("has_object") == 0) & F.col("before.final").isNotNull() & to.isNotNull())
-    return out.select(*STEP, pred_node(F.col("before.final"), F.col("before.step_num")).alias("src"), pred_node(to, F.col("step_num")).alias("dst"))
+    steps = own.join(final_actions(facts), STEP, "left").withColumn("before", F.lag(F.struct("step_num", "final")).over(w)).filter((F.col("has_object") == 0) & F.col("before.final").isNotNull())
+    both = steps.join(orphans, STEP, "left").withColumn("to", F.coalesce("action", "final")).filter("to is not null")
+    src = F.when(F.col("last").isNotNull(), pred_node(F.col("last"), F.col("step_num"))).otherwise(pred_node(F.col("before.final"), F.col("before.step_num")))
+    return both.select(*STEP, src.alias("src"), pred_node(F.col("to"), F.col("step_num")).alias("dst"))
 
 
 def dangling(edges: DataFrame, finals: DataFrame) -> DataFrame:
@@ -176,6 +188,7 @@ def link_steps(steps: DataFrame, pairs: DataFrame) -> DataFrame:
             out.append((numbers[-1], None, None))
         return pd.DataFrame([(key[0], a, b, c) for a, b, c in out], columns=["recipe_id", "source_step", "target_step", "leaf"]).astype({"target_step": "Int64"})
 
+    steps, pairs = steps.select(*[F.col(c).alias(c) for c in steps.columns]), pairs.select(*[F.col(c).alias(c) for c in pairs.columns])
     kind = steps.schema["recipe_id"].dataType.simpleString()
     return steps.groupBy("recipe_id").cogroup(pairs.groupBy("recipe_id")).applyInPandas(one, f"recipe_id {kind}, source_step long, target_step long, leaf string")
 

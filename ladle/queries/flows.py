@@ -33,13 +33,14 @@ def facts(spark, sf_dir) -> DataFrame:
 FACTS = """f AS (SELECT user_id AS recipe_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS step_num, 'k' || (CAST(json_extract_string(props, '$.k') AS INT) % 7) AS entity, event_type AS action,
     row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS word_idx, CASE WHEN value >= 30 THEN 'dobj' WHEN value < 1 THEN 'acomp' ELSE 'nsubjpass' END AS dep,
     CASE event_type WHEN 'error' THEN 'prep' WHEN 'signup' THEN 'modifier' ELSE 'main' END AS kind FROM events)"""
-FINALS = "fin AS (SELECT recipe_id, step_num, action AS final FROM f WHERE kind = 'modifier' OR (kind = 'main' AND dep <> 'acomp') QUALIFY row_number() OVER (PARTITION BY recipe_id, step_num ORDER BY CASE kind WHEN 'main' THEN 0 ELSE 1 END, word_idx DESC, action) = 1)"
+FINALS = "fin AS (SELECT recipe_id, step_num, action AS final FROM f WHERE kind <> 'main' OR dep <> 'acomp' QUALIFY row_number() OVER (PARTITION BY recipe_id, step_num ORDER BY CASE kind WHEN 'modifier' THEN 1 ELSE 0 END, word_idx DESC, action) = 1)"
 REG = "reg AS (SELECT recipe_id, step_num, entity, word_idx, max(action) AS action FROM f WHERE kind = 'main' AND dep <> 'acomp' GROUP BY 1, 2, 3, 4)"
 CHAINS = "ch AS (SELECT DISTINCT recipe_id, step_num, CASE WHEN b IS NULL THEN entity || '_' || recipe_id || '_' || step_num ELSE 'pred_' || b || '_' || recipe_id || '_' || step_num END AS src, 'pred_' || action || '_' || recipe_id || '_' || step_num AS dst, coalesce(b, entity) AS s, action AS d FROM (SELECT *, lag(action) OVER (PARTITION BY recipe_id, step_num, entity ORDER BY word_idx, action) AS b FROM reg) WHERE b IS NULL OR b <> action)"
 PREP = "pe AS (SELECT DISTINCT recipe_id, step_num, entity || '_' || recipe_id || '_' || step_num AS src, 'pred_' || action || '_' || recipe_id || '_' || step_num AS dst FROM f WHERE kind = 'prep' AND entity <> action AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.recipe_id = f.recipe_id AND ch.step_num = f.step_num AND ch.d = f.entity AND ch.s = f.action))"
-CONT = """ob AS (SELECT recipe_id, step_num, max(CAST(dep = 'dobj' AS INT)) AS has_object FROM f GROUP BY 1, 2), orp AS (SELECT recipe_id, step_num, action AS orphan FROM f WHERE kind = 'prep' AND (recipe_id, step_num, action) NOT IN (SELECT (recipe_id, step_num, action) FROM reg) QUALIFY row_number() OVER (PARTITION BY recipe_id, step_num ORDER BY word_idx, action) = 1),
-    st AS (SELECT ob.recipe_id, ob.step_num, has_object, final, orphan, lag(final) OVER w AS bf, lag(ob.step_num) OVER w AS bs FROM ob LEFT JOIN fin ON ob.recipe_id = fin.recipe_id AND ob.step_num = fin.step_num LEFT JOIN orp ON ob.recipe_id = orp.recipe_id AND ob.step_num = orp.step_num WINDOW w AS (PARTITION BY ob.recipe_id ORDER BY ob.step_num)),
-    co AS (SELECT recipe_id, step_num, 'pred_' || bf || '_' || recipe_id || '_' || bs AS src, 'pred_' || coalesce(orphan, final) || '_' || recipe_id || '_' || step_num AS dst FROM st WHERE has_object = 0 AND bf IS NOT NULL AND coalesce(orphan, final) IS NOT NULL)"""
+CONT = """ob AS (SELECT recipe_id, step_num, max(CAST(dep = 'dobj' AS INT)) AS has_object FROM f GROUP BY 1, 2), orp AS (SELECT *, lag(action) OVER (PARTITION BY recipe_id, step_num ORDER BY at_, action) AS last_ FROM (SELECT recipe_id, step_num, action, min(word_idx) AS at_ FROM f WHERE kind = 'prep' AND (recipe_id, step_num, action) NOT IN (SELECT (recipe_id, step_num, action) FROM reg) GROUP BY 1, 2, 3)),
+    st AS (SELECT ob.recipe_id, ob.step_num, has_object, final, lag(final) OVER w AS bf, lag(ob.step_num) OVER w AS bs FROM ob LEFT JOIN fin ON ob.recipe_id = fin.recipe_id AND ob.step_num = fin.step_num WINDOW w AS (PARTITION BY ob.recipe_id ORDER BY ob.step_num)),
+    co AS (SELECT st.recipe_id, st.step_num, CASE WHEN last_ IS NULL THEN 'pred_' || bf || '_' || st.recipe_id || '_' || bs ELSE 'pred_' || last_ || '_' || st.recipe_id || '_' || st.step_num END AS src, 'pred_' || coalesce(orp.action, final) || '_' || st.recipe_id || '_' || st.step_num AS dst
+        FROM st LEFT JOIN orp ON st.recipe_id = orp.recipe_id AND st.step_num = orp.step_num WHERE has_object = 0 AND bf IS NOT NULL AND coalesce(orp.action, final) IS NOT NULL)"""
 EDGES = """e0 AS (SELECT recipe_id, step_num, src, dst FROM ch UNION SELECT * FROM pe UNION SELECT * FROM co),
     da AS (SELECT DISTINCT a.recipe_id, a.step_num, a.dst AS src, 'pred_' || final || '_' || a.recipe_id || '_' || a.step_num AS dst FROM e0 a JOIN fin ON a.recipe_id = fin.recipe_id AND a.step_num = fin.step_num WHERE NOT EXISTS (SELECT 1 FROM e0 b WHERE b.recipe_id = a.recipe_id AND b.step_num = a.step_num AND b.src = a.dst) AND a.dst <> 'pred_' || final || '_' || a.recipe_id || '_' || a.step_num),
     ed AS (SELECT * FROM e0 UNION SELECT * FROM da)"""
