@@ -16,19 +16,20 @@ RECIPES = "id bigint, name string, minutes string, contributor_id string, submit
 def list_literal(c: Column) -> Column:
     """A Python list literal of strings as an array; what JSON with single quotes can't read is parsed
     as a literal."""
-    quick = F.from_json(c, "array<string>", {"allowSingleQuotes": "true"})
-    return F.when(c.isNull(), None).when(quick.isNotNull() & ~c.contains("\\x") & ~c.contains("\\u"), quick).otherwise(_literal(c))
 
+    @F.pandas_udf("array<string>")
+    def literal(s: pd.Series) -> pd.Series:
+        return s.map(_parsed_literal)
+
+    quick = F.from_json(c, "array<string>", {"allowSingleQuotes": "true"})
+    return F.when(c.isNull(), None).when(quick.isNotNull() & ~c.contains("\\x") & ~c.contains("\\u"), quick).otherwise(literal(c))
 
-@F.pandas_udf("array<string>")
-def _literal(s: pd.Series) -> pd.Series:
-    def one(x):
-        try:
-            return [str(v) for v in ast.literal_eval(x)]
-        except (ValueError, SyntaxError, TypeError):
-            return None
 
-    return s.map(one)
+def _parsed_literal(x: str | None) -> list[str] | None:
+    try:
+        return [str(v) for v in ast.literal_eval(x)]
+    except (ValueError, SyntaxError, TypeError):
+        return None
 
 
 def read_recipes(spark: SparkSession, path: str, n: int | None = None, seed: int = 0) -> DataFrame:
