@@ -231,6 +231,26 @@ def without_sinks(edges: DataFrame, output_kind: str = "output") -> DataFrame:
     return keep.select("recipe_id", "src", "dst").unionByName(edges.filter(F.col("dst.kind") == output_kind).select("recipe_id", "src", "dst"))
 
 
+def attach_unseen(edges: DataFrame, ingredients: DataFrame, similarity: DataFrame) -> DataFrame:
+    """Edges and, for each recipe ingredient that no node names, edges to where the leaves most similar to
+    it lead (all ties). similarity: a (ingredient), b (leaf name), sim; only pairs above 0 count."""
+    named = edges.filter("src.kind = 'name'").select("recipe_id", F.col("src.name").alias("name")).distinct()
+    unseen = ingredients.select("recipe_id", "name").distinct().join(named, ["recipe_id", "name"], "left_anti")
+    pairs = unseen.join(similarity.filter("sim > 0").withColumnRenamed("a", "name"), "name").join(named.withColumnRenamed("name", "b"), ["recipe_id", "b"])
+    best = pairs.withColumn("k", F.rank().over(Window.partitionBy("recipe_id", "name").orderBy(F.desc("sim")))).filter("k = 1")
+    to = edges.filter("src.kind = 'name'").select("recipe_id", F.col("src.name").alias("b"), "src", "dst")
+    more = best.join(to, ["recipe_id", "b"]).select("recipe_id", name_node(F.col("name"), F.col("src.step")).alias("src"), "dst")
+    return edges.select("recipe_id", "src", "dst").unionByName(more).distinct()
+
+
+def raw_leaves(edges: DataFrame) -> DataFrame:
+    """Edges in which every occurrence of a leaf is the bare name, whatever its step."""
+    fed = edges.select("recipe_id", F.col("dst").alias("src")).distinct().withColumn("fed", F.lit(True))
+    e = edges.select("recipe_id", "src", "dst").join(fed, ["recipe_id", "src"], "left")
+    bare = F.struct(F.lit("name").alias("kind"), F.col("src.name").alias("name"), F.lit(None).cast("int").alias("step"))
+    return e.select("recipe_id", F.when((F.col("src.kind") == "name") & F.col("fed").isNull(), bare).otherwise(F.col("src")).alias("src"), "dst").distinct()
+
+
 def node_category(in_recipe: Column, is_ingredient: Column, is_equipment: Column) -> Column:
     """3: an ingredient of the recipe; 2: another ingredient; 1: equipment; else null."""
     return F.when(is_ingredient & in_recipe, 3).when(is_ingredient, 2).when(is_equipment, 1)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladle.functions.nlp import lemma
 from ladle.operators.textops import term_counts, words
 
 
@@ -58,6 +60,26 @@ def link_names(queries: DataFrame, labels: DataFrame, least: float, all_known: b
     return one_of_ties(best_links(queries, labels, least, all_known), labels)
 
 
+def english(labels: DataFrame) -> DataFrame:
+    """Labels in English or without a language, the smallest priority of each (uri, label)."""
+    known = labels.filter(F.col("lang").isNull() | F.col("lang").startswith("en"))
+    return known.groupBy("uri", "label").agg(F.min("label_prio").alias("label_prio"))
+
+
+def normal_labels(labels: DataFrame, verbs: bool = False) -> DataFrame:
+    """uri, label, label_prio with labels in lower case, without full stops, the last word as a lemma
+    (and, for verbs, once more as a verb's)."""
+
+    @F.pandas_udf("string")
+    def last(s: pd.Series, verb: pd.Series) -> pd.Series:
+        return pd.Series([" ".join([*w[:-1], lemma(w[-1], bool(v))]) if (w := (t or "").split(" ")) and w[-1] else t for t, v in zip(s, verb)])
+
+    plain = labels.withColumn("label", F.replace(F.lower("label"), F.lit("."), F.lit("")))
+    kinds = F.array(F.lit(False), F.lit(True)) if verbs else F.array(F.lit(False))
+    each = plain.withColumn("verb", F.explode(kinds)).withColumn("label", last("label", "verb"))
+    return each.groupBy("uri", "label").agg(F.min("label_prio").alias("label_prio"))
+
+
 def without_ending(labels: DataFrame, label: str, ending: str = " food product") -> DataFrame:
     """The labels, and once more those with the ending, without it."""
     cut = labels.filter(F.col(label).endswith(ending)).withColumn(label, F.expr(f"left({label}, length({label}) - {len(ending)})"))

@@ -15,6 +15,7 @@ from ladle.operators import sampling as S
 from ladle.operators import scoring as M
 from ladle.operators import triples as T
 from ladle.operators.substitute import rank_replacements
+from ladle.operators.train import Settings, train
 from ladle.queries import table
 
 DIM, GAMMA, ENTITIES = 64, 12.0, 500
@@ -241,17 +242,46 @@ def hyper_triples(spark, sf_dir):
     return T.hyper_triples(n.select("tree", F.col("node").alias("src"), F.col("parent").alias("dst")), "tree")
 
 
-def subst_calc(spark, sf_dir):
-    """For each order the best replacement of its first part's vector: candidates are the vectors of
-    its label; the order is evaluated with each, and compared with what it was."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree"), (F.col("l_partkey") % ENTITIES).alias("leaf"))
+def _replacements(spark, sf_dir):
+    """For each order its first part's vector as the target, and its suppliers' vectors as candidates."""
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree"), (F.col("l_partkey") % ENTITIES).alias("leaf"), (F.col("l_suppkey") % ENTITIES).alias("cand"))
     target = li.groupBy("tree").agg(F.min("leaf").alias("target"))
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
-    cand = target.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("target"), "label"), "target").join(e.select("label", F.col("id").alias("cand")), "label").select("tree", "target", "cand")
-    found = rank_replacements(tree_nodes(spark, sf_dir), cand, emb(spark, sf_dir), relations(spark, sf_dir), DIM, depth=2)
+    return li.select("tree", "cand").distinct().join(target, "tree").select("tree", "target", "cand")
+
+
+def subst_calc(spark, sf_dir):
+    """Orders evaluated with the target replaced, compared with what they were."""
+    found = rank_replacements(tree_nodes(spark, sf_dir), _replacements(spark, sf_dir), emb(spark, sf_dir), relations(spark, sf_dir), DIM, depth=2)
     return found.select("tree", "target", "cand", F.round("score", 6).alias("score"))
 
 
+def subst_learned(spark, sf_dir):
+    """The same, compared with a vector of the order's own."""
+    learned = emb(spark, sf_dir).select(F.col("id").alias("own"), F.col("vec").alias("value"))
+    trees = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tree"), (F.col("o_orderkey") % ENTITIES).alias("own")).join(learned, "own").select("tree", "value")
+    found = rank_replacements(tree_nodes(spark, sf_dir), _replacements(spark, sf_dir), emb(spark, sf_dir), relations(spark, sf_dir), DIM, depth=2, learned=trees)
+    return found.select("tree", "target", "cand", F.round("score", 6).alias("score"))
+
+
+def tree_paths(spark, sf_dir):
+    """Orders unrolled from the root, with the way to every node."""
+    n = tree_nodes(spark, sf_dir).filter("parent is not null").select("tree", "parent", F.col("node").alias("child"))
+    found = T.operation_tree(n, "tree", "root")
+    return found.select("tree", F.array_join("path", ">").alias("path"), F.col("depth").cast("bigint").alias("depth"))
+
+
+def flat_triples(spark, sf_dir):
+    n = tree_nodes(spark, sf_dir).filter("depth = 2").select("tree", F.concat(F.lit("pred_"), "parent", F.lit("_"), "tree").alias("parent"), F.col("node").alias("child"))
+    return T.flat_triples(n, "tree").select("tree", "h", "r", "t")
+
+
+def trained_entities(spark, sf_dir):
+    """Entities after training on the customers' triples."""
+    t = id_triples(spark, sf_dir)
+    ent, _, _ = train(t, ENTITIES, len(SEGMENTS), Settings(dim=16, rounds=3))
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(ent)], "id long, vec array<double>")
+
+
 EMB = f"e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), rl AS (SELECT id - 100 AS id, v FROM e WHERE id BETWEEN 100 AND 104)"
 TV = "tv AS (SELECT it.h, it.r, it.t, a.v AS hv, rl.v AS rv, b.v AS tv FROM it JOIN e a ON it.h = a.id JOIN rl ON it.r = rl.id JOIN e b ON it.t = b.id)"
 _TRANSE = f"{GAMMA} - list_sum([abs(hv[i] + rv[i] - tv[i]) for i in range(1, {DIM + 1})])"
@@ -283,13 +313,24 @@ def gop_sql(act: str, top: str) -> str:
         SELECT tree, round(max(CASE WHEN i = 1 THEN v END), 6) + 0.0 AS first, round(max(CASE WHEN i = {DIM} THEN v END), 6) + 0.0 AS last FROM z GROUP BY tree"""
 
 
+def subst_sql(against: str) -> str:
+    """A tree's value is linear in its leaves: an exchange adds the leaf's weight times the difference."""
+    return f"""WITH {EMB}, {TREE}, fl AS (SELECT tree, flag, count(*) AS n FROM lv GROUP BY 1, 2), nf AS (SELECT tree, count(*) AS nf FROM fl GROUP BY 1),
+        x AS (SELECT tree, flag, i, avg(e.v[i]) AS m FROM lv JOIN e ON lv.leaf = e.id, range(1, {DIM + 1}) d(i) GROUP BY 1, 2, 3), y AS (SELECT tree, i, avg(m + rl.v[i]) AS m FROM x JOIN rl ON rl.id = list_position(['A', 'N', 'R'], flag) - 1 GROUP BY 1, 2),
+        o AS (SELECT tree, list(m + r.v[i] ORDER BY i) AS v FROM y, (SELECT v FROM rl WHERE id = 4) r GROUP BY tree),
+        tg AS (SELECT l_orderkey AS tree, min(l_partkey % {ENTITIES}) AS target FROM lineitem GROUP BY 1), wt AS (SELECT tg.tree, target, sum(1.0 / (nf * n)) AS w FROM tg JOIN lv ON lv.tree = tg.tree AND lv.leaf = target JOIN fl ON fl.tree = lv.tree AND fl.flag = lv.flag JOIN nf ON nf.tree = tg.tree GROUP BY 1, 2),
+        c AS (SELECT DISTINCT l_orderkey AS tree, l_suppkey % {ENTITIES} AS cand FROM lineitem),
+        k AS (SELECT c.tree, target, cand, {against} AS a, [o.v[i] + w * (p.v[i] - q.v[i]) for i in range(1, {DIM + 1})] AS b FROM c JOIN wt ON c.tree = wt.tree JOIN o ON o.tree = c.tree JOIN e p ON p.id = cand JOIN e q ON q.id = target JOIN e g ON g.id = c.tree % {ENTITIES})
+        SELECT tree, target, cand, round(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), 6) AS score FROM k"""
+
+
 def _log_sigmoid(x: str) -> str:
     return f"(-ln(1 + exp(-abs({x}))) + least({x}, 0))"
 
 
 FUNCTIONS = (
     triples_union, known_subclass_triples, dict_encode, encoded_triples, split_hash, leak_anti, node_roles, two_way_edges, freq_start4, subsample_weight, true_tail, true_head, neg_sample, eval_candidates,
-    score_transe, score_distmult, score_complex, score_rotate, score_protate, filtered_ranks, mrr_hits, predict_tails, adv_loss, gop_transe, gop_distmult, gop_rotate, leaf_counts, tree_frequency, head_paths, corrupted_leaves, hyper_triples, subst_calc,
+    score_transe, score_distmult, score_complex, score_rotate, score_protate, filtered_ranks, mrr_hits, predict_tails, adv_loss, gop_transe, gop_distmult, gop_rotate, leaf_counts, tree_frequency, head_paths, corrupted_leaves, hyper_triples, subst_calc, subst_learned, tree_paths, flat_triples, trained_entities,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 _PART = f"pt AS (SELECT *, CASE WHEN b < 15 THEN 'test' WHEN b < 30 THEN 'valid' ELSE 'train' END AS part FROM (SELECT *, {bucket_sql('concat_ws(chr(124), h, r, t)', 100)} AS b FROM nt))"
@@ -334,5 +375,9 @@ ORACLE = {
     "corrupted_leaves": f"""WITH {TREE}, l AS (SELECT DISTINCT tree, leaf FROM lv), d AS (SELECT tree, leaf, i AS attempt, {bucket_sql("concat_ws('|', tree, leaf, i)", ENTITIES)} AS replacement FROM l, range(1, 9) x(i)),
         b AS (SELECT tree, leaf, arg_min(replacement, attempt) AS replacement FROM d WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.tree = d.tree AND l.leaf = d.replacement) GROUP BY 1, 2)
         SELECT tree, CAST(row_number() OVER (PARTITION BY tree ORDER BY leaf) AS BIGINT) AS variant, leaf, replacement FROM b""",
+    "subst_calc": subst_sql("o.v"),
+    "subst_learned": subst_sql("g.v"),
+    "tree_paths": f"WITH {TREE} SELECT tree, 'root>' || flag || '>' || flag || '/' || leaf AS path, CAST(2 AS BIGINT) AS depth FROM lv UNION ALL SELECT DISTINCT tree, 'root>' || flag, CAST(1 AS BIGINT) FROM lv",
+    "flat_triples": f"WITH {TREE} SELECT tree, flag || '/' || leaf AS h, 'pred ' || flag AS r, 'pred_' || flag || '_' || tree AS t FROM lv",
     "hyper_triples": f"WITH {TREE} SELECT tree, flag AS action, list_sort(list(DISTINCT flag || '/' || leaf)) AS inputs FROM lv GROUP BY tree, flag UNION ALL SELECT tree, 'root', list_sort(list(DISTINCT flag)) FROM lv GROUP BY tree",
 }

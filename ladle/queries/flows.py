@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ladle.operators import closure as C
+from ladle.operators import facts as N
 from ladle.operators import flow as G
 from ladle.operators import gold as E
 from ladle.operators import scoring as M
@@ -153,6 +154,54 @@ def pruned_childless(spark, sf_dir):
     return T.prune_childless(g, ok, "k")
 
 
+def text_facts(spark, sf_dir):
+    """Step facts of the documents' lines, read by the rule-based parser."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recipe_id"), F.filter(F.split("text", "\n"), lambda x: x != "").alias("steps"))
+    return N.step_facts(N.parsed_steps(N.steps_of(docs)).checkpoint())
+
+
+def no_sinks(spark, sf_dir):
+    """The days' graphs without edges into nodes that lead nowhere; a purchase counts as output."""
+    kind = lambda c: F.struct(F.when(F.col(c) == "purchase", "output").otherwise("pred").alias("kind"), F.col(c).alias("name"))
+    kept = G.without_sinks(_keyed(spark, sf_dir).select(F.col("k").alias("recipe_id"), kind("src").alias("src"), kind("dst").alias("dst")))
+    return kept.select(F.col("recipe_id").alias("k"), F.col("src.name").alias("src"), F.col("dst.name").alias("dst")).distinct()
+
+
+def raw_leaf_edges(spark, sf_dir):
+    r = F.col("recipe_id").cast("string")
+    e = G.raw_leaves(G.action_chains(facts(spark, sf_dir)))
+    return e.select("recipe_id", F.when(F.col("src.step").isNull(), F.col("src.name")).otherwise(G.render(F.col("src"), r)).alias("src"), G.render(F.col("dst"), r).alias("dst"))
+
+
+def attached_unseen(spark, sf_dir):
+    """k0 to k6 are each user's ingredients; an unseen one goes where the nearest numbers lead."""
+    chains = G.action_chains(facts(spark, sf_dir))
+    names = facts(spark, sf_dir).select(F.col("entity").alias("name")).distinct()
+    users = facts(spark, sf_dir).select("recipe_id").distinct()
+    ing = users.join(F.broadcast(names))  # seven names
+    n = lambda c: F.substring(c, 2, 1).cast("int")
+    sims = names.select(F.col("name").alias("a")).join(F.broadcast(names.select(F.col("name").alias("b")))).filter("a <> b").select("a", "b", F.round(1.0 / (1 + F.abs(n("a") - n("b"))), 6).alias("sim"))
+    e = G.attach_unseen(chains, ing, sims)
+    r = F.col("recipe_id").cast("string")
+    return e.select("recipe_id", G.render(F.col("src"), r).alias("src"), G.render(F.col("dst"), r).alias("dst"))
+
+
+def node_categories(spark, sf_dir):
+    f = facts(spark, sf_dir)
+    n = F.substring("entity", 2, 1).cast("int")
+    own = f.filter("dep = 'dobj'").select("recipe_id", "entity").distinct().withColumn("own", F.lit(True))
+    e = f.select("recipe_id", "entity").distinct().join(own, ["recipe_id", "entity"], "left")
+    return e.select("recipe_id", "entity", G.node_category(F.coalesce("own", F.lit(False)), n < 4, n >= 5).alias("category"))
+
+
+def downstream_actions(spark, sf_dir):
+    """What follows a view, directly or not, in each day's graph."""
+    g = _keyed(spark, sf_dir)
+    node = lambda c: F.struct("k", F.col(c).alias("n"))
+    reach = C.closure(g.select(node("src").alias("src"), node("dst").alias("dst")))
+    return reach.filter("src.n = 'view' and dst.n <> 'view'").select("src.k", F.col("dst.n").alias("action"), F.col("dist").cast("bigint").alias("dist"))
+
+
 def island_merge(spark, sf_dir):
     """A click begins a name and directly following views continue it."""
     f = facts(spark, sf_dir).withColumn("key", F.concat_ws("/", "recipe_id", "step_num"))
@@ -205,7 +254,7 @@ def edge_prf(spark, sf_dir):
     return mean.select(*[F.round(c, 6).alias(c) for c in mean.columns])
 
 
-FUNCTIONS = (final_action, action_chain, preposition_edges, implicit_continuation, step_edges, step_leaves, step_links, flow_graphs, terminal_nodes, acyclic_graphs, pruned_sources, pruned_childless, island_merge, sentence_assembly, bypass_nodes, node_degrees, ancestor_keep, reduced_gold, edge_precision_recall, edge_prf)
+FUNCTIONS = (final_action, action_chain, preposition_edges, implicit_continuation, step_edges, step_leaves, step_links, flow_graphs, terminal_nodes, acyclic_graphs, pruned_sources, pruned_childless, island_merge, sentence_assembly, bypass_nodes, node_degrees, ancestor_keep, reduced_gold, edge_precision_recall, edge_prf, text_facts, no_sinks, raw_leaf_edges, attached_unseen, node_categories, downstream_actions)
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 _DAY = f"{FACTS}, {DAY}, g AS (SELECT recipe_id || '/' || step_num AS k, src, dst FROM dg)"
 _REACH = "w AS (SELECT k, src, src AS dst FROM g UNION SELECT k, dst, dst FROM g UNION SELECT w.k, w.src, g.dst FROM w JOIN g ON w.k = g.k AND w.dst = g.src)"
@@ -225,6 +274,13 @@ ORACLE = {
     "island_merge": f"""WITH {FACTS}, t AS (SELECT recipe_id || '/' || step_num AS key, word_idx, entity, action, sum(CAST(action = 'click' AS INT)) OVER w AS island, sum(CAST(action NOT IN ('click', 'view') AS INT)) OVER w AS gaps FROM f WINDOW w AS (PARTITION BY recipe_id, step_num ORDER BY word_idx)),
         u AS (SELECT *, min(CASE WHEN action = 'click' THEN gaps END) OVER (PARTITION BY key, island) AS own FROM t WHERE action IN ('click', 'view') AND island > 0) SELECT key, CAST(min(word_idx) AS BIGINT) AS word_idx, string_agg(entity, ' ' ORDER BY word_idx) AS merged FROM u WHERE gaps = own GROUP BY key, island""",
     "sentence_assembly": f"WITH {FACTS} SELECT recipe_id, step_num, string_agg(action, ' ' ORDER BY word_idx) AS sentence FROM f GROUP BY 1, 2",
+    "no_sinks": f"WITH {_DAY} SELECT k, src, dst FROM g WHERE dst = 'purchase' OR EXISTS (SELECT 1 FROM g o WHERE o.k = g.k AND o.src = g.dst)",
+    "raw_leaf_edges": f"WITH {FACTS}, {REG}, {CHAINS} SELECT DISTINCT recipe_id, CASE WHEN src LIKE 'pred%' THEN src ELSE s END AS src, dst FROM ch",
+    "attached_unseen": f"""WITH {FACTS}, {REG}, {CHAINS}, u AS (SELECT DISTINCT recipe_id FROM f), nm AS (SELECT DISTINCT entity AS name FROM f), lf AS (SELECT DISTINCT recipe_id, s AS b FROM ch WHERE src NOT LIKE 'pred%'),
+        un AS (SELECT recipe_id, name FROM u, nm WHERE (recipe_id, name) NOT IN (SELECT (recipe_id, b) FROM lf)), bs AS (SELECT un.recipe_id, name, b FROM un JOIN lf ON un.recipe_id = lf.recipe_id QUALIFY rank() OVER (PARTITION BY un.recipe_id, name ORDER BY abs(CAST(name[2] AS INT) - CAST(b[2] AS INT))) = 1)
+        SELECT recipe_id, src, dst FROM ch UNION SELECT bs.recipe_id, name || '_' || bs.recipe_id || '_' || step_num, dst FROM bs JOIN ch ON ch.recipe_id = bs.recipe_id AND ch.s = bs.b AND src NOT LIKE 'pred%'""",
+    "node_categories": f"WITH {FACTS}, o AS (SELECT DISTINCT recipe_id, entity FROM f WHERE dep = 'dobj') SELECT recipe_id, entity, CASE WHEN n < 4 AND (recipe_id, entity) IN (SELECT (recipe_id, entity) FROM o) THEN 3 WHEN n < 4 THEN 2 WHEN n >= 5 THEN 1 END AS category FROM (SELECT DISTINCT recipe_id, entity, CAST(entity[2] AS INT) AS n FROM f)",
+    "downstream_actions": f"WITH RECURSIVE {_DAY}, dw AS (SELECT k, src, dst, 1 AS d FROM g WHERE src = 'view' UNION SELECT dw.k, dw.src, g.dst, dw.d + 1 FROM dw JOIN g ON g.k = dw.k AND g.src = dw.dst WHERE dw.d < 6) SELECT k, dst AS action, CAST(min(d) AS BIGINT) AS dist FROM dw WHERE dst <> 'view' GROUP BY 1, 2",
     "bypass_nodes": f"WITH {_DAY} SELECT k, src, dst FROM g WHERE src <> 'view' AND dst <> 'view' UNION SELECT a.k, a.src, b.dst FROM g a JOIN g b ON a.k = b.k WHERE a.dst = 'view' AND b.src = 'view' AND a.src <> b.dst",
     "node_degrees": f"WITH {_DAY}, n AS (SELECT k, src AS node FROM g UNION SELECT k, dst FROM g) SELECT k, node, (SELECT count(*) FROM g WHERE g.k = n.k AND g.dst = n.node) AS n_in, (SELECT count(*) FROM g WHERE g.k = n.k AND g.src = n.node) AS n_out FROM n",
     "ancestor_keep": f"""WITH RECURSIVE {_DAY}, {_REACH}, {_CYCLIC}, s AS (SELECT w.k, w.dst AS sink, count(*) AS n FROM w WHERE w.k NOT IN (SELECT k FROM cy) AND NOT EXISTS (SELECT 1 FROM g WHERE g.k = w.k AND g.src = w.dst) GROUP BY 1, 2),
