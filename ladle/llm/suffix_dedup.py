@@ -6,8 +6,8 @@ more than once need sorting:
 
 1. each text's anchors, with the hash of the gram and the hash of the context (every byte that a
    window over this anchor can hold);
-2. anchors are shuffled by gram; those whose gram stands once drop out, and where a whole context
-   stands twice every window over it is repeated;
+2. grams are counted; anchors whose gram stands once drop out, and where a whole context stands
+   twice every window over it is repeated;
 3. one occurrence of each remaining context is read again, and the contexts of a gram are sorted as
    suffixes that run right from the anchor and, mirrored, left from it. Suffixes are compared by
    prefix polynomial hashes: a binary search finds how far two agree, so a comparison in the
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ladle.llm.common import string_bytes
@@ -372,10 +372,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = names[id_col]
     kind = docs.schema[key].dataType.simpleString()
     anchors = docs.select(key, "tk", "text").mapInArrow(_anchor_rows(length, gram), f"id {kind}, tk int, pos int, g bigint, c bigint")
-    by_gram, by_context = Window.partitionBy("g"), Window.partitionBy("g", "c")
-    counted = anchors.repartition(n, "g").withColumn("same", F.count(F.lit(1)).over(by_context))
-    counted = counted.withColumn("all", F.count(F.lit(1)).over(by_gram)).withColumn("least", F.min("same").over(by_gram)).filter("all > 1")
-    shared = counted.select("id", "tk", "pos", "g", "c", (F.col("same") > 1).alias("whole"), (F.col("least") == 1).alias("mixed")).checkpoint()
+    # counts are made before the shuffle, so a gram that stands everywhere is a row for each task; the
+    # join back is one that Spark can split where it is skewed
+    often = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("low"), F.max("c").alias("high")).filter("all > 1").select("g", (F.col("low") != F.col("high")).alias("several"))
+    found = anchors.join(often, "g").checkpoint()
+    same = found.filter("several").groupBy("g", "c").agg((F.count(F.lit(1)) > 1).alias("whole"))
+    mixed = same.groupBy("g").agg(F.min("whole").alias("all_whole")).filter("not all_whole").select(F.col("g").alias("m_g"), F.lit(True).alias("mixed"))
+    known = same.join(mixed, same["g"] == mixed["m_g"], "left").select("g", "c", "whole", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    shared = found.filter("several").join(known, ["g", "c"]).select("id", "tk", "pos", "g", "c", "whole", "mixed")
+    shared = shared.unionByName(found.filter("not several").select("id", "tk", "pos", "g", "c", F.lit(True).alias("whole"), F.lit(False).alias("mixed"))).checkpoint()
 
     one = shared.filter("mixed").groupBy("g", "c").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tk", "pos")).alias("x"))
     asked = one.groupBy(F.col("x.id").alias("id"), F.col("x.tk").alias("xtk")).agg(F.collect_list(F.struct(F.col("x.pos").alias("pos"), "g", "c")).alias("items"))
