@@ -252,23 +252,22 @@ class Verified:
         self.sets.append(own)
 
 
-def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, blocks: int = WIDE_BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, th, group_id (the smallest id of the group) for each row.
+def _grouped(docs: DataFrame, key: str, radius: int, blocks: int, similarity: float) -> DataFrame:
+    """doc_id, th, group_id, group_th for each row of docs (key, th, text and others).
 
     The fingerprints are over distinct words, which near copies share nearly all of; components of
     fingerprints within the radius are taken apart into groups joined by pairs of texts whose shingle
     sets have the similarity. Equal texts count once. A component's distinct texts meet in one task,
     which holds their shingle hashes.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prints = fingerprint_documents(df, id_col, text_col, 1, True).checkpoint()
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = fingerprint_documents(docs, key, "text", 1, True).checkpoint()
     rooted = _with_roots(prints, radius, blocks)
     texts = rooted.groupBy("root", "th").agg(_least().alias("least")).checkpoint()
     mixed = texts.groupBy("root").count().filter("count > 1").select("root")
     members = texts.join(mixed, "root").select("root", F.col("th").alias("m_th"), F.col("least.id").alias("m_id"))
-    docs = keyed_text(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    read = docs.join(members, docs["doc_id"].eqNullSafe(members["m_id"]) & (docs["th"] == members["m_th"])).select("root", "th", "text")
+    # all columns go along, so that the shuffle of docs is the one that the caller's join can use again
+    read = docs.join(members, docs[key].eqNullSafe(members["m_id"]) & (docs["th"] == members["m_th"])).drop("m_id", "m_th")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root, ths, groups = None, [], Verified(similarity)
@@ -278,7 +277,7 @@ def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return pa.RecordBatch.from_arrays([pa.array([root] * len(ths), pa.int64()), pa.array(ths, pa.int64()), pa.array(heads, pa.int64())], ["root", "th", "head"])
 
         for batch in batches:
-            for r, th, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for r, th, text in zip(*(batch.column(c).to_pylist() for c in ("root", "th", "text"))):
                 if r != root:
                     if ths:
                         yield done()
@@ -291,12 +290,26 @@ def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     heads = read.repartition(n, "root").sortWithinPartitions("root", "th").mapInArrow(run, "root bigint, th bigint, head bigint")
     labelled = texts.join(heads, ["root", "th"], "left").withColumn("head", F.coalesce("head", "th"))
-    least = labelled.groupBy("root", "head").agg(F.min("least").alias("smallest"))
-    group = labelled.join(least, ["root", "head"]).select("root", "th", F.col("smallest.id").alias("group_id"))
-    return rooted.join(group, ["root", "th"]).select("doc_id", "th", "group_id")
+    least = labelled.groupBy("root", "head").agg(F.min(F.struct("least", "th")).alias("smallest"))
+    group = labelled.join(least, ["root", "head"]).select("root", "th", F.col("smallest.least.id").alias("group_id"), F.col("smallest.th").alias("group_th"))
+    return rooted.join(group, ["root", "th"]).select("doc_id", "th", "group_id", "group_th")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """The rows of df that stand for their group: the row of its smallest id, once."""
-    kept = verified_groups(df, id_col, text_col, **more).filter(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return df.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, blocks: int = WIDE_BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, th, group_id, group_th (smallest id of the group, and the hash of its text) for each row."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return _grouped(keyed_text(df, id_col, text_col).withColumn("th", F.xxhash64("text")), "doc_id", radius, blocks, similarity)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, blocks: int = WIDE_BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of df that stand for their group: the row of its smallest id, once. The texts are
+    shuffled once."""
+    ensure_checkpoint_dir(df.sparkSession)
+    names = {c: f"c{i}" for i, c in enumerate(df.columns) if c != text_col}
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = df.select(F.xxhash64(text).alias("th"), text.alias("text"), F.col(text_col).isNull().alias("no_text"), *[F.col(f"`{c}`").alias(a) for c, a in names.items()])
+    key = names[id_col]
+    groups = _grouped(docs, key, radius, blocks, similarity)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("th") == F.col("group_th"))).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")).distinct()
+    rows = docs.join(kept, docs[key].eqNullSafe(kept["k_id"]) & (docs["th"] == kept["k_th"]), "left_semi").dropDuplicates([key, "th"])
+    return rows.select(*[F.when(~F.col("no_text"), F.col("text")).alias(c) if c == text_col else F.col(names[c]).alias(c) for c in df.columns])
