@@ -34,7 +34,7 @@ SEQUENCES, SEQUENCE_WORDS, EPOCHS = 1600, 60, 40
 NGRAM_BITS, WORD_BITS = 14, 17
 UNKNOWN = "und"
 #: Texts whose recursions run together, and texts whose features are made together.
-BATCH_CHARS, PART_CHARS = 1 << 22, 1 << 19
+BATCH_CHARS, PART_CHARS = 1 << 21, 1 << 19
 _letters: list[np.ndarray] = []
 
 
@@ -167,16 +167,18 @@ def word_scores(field: Field, texts: list[str], sizes: np.ndarray) -> tuple[np.n
 
 def train(texts: list[str], langs: list[str], seed: int = 7) -> Field | None:
     """Maximum likelihood with L2 by Adam over sequences made of pieces of texts."""
-    cp, begin = code_points(texts)
-    starts, stops, grams, words = features(cp)
-    owner = np.searchsorted(begin, starts, "right") - 1
     labels = sorted(set(langs))
-    if not len(starts) or not labels:
+    parts = list(chunks_of(np.array([len(t) for t in texts], np.int64), PART_CHARS))
+    counts = []
+    for lo, hi in parts:
+        cp, begin = code_points(texts[lo:hi])
+        counts.append(np.diff(np.searchsorted(word_bounds(cp)[1], begin)))
+    count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    if not count.sum():
         return None
-    label_of = np.array([labels.index(x) for x in langs])[owner]
+    label_of = np.repeat(np.array([labels.index(x) for x in langs]), count)
     rng = np.random.default_rng(seed)
-    first = np.searchsorted(owner, np.arange(len(texts)))
-    count = np.bincount(owner, minlength=len(texts))
+    first = np.cumsum(count) - count
     usable = np.flatnonzero(count >= 3)
     if not len(usable):
         usable = np.flatnonzero(count)
@@ -193,14 +195,22 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Field | None:
     used, inverse = np.unique(picks, return_inverse=True)
     inverse = inverse.reshape(picks.shape)
     gold = label_of[picks]
-    spans = (stops - starts + 1)[used]
-    flat = np.repeat(starts[used] - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))
-    row = np.repeat(np.arange(len(used)), spans)
     # every feature of every used word: its slot in one long table, and its word
     tables = [1 << NGRAM_BITS] * 3 + [1 << WORD_BITS, 1 << NGRAM_BITS, 1 << NGRAM_BITS]
     offset = np.cumsum([0, *tables])
-    slots = np.concatenate([g[flat] + o for g, o in zip(grams, offset)] + [w[used] + o for w, o in zip(words, offset[3:])])
-    rows = np.concatenate([row] * 3 + [np.arange(len(used))] * 3)
+    slot_parts, row_parts = [], []
+    for lo, hi in parts:
+        begun = int(first[lo])
+        here = np.arange(*np.searchsorted(used, [begun, begun + int(count[lo:hi].sum())]))
+        if not len(here):
+            continue
+        starts, stops, grams, words = features(code_points(texts[lo:hi])[0])
+        own = used[here] - begun
+        spans = (stops - starts + 1)[own]
+        flat = np.repeat(starts[own] - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))
+        slot_parts += [g[flat] + o for g, o in zip(grams, offset)] + [w[own] + o for w, o in zip(words, offset[3:])]
+        row_parts += [np.repeat(here, spans)] * 3 + [here] * 3
+    slots, rows = np.concatenate(slot_parts), np.concatenate(row_parts)
     slot_ids, slots = np.unique(slots, return_inverse=True)
     weight = np.zeros((len(slot_ids), k))
     start, step = np.zeros(k), np.zeros((k, k))
