@@ -372,13 +372,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     key = names[id_col]
     kind = docs.schema[key].dataType.simpleString()
     anchors = docs.select(key, "tk", "text").mapInArrow(_anchor_rows(length, gram), f"id {kind}, tk int, pos int, g bigint, c bigint")
-    # counts are made before the shuffle, so a gram that stands everywhere is a row for each task; the
-    # join back is one that Spark can split where it is skewed
-    often = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("low"), F.max("c").alias("high")).filter("all > 1").select("g", (F.col("low") != F.col("high")).alias("several"))
+    # counts are made before the shuffle, so a gram that stands everywhere is a row for each task; they
+    # are written down before they are joined back, as Spark splits a skewed join of plain shuffles only
+    often = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("low"), F.max("c").alias("high")).filter("all > 1").select("g", (F.col("low") != F.col("high")).alias("several")).checkpoint()
     found = anchors.join(often, "g").checkpoint()
     same = found.filter("several").groupBy("g", "c").agg((F.count(F.lit(1)) > 1).alias("whole"))
     mixed = same.groupBy("g").agg(F.min("whole").alias("all_whole")).filter("not all_whole").select(F.col("g").alias("m_g"), F.lit(True).alias("mixed"))
-    known = same.join(mixed, same["g"] == mixed["m_g"], "left").select("g", "c", "whole", F.coalesce("mixed", F.lit(False)).alias("mixed"))
+    known = same.join(mixed, same["g"] == mixed["m_g"], "left").select("g", "c", "whole", F.coalesce("mixed", F.lit(False)).alias("mixed")).checkpoint()
     shared = found.filter("several").join(known, ["g", "c"]).select("id", "tk", "pos", "g", "c", "whole", "mixed")
     shared = shared.unionByName(found.filter("not several").select("id", "tk", "pos", "g", "c", F.lit(True).alias("whole"), F.lit(False).alias("mixed"))).checkpoint()
 
