@@ -1 +1 @@
-
+"""No streaming operators: the original has none."""
