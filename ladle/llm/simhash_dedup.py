@@ -7,6 +7,10 @@ fingerprints form a BK-tree: a child hangs under the edge numbered by its Hammin
 parent, and a search follows only the edges within the radius. A shard returns a spanning forest of
 its links, components of which are joined over all shards by Spark jobs.
 
+`keep_one` groups texts by the similarity of their word shingles instead. The links between
+fingerprints don't hold all such pairs, so an equi-join on prefixes of shingle sets, which does, finds
+the pairs that are verified.
+
 The trees of all shards grow with the input, so they are not broadcast: each is built in the task
 that the shuffle brings its shard's distinct fingerprints to. Equal fingerprints are one node.
 
@@ -32,10 +36,12 @@ from ladle.llm.components import components
 from ladle.session import ensure_checkpoint_dir
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: For `keep_one`: bits by which near copies' word fingerprints may differ, blocks of bits of which two
+#: For `keep_one`: bits by which linked word fingerprints may differ, blocks of bits of which two
 #: must agree, words of a verified shingle, and the similarity of the shingle sets.
 WIDE_RADIUS, WIDE_BLOCKS, VERIFIED_SHINGLE, SIMILARITY = 10, 8, 5, 0.8
-SKETCH = 64
+#: Buckets that shingles are counted in, rows of a shingle that meet in one cell, texts that a task
+#: remembers to pass equal ones once, and rows that are matched at a time.
+WEIGHTS, HOT_ROWS, SEEN_TEXTS, MATCH_ROWS = 1 << 20, 20_000, 200_000, 100_000
 
 
 def simhash(text: str, shingle: int = SHINGLE, distinct: bool = False) -> int:
@@ -176,10 +182,10 @@ def shard_links(df: DataFrame, radius: int = RADIUS, blocks: int | None = None)
     return shards.mapInArrow(run, "u bigint, v bigint")
 
 
-def _with_roots(prints: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
-    """prints and root, a fingerprint that stands for its component."""
+def _with_roots(prints: DataFrame, radius: int, blocks: int | None, more: DataFrame) -> DataFrame:
+    """prints and root, a fingerprint that stands for its component over links within the radius and `more` (u, v)."""
     nodes = prints.select("fp").distinct()
-    roots = components(shard_links(nodes, radius, blocks))
+    roots = components(shard_links(nodes, radius, blocks).unionByName(more))
     return prints.join(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "fp")
 
 
@@ -207,15 +213,125 @@ def shingle_hashes(text: str, size: int = VERIFIED_SHINGLE) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))], np.uint64))
 
 
-def _sketch(hashes: np.ndarray) -> np.ndarray:
-    """The least of `SKETCH` orders of the hashes."""
-    k = np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    out = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), 4096):
-        x = hashes[at : at + 4096, None] ^ k
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-        out = np.minimum(out, (x ^ (x >> np.uint64(32))).min(axis=0))
-    return out
+def _overlap(similarity: float, total: np.ndarray) -> np.ndarray:
+    """Shingles that sets of the similarity share at least, of the sum of their sizes."""
+    return np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64)
+
+
+def _shingle_weights(docs: DataFrame) -> np.ndarray:
+    """How many shingles of all texts fall into each of `WEIGHTS` buckets; added up per bucket block."""
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = WEIGHTS // 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(WEIGHTS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, (shingle_hashes(text) % np.uint64(WEIGHTS)).astype(np.int64), 1)
+        if counts.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([c.astype(np.int64).tobytes() for c in counts.reshape(64, block)], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["block", "counts"])
+
+    out = np.zeros((64, block), np.int64)
+    for r in docs.select("text").mapInArrow(count, "block int, counts binary").repartition(n, "block").mapInArrow(add, "block int, counts binary").collect():
+        out[r["block"]] = np.frombuffer(r["counts"], np.int64)
+    return out.ravel()
+
+
+def _matches(rows: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """th of both texts of each pair that shares a row's shingle and cell and passes the length and
+    position filters. rows: shingle, cell, size, place, side, th, sorted by the first three."""
+    shingle, cell, size, place, side, th = rows
+    at, apart, found = np.arange(len(th)), 0, []
+    least = np.ceil(similarity * size - 1e-9)
+    while True:
+        apart += 1
+        at = at[at + apart < len(th)]
+        to = at + apart
+        # sizes rise within a cell, so that a pair too far apart in size has no later one
+        near = (shingle[to] == shingle[at]) & (cell[to] == cell[at]) & (size[at] >= least[to])
+        at, to = at[near], to[near]
+        if not len(at):
+            break
+        room = np.minimum(size[at] - place[at], size[to] - place[to])
+        good = (room >= _overlap(similarity, size[at] + size[to])) & ((side[at] == 2) | (side[at] != side[to])) & (th[at] != th[to])
+        found.append(np.stack((np.minimum(th[at[good]], th[to[good]]), np.maximum(th[at[good]], th[to[good]]))))
+    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+    return pairs[0], pairs[1]
+
+
+def shingle_candidates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b (a < b): hashes of texts, among them every pair whose shingle sets have the similarity.
+
+    docs: th, text. Shingles are ordered by how full their bucket of `WEIGHTS` is, then by hash: any
+    order that all texts share is exact, and this one puts what many texts share last. Sets of the
+    similarity share one of their first n - ceil(similarity * n) + 1 shingles. A shingle of a bucket
+    with `HOT_ROWS` rows over the mean is dealt to pairs of ranges of texts.
+    """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    weights = _shingle_weights(docs)
+    ranges = 1 + np.maximum(weights - int(weights.mean()), 0) // HOT_ROWS
+    shared = spark.sparkContext.broadcast((weights, ranges.astype(np.int32)))
+    names = ["shingle", "cell", "size", "place", "side", "th"]
+    schema = "shingle bigint, cell bigint, size int, place int, side int, th bigint"
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, ranges = shared.value
+        seen: set[int] = set()
+        out, n_out = [], 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(np.concatenate(out, axis=1), kinds)], names)
+
+        for batch in batches:
+            for th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if th in seen:
+                    continue
+                if len(seen) < SEEN_TEXTS:
+                    seen.add(th)
+                hashes = shingle_hashes(text)
+                bucket = (hashes % np.uint64(WEIGHTS)).astype(np.int64)
+                size = len(hashes)
+                first = np.lexsort((hashes, weight[bucket]))[: size - int(np.ceil(similarity * size - 1e-9)) + 1]
+                place, parts = np.arange(len(first)), ranges[bucket[first]].astype(np.int64)
+                rows, other = np.repeat(place, parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+                mine = th % parts[rows]
+                cell = np.minimum(mine, other) * (1 << 31) + np.maximum(mine, other)
+                side = np.where(mine == other, 2, (mine > other).astype(np.int64))
+                out.append(np.stack((hashes[first][rows].view(np.int64), cell, np.full(len(rows), size), rows, side, np.full(len(rows), th))))
+                n_out += len(rows)
+                if n_out >= MATCH_ROWS:
+                    yield done()
+                    out, n_out = [], 0
+        if out:
+            yield done()
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.zeros(0, np.int64)] * len(names)
+        for batch in batches:
+            kept = [np.concatenate((k, c.to_numpy().astype(np.int64))) for k, c in zip(kept, batch.columns)]
+            if len(kept[0]) < MATCH_ROWS:
+                continue
+            # the last cell may go on in the next batch
+            last = int(np.flatnonzero((kept[0] != kept[0][-1]) | (kept[1] != kept[1][-1]))[-1:].sum() + 1)
+            if last > 1:
+                a, b = _matches([k[:last] for k in kept], similarity)
+                kept = [k[last:] for k in kept]
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        a, b = _matches(kept, similarity)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = docs.select("th", "text").mapInArrow(prefixes, schema)
+    dealt = rows.repartition(n, "shingle", "cell").sortWithinPartitions("shingle", "cell", "size")
+    return dealt.mapInArrow(match, "a bigint, b bigint").distinct()
 
 
 class Verified:
@@ -224,7 +340,7 @@ class Verified:
     def __init__(self, similarity: float):
         self.similarity = similarity
         self.sets: list[np.ndarray] = []
-        self.sketches = np.zeros((16, SKETCH), np.uint64)
+        self.places: dict[int, int] = {}
         self.parent: list[int] = []
 
     def find(self, i: int) -> int:
@@ -233,22 +349,17 @@ class Verified:
             i = self.parent[i]
         return i
 
-    def add(self, text: str) -> None:
+    def add(self, th: int, text: str, earlier: list[int]) -> None:
+        """A text and the hashes of the texts before it that it may be similar to."""
         me, own = len(self.sets), shingle_hashes(text)
-        sketch = _sketch(own)
         self.parent.append(me)
-        if me:
-            # at 0.8 the share of equal values is under 0.5 once in ten million
-            agree = (self.sketches[:me] == sketch).mean(axis=1)
-            for other in np.argsort(-agree, kind="stable")[: int((agree >= self.similarity - 0.3).sum())].tolist():
-                if self.find(other) != self.find(me):
-                    a = self.sets[other]
-                    shared = len(np.intersect1d(a, own, assume_unique=True))
-                    if shared >= self.similarity * (len(a) + len(own) - shared) - 1e-9:
-                        self.parent[self.find(me)] = self.find(other)
-        if me == len(self.sketches):
-            self.sketches = np.concatenate((self.sketches, np.zeros_like(self.sketches)))
-        self.sketches[me] = sketch
+        self.places[th] = me
+        for other in (self.places[e] for e in earlier):
+            if self.find(other) != self.find(me):
+                a = self.sets[other]
+                shared = len(np.intersect1d(a, own, assume_unique=True))
+                if shared >= self.similarity * (len(a) + len(own) - shared) - 1e-9:
+                    self.parent[self.find(me)] = self.find(other)
         self.sets.append(own)
 
 
@@ -256,16 +367,21 @@ def _grouped(docs: DataFrame, key: str, radius: int, blocks: int, similarity: fl
     """doc_id, th, group_id, group_th for each row of docs (key, th, text and others).
 
     The fingerprints are over distinct words, which near copies share nearly all of; components of
-    fingerprints within the radius are taken apart into groups joined by pairs of texts whose shingle
-    sets have the similarity. Equal texts count once. A component's distinct texts meet in one task,
-    which holds their shingle hashes.
+    fingerprints within the radius, and of those that `shingle_candidates` pairs, are taken apart into
+    groups joined by pairs of texts whose shingle sets have the similarity, all of which are among the
+    candidates. Equal texts count once. A component's distinct texts meet in one task, which holds their
+    shingle hashes.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     prints = fingerprint_documents(docs, key, "text", 1, True).checkpoint()
-    rooted = _with_roots(prints, radius, blocks)
+    pairs = shingle_candidates(docs, similarity).checkpoint()
+    place = prints.select("th", "fp").distinct()
+    more = pairs.join(place.select(F.col("th").alias("a"), F.col("fp").alias("u")), "a").join(place.select(F.col("th").alias("b"), F.col("fp").alias("v")), "b").select("u", "v")
+    rooted = _with_roots(prints, radius, blocks, more)
     texts = rooted.groupBy("root", "th").agg(_least().alias("least")).checkpoint()
     mixed = texts.groupBy("root").count().filter("count > 1").select("root")
-    members = texts.join(mixed, "root").select("root", F.col("th").alias("m_th"), F.col("least.id").alias("m_id"))
+    earlier = pairs.groupBy(F.col("b").alias("th")).agg(F.collect_list("a").alias("earlier"))
+    members = texts.join(mixed, "root").join(earlier, "th", "left").select("root", F.col("th").alias("m_th"), F.col("least.id").alias("m_id"), "earlier")
     # all columns go along, so that the shuffle of docs is the one that the caller's join can use again
     read = docs.join(members, docs[key].eqNullSafe(members["m_id"]) & (docs["th"] == members["m_th"])).drop("m_id", "m_th")
 
@@ -277,14 +393,14 @@ def _grouped(docs: DataFrame, key: str, radius: int, blocks: int, similarity: fl
             return pa.RecordBatch.from_arrays([pa.array([root] * len(ths), pa.int64()), pa.array(ths, pa.int64()), pa.array(heads, pa.int64())], ["root", "th", "head"])
 
         for batch in batches:
-            for r, th, text in zip(*(batch.column(c).to_pylist() for c in ("root", "th", "text"))):
+            for r, th, text, earlier in zip(*(batch.column(c).to_pylist() for c in ("root", "th", "text", "earlier"))):
                 if r != root:
                     if ths:
                         yield done()
                     root, ths, groups = r, [], Verified(similarity)
                 if not ths or ths[-1] != th:  # rows with one id and one text come more than once
                     ths.append(th)
-                    groups.add(text)
+                    groups.add(th, text, earlier or [])
         if ths:
             yield done()
 

@@ -308,6 +308,23 @@ def test_kept_documents(spark):
 # 7 repeats
 
 
+@pytest.mark.parametrize("hot_rows", [20_000, 5])
+def test_kept_copies_down_to_the_similarity(spark, monkeypatch, hot_rows):
+    """Appended and cut copies at 0.8 and just below, with a common line; the low limit splits hot shingles."""
+    monkeypatch.setattr(simhash_dedup, "HOT_ROWS", hot_rows, raising=False)
+    rng = np.random.default_rng(11)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    texts = ["", None, "one two", "one two"]
+    for k in range(40):
+        base = words(104) if k % 2 else "this line stands in many texts of the corpus".split() + words(95)
+        texts += [" ".join(base), " ".join(base + words(25 if k % 4 else 26)), " ".join(base[: 84 if k % 3 else 83])]
+    got = {r.doc_id: r.group_id for r in simhash_dedup.verified_groups(frame(spark, texts)).collect()}
+    sets = [shingle_set(t or "") for t in texts]
+    want = roots_of(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    assert 40 < len(set(want)) < len(texts) - 40
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def brute_kept(texts, size):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[p : p + size] for d in data for p in range(len(d) - size + 1))
