@@ -8,8 +8,7 @@ score is the sum over all its tokens of the log-probability given both sides.
    frequent `VOCABULARY` words are tokens; every other word is one of `ENDINGS` tokens by a hash of
    its last letters.
 2. Each task trains a copy of the network in numpy on its texts, one Adam step for every
-   `BATCH` positions, taking every `STRIDE`-th position of every text, from an offset that depends
-   on the text. The copies are averaged, weighted by how much each has seen, by an aggregation over
+   `BATCH` positions, taking every position of every text. The copies are averaged, weighted by how much each has seen, by an aggregation over
    parameters.
 3. Every token of every text is scored.
 
@@ -39,7 +38,7 @@ from ladle.session import ensure_checkpoint_dir
 
 VOCABULARY, ENDINGS, OWN_CLASS, OTHER_CLASSES = 2000, 96, 40, 24
 EMBED, HIDDEN, SIDES = 8, 16, (-2, -1, 1, 2)
-BATCH, STRIDE, RATE = 2048, 4, 0.02
+BATCH, RATE = 2048, 0.02
 PART_CHARS, SCORE_ROWS = 1 << 20, 1 << 14
 COUNT_KEYS = 400_000
 TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -217,13 +216,10 @@ def fit(docs: DataFrame) -> tuple[Tokens, Network]:
         for batch in batches:
             for texts in _parts(batch, 0):
                 ids, sizes = vocabulary.encode(texts)
-                first = np.fromiter((xxhash.xxh32_intdigest(t.encode("utf-8", "surrogatepass")) % STRIDE for t in texts), np.int64, len(texts))
-                within = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                at = np.flatnonzero(within % STRIDE == np.repeat(np.minimum(first, np.maximum(sizes - 1, 0)), sizes))
-                context, group = vocabulary.contexts(ids, sizes, at), vocabulary.group[ids[at]]
-                for a in range(0, len(at), BATCH):
+                context, group = vocabulary.contexts(ids, sizes), vocabulary.group[ids]
+                for a in range(0, len(ids), BATCH):
                     adam.step(context[a : a + BATCH], group[a : a + BATCH])
-                seen += len(at)
+                seen += len(ids)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([net.flat().astype(np.float64) * seen]), pa.array([float(seen)])], ["params", "seen"])
 

@@ -214,6 +214,15 @@ def test_lm_gradient():
             assert (up - down) / 2e-5 == pytest.approx(g[at], abs=1e-4)
 
 
+def test_lm_trains_on_every_position(spark):
+    text = " ".join(prose(1, 5, 200))
+    tokens, net = lm_score.fit(frame(spark, [text]).select("doc_id", "text"))
+    ids, sizes = tokens.encode([text])
+    want = lm_score.Network(tokens.size, tokens.groups)
+    lm_score.Adam(want).step(tokens.contexts(ids, sizes), tokens.group[ids])
+    assert np.allclose(net.flat(), want.flat(), atol=1e-5)
+
+
 def test_lm_learns_from_both_sides(spark):
     rng = random.Random(1)
     ordered = [" ".join(x for _ in range(30) for x in ("red", "fox", rng.choice(["ran", "sat"]))) for _ in range(400)]
