@@ -7,9 +7,9 @@ fingerprints form a BK-tree: a child hangs under the edge numbered by its Hammin
 parent, and a search follows only the edges within the radius. A shard returns a spanning forest of
 its links, components of which are joined over all shards by Spark jobs.
 
-`keep_one` groups texts by the similarity of their word shingles instead. The links between
-fingerprints don't hold all such pairs, so an equi-join on prefixes of shingle sets, which does, finds
-the pairs that are verified.
+`keep_one` groups texts by the similarity of their five-word shingles instead. Fingerprints of similar
+texts may differ in more bits than any exact search covers, so the trees' links are joined by those of
+an exact set-similarity join (`shingle_join`), and all are verified.
 
 The trees of all shards grow with the input, so they are not broadcast: each is built in the task
 that the shuffle brings its shard's distinct fingerprints to. Equal fingerprints are one node.
@@ -33,22 +33,15 @@ from pyspark.sql import functions as F
 
 from ladle.llm.common import keyed_text
 from ladle.llm.components import components
+from ladle.llm.shingle_join import SIMILARITY, candidate_links, family_cells, shingle_hashes, verified_links
 from ladle.session import ensure_checkpoint_dir
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
-#: For `keep_one`: bits by which linked word fingerprints may differ, blocks of bits of which two
-#: must agree, words of a verified shingle, and the similarity of the shingle sets.
-WIDE_RADIUS, WIDE_BLOCKS, VERIFIED_SHINGLE, SIMILARITY = 10, 8, 5, 0.8
-#: Buckets that shingles are counted in, rows of a shingle that meet in one cell, texts that a task
-#: remembers to pass equal ones once, and rows that are matched at a time.
-WEIGHTS, HOT_ROWS, SEEN_TEXTS, MATCH_ROWS = 1 << 20, 20_000, 200_000, 100_000
 
 
-def simhash(text: str, shingle: int = SHINGLE, distinct: bool = False) -> int:
-    """The fingerprint of one text as an unsigned number; distinct: over its different words, each once."""
+def simhash(text: str, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one text as an unsigned number."""
     words = text.encode().lower().split()
-    if distinct:
-        words = list(set(words))
     if not words:
         return 0
     digest = xxhash.xxh64_intdigest
@@ -69,12 +62,12 @@ def simhash(text: str, shingle: int = SHINGLE, distinct: bool = False) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distinct: bool = False) -> DataFrame:
+def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long), th (hash of the whole text) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([simhash(t, shingle, distinct) for t in batch.column(1).to_pylist()], np.uint64)
+            prints = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["doc_id", "fp", "th"])
 
     docs = keyed_text(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
@@ -145,10 +138,9 @@ class LinkedTree:
             node = child
 
 
-def shard_links(df: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """u, v: links between distinct fingerprints `fp` that join all that lie within the radius; with
-    fewer than radius + 2 blocks, all that also agree in two blocks."""
-    blocks = blocks or radius + 2
+def shard_links(df: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """u, v: links between distinct fingerprints `fp` that join all that lie within the radius."""
+    blocks = radius + 2
     edges = [64 * i // blocks for i in range(blocks + 1)]
     parts = [F.shiftrightunsigned("fp", edges[i]).bitwiseAND((1 << (edges[i + 1] - edges[i])) - 1) for i in range(blocks)]
     width = 64 // blocks + 1
@@ -182,13 +174,6 @@ def shard_links(df: DataFrame, radius: int = RADIUS, blocks: int | None = None)
     return shards.mapInArrow(run, "u bigint, v bigint")
 
 
-def _with_roots(prints: DataFrame, radius: int, blocks: int | None, more: DataFrame) -> DataFrame:
-    """prints and root, a fingerprint that stands for its component over links within the radius and `more` (u, v)."""
-    nodes = prints.select("fp").distinct()
-    roots = components(shard_links(nodes, radius, blocks).unionByName(more))
-    return prints.join(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "fp")
-
-
 def _least(id_col: str = "doc_id"):
     """The smallest id, null before all others."""
     return F.min(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id")))
@@ -206,226 +191,91 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(component, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingle_hashes(text: str, size: int = VERIFIED_SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct word shingles of a text (of all its words, if they are fewer)."""
-    words = text.encode().lower().split()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(words[i : i + size]), SEED) for i in range(max(1, len(words) - size + 1))], np.uint64))
+def fingerprint_shingles(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, th, fp, size for each row of docs (key, th, text): the fingerprint over the distinct
+    five-word shingles, and how many there are."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes = [], []
+            for text in batch.column(2).to_pylist():
+                hashes = shingle_hashes(text)
+                ones = np.zeros(64, np.int64)
+                for at in range(0, len(hashes), 65536):  # bounds the unpacked bits of a very long text
+                    ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                prints.append(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+                sizes.append(len(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.int64)), pa.array(np.array(sizes, np.int64))], ["doc_id", "th", "fp", "size"])
 
-def _overlap(similarity: float, total: np.ndarray) -> np.ndarray:
-    """Shingles that sets of the similarity share at least, of the sum of their sizes."""
-    return np.ceil(similarity / (1 + similarity) * total - 1e-9).astype(np.int64)
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("doc_id"), "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, fp bigint, size bigint")
 
 
-def _shingle_weights(docs: DataFrame) -> np.ndarray:
-    """How many shingles of all texts fall into each of `WEIGHTS` buckets; added up per bucket block."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = WEIGHTS // 64
+def _id_text(id_col: str):
+    """An id as text that is never null, so that rows of null ids meet in plain joins."""
+    return F.to_json(F.struct(F.col(id_col).alias("id")))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(WEIGHTS, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                np.add.at(counts, (shingle_hashes(text) % np.uint64(WEIGHTS)).astype(np.int64), 1)
-        if counts.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([c.astype(np.int64).tobytes() for c in counts.reshape(64, block)], pa.binary())], ["block", "counts"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["block", "counts"])
-
-    out = np.zeros((64, block), np.int64)
-    for r in docs.select("text").mapInArrow(count, "block int, counts binary").repartition(n, "block").mapInArrow(add, "block int, counts binary").collect():
-        out[r["block"]] = np.frombuffer(r["counts"], np.int64)
-    return out.ravel()
-
-
-def _matches(rows: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """th of both texts of each pair that shares a row's shingle and cell and passes the length and
-    position filters. rows: shingle, cell, size, place, side, th, sorted by the first three."""
-    shingle, cell, size, place, side, th = rows
-    at, apart, found = np.arange(len(th)), 0, []
-    least = np.ceil(similarity * size - 1e-9)
-    while True:
-        apart += 1
-        at = at[at + apart < len(th)]
-        to = at + apart
-        # sizes rise within a cell, so that a pair too far apart in size has no later one
-        near = (shingle[to] == shingle[at]) & (cell[to] == cell[at]) & (size[at] >= least[to])
-        at, to = at[near], to[near]
-        if not len(at):
-            break
-        room = np.minimum(size[at] - place[at], size[to] - place[to])
-        good = (room >= _overlap(similarity, size[at] + size[to])) & ((side[at] == 2) | (side[at] != side[to])) & (th[at] != th[to])
-        found.append(np.stack((np.minimum(th[at[good]], th[to[good]]), np.maximum(th[at[good]], th[to[good]]))))
-    pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-    return pairs[0], pairs[1]
-
-
-def shingle_candidates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b (a < b): hashes of texts, among them every pair whose shingle sets have the similarity.
-
-    docs: th, text. Shingles are ordered by how full their bucket of `WEIGHTS` is, then by hash: any
-    order that all texts share is exact, and this one puts what many texts share last. Sets of the
-    similarity share one of their first n - ceil(similarity * n) + 1 shingles. A shingle of a bucket
-    with `HOT_ROWS` rows over the mean is dealt to pairs of ranges of texts.
+def _grouped(docs: DataFrame, key: str, radius: int, similarity: float) -> DataFrame:
+    """th, least, head for each distinct text of docs (key, id_text, th, text and others): its smallest id, and a
+    text that stands for its group.
+
+    Links of the BK-trees and those of `candidate_links`, which hold every pair at the similarity,
+    make families; within these, pairs of texts whose shingle sets have the similarity make groups.
+    Equal texts count once. A family is verified in cells of bounded size.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    weights = _shingle_weights(docs)
-    ranges = 1 + np.maximum(weights - int(weights.mean()), 0) // HOT_ROWS
-    shared = spark.sparkContext.broadcast((weights, ranges.astype(np.int32)))
-    names = ["shingle", "cell", "size", "place", "side", "th"]
-    schema = "shingle bigint, cell bigint, size int, place int, side int, th bigint"
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, ranges = shared.value
-        seen: set[int] = set()
-        out, n_out = [], 0
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(np.concatenate(out, axis=1), kinds)], names)
+    prints = fingerprint_shingles(docs, key).checkpoint()
+    texts = prints.groupBy("th").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), _least().alias("least")).checkpoint()
+    near = shard_links(texts.select("fp").distinct(), radius)
+    # a fingerprint is a node beside the texts that have it
+    used = near.select(F.explode(F.array("u", "v")).alias("fp")).unionAll(texts.groupBy("fp").count().filter("count > 1").select("fp")).distinct()
+    node = F.xxhash64(F.lit("fingerprint"), "fp")
+    held = texts.join(used, "fp", "left_semi").select(F.col("th").alias("u"), node.alias("v"))
+    trees = near.select(F.xxhash64(F.lit("fingerprint"), "u").alias("u"), F.xxhash64(F.lit("fingerprint"), "v").alias("v"))
+    families = components(candidate_links(docs, similarity).unionByName(held).unionByName(trees))
+    members = texts.join(families, texts["th"] == families["node"]).select("th", "size", "root", _id_text("least.id").alias("id_text"))
+    cells = family_cells(members).select("id_text", "th", "cells")
+    # all columns go along, so that the shuffle of docs is the one that the caller's join can use again
+    read = docs.join(cells, ["id_text", "th"])
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if th in seen:
-                    continue
-                if len(seen) < SEEN_TEXTS:
-                    seen.add(th)
-                hashes = shingle_hashes(text)
-                bucket = (hashes % np.uint64(WEIGHTS)).astype(np.int64)
-                size = len(hashes)
-                first = np.lexsort((hashes, weight[bucket]))[: size - int(np.ceil(similarity * size - 1e-9)) + 1]
-                place, parts = np.arange(len(first)), ranges[bucket[first]].astype(np.int64)
-                rows, other = np.repeat(place, parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-                mine = th % parts[rows]
-                cell = np.minimum(mine, other) * (1 << 31) + np.maximum(mine, other)
-                side = np.where(mine == other, 2, (mine > other).astype(np.int64))
-                out.append(np.stack((hashes[first][rows].view(np.int64), cell, np.full(len(rows), size), rows, side, np.full(len(rows), th))))
-                n_out += len(rows)
-                if n_out >= MATCH_ROWS:
-                    yield done()
-                    out, n_out = [], 0
-        if out:
-            yield done()
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [np.zeros(0, np.int64)] * len(names)
-        for batch in batches:
-            kept = [np.concatenate((k, c.to_numpy().astype(np.int64))) for k, c in zip(kept, batch.columns)]
-            if len(kept[0]) < MATCH_ROWS:
-                continue
-            # the last cell may go on in the next batch
-            last = int(np.flatnonzero((kept[0] != kept[0][-1]) | (kept[1] != kept[1][-1]))[-1:].sum() + 1)
-            if last > 1:
-                a, b = _matches([k[:last] for k in kept], similarity)
-                kept = [k[last:] for k in kept]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        a, b = _matches(kept, similarity)
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    rows = docs.select("th", "text").mapInArrow(prefixes, schema)
-    dealt = rows.repartition(n, "shingle", "cell").sortWithinPartitions("shingle", "cell", "size")
-    return dealt.mapInArrow(match, "a bigint, b bigint").distinct()
-
-
-class Verified:
-    """Groups of texts whose shingle sets are similar, directly or through others."""
-
-    def __init__(self, similarity: float):
-        self.similarity = similarity
-        self.sets: list[np.ndarray] = []
-        self.places: dict[int, int] = {}
-        self.parent: list[int] = []
+            done: dict[int, bytes] = {}
+            hashes = [done[t] if t in done else done.setdefault(t, shingle_hashes(x).tobytes()) for t, x in zip(batch.column("th").to_pylist(), batch.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(hashes, pa.binary()), batch.column("cells")], ["th", "hashes", "cells"])
 
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
+    hashed = read.select("th", "text", "cells", *[c for c in docs.columns if c not in ("th", "text")]).mapInArrow(sets, "th bigint, hashes binary, cells array<struct<cell:bigint,side:int>>")
+    linked = verified_links(hashed.select("th", "hashes", F.explode("cells").alias("c")).select("c.cell", "c.side", "th", "hashes"), similarity)
+    groups = components(linked)
+    return texts.join(groups, texts["th"] == groups["node"], "left").select("th", "least", F.coalesce("root", "th").alias("head"))
 
-    def add(self, th: int, text: str, earlier: list[int]) -> None:
-        """A text and the hashes of the texts before it that it may be similar to."""
-        me, own = len(self.sets), shingle_hashes(text)
-        self.parent.append(me)
-        self.places[th] = me
-        for other in (self.places[e] for e in earlier):
-            if self.find(other) != self.find(me):
-                a = self.sets[other]
-                shared = len(np.intersect1d(a, own, assume_unique=True))
-                if shared >= self.similarity * (len(a) + len(own) - shared) - 1e-9:
-                    self.parent[self.find(me)] = self.find(other)
-        self.sets.append(own)
-
-
-def _grouped(docs: DataFrame, key: str, radius: int, blocks: int, similarity: float) -> DataFrame:
-    """doc_id, th, group_id, group_th for each row of docs (key, th, text and others).
-
-    The fingerprints are over distinct words, which near copies share nearly all of; components of
-    fingerprints within the radius, and of those that `shingle_candidates` pairs, are taken apart into
-    groups joined by pairs of texts whose shingle sets have the similarity, all of which are among the
-    candidates. Equal texts count once. A component's distinct texts meet in one task, which holds their
-    shingle hashes.
-    """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    prints = fingerprint_documents(docs, key, "text", 1, True).checkpoint()
-    pairs = shingle_candidates(docs, similarity).checkpoint()
-    place = prints.select("th", "fp").distinct()
-    more = pairs.join(place.select(F.col("th").alias("a"), F.col("fp").alias("u")), "a").join(place.select(F.col("th").alias("b"), F.col("fp").alias("v")), "b").select("u", "v")
-    rooted = _with_roots(prints, radius, blocks, more)
-    texts = rooted.groupBy("root", "th").agg(_least().alias("least")).checkpoint()
-    mixed = texts.groupBy("root").count().filter("count > 1").select("root")
-    earlier = pairs.groupBy(F.col("b").alias("th")).agg(F.collect_list("a").alias("earlier"))
-    members = texts.join(mixed, "root").join(earlier, "th", "left").select("root", F.col("th").alias("m_th"), F.col("least.id").alias("m_id"), "earlier")
-    # all columns go along, so that the shuffle of docs is the one that the caller's join can use again
-    read = docs.join(members, docs[key].eqNullSafe(members["m_id"]) & (docs["th"] == members["m_th"])).drop("m_id", "m_th")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, ths, groups = None, [], Verified(similarity)
+def _smallest(groups: DataFrame) -> DataFrame:
+    """head, group_id, group_th: the smallest id of each group, and the text that has it (of several
+    with that id the one of the smallest hash)."""
+    return groups.groupBy("head").agg(F.min(F.struct("least", "th")).alias("x")).select("head", F.col("x.least.id").alias("group_id"), F.col("x.th").alias("group_th"))
 
-        def done() -> pa.RecordBatch:
-            heads = [ths[groups.find(i)] for i in range(len(ths))]
-            return pa.RecordBatch.from_arrays([pa.array([root] * len(ths), pa.int64()), pa.array(ths, pa.int64()), pa.array(heads, pa.int64())], ["root", "th", "head"])
 
-        for batch in batches:
-            for r, th, text, earlier in zip(*(batch.column(c).to_pylist() for c in ("root", "th", "text", "earlier"))):
-                if r != root:
-                    if ths:
-                        yield done()
-                    root, ths, groups = r, [], Verified(similarity)
-                if not ths or ths[-1] != th:  # rows with one id and one text come more than once
-                    ths.append(th)
-                    groups.add(th, text, earlier or [])
-        if ths:
-            yield done()
-
-    heads = read.repartition(n, "root").sortWithinPartitions("root", "th").mapInArrow(run, "root bigint, th bigint, head bigint")
-    labelled = texts.join(heads, ["root", "th"], "left").withColumn("head", F.coalesce("head", "th"))
-    least = labelled.groupBy("root", "head").agg(F.min(F.struct("least", "th")).alias("smallest"))
-    group = labelled.join(least, ["root", "head"]).select("root", "th", F.col("smallest.least.id").alias("group_id"), F.col("smallest.th").alias("group_th"))
-    return rooted.join(group, ["root", "th"]).select("doc_id", "th", "group_id", "group_th")
-
-
-def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, blocks: int = WIDE_BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, th, group_id, group_th (smallest id of the group, and the hash of its text) for each row."""
+def verified_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, th (hash of the text), group_id (smallest id of the group) for each row."""
     ensure_checkpoint_dir(df.sparkSession)
-    return _grouped(keyed_text(df, id_col, text_col).withColumn("th", F.xxhash64("text")), "doc_id", radius, blocks, similarity)
+    docs = keyed_text(df, id_col, text_col).withColumn("th", F.xxhash64("text")).withColumn("id_text", _id_text("doc_id"))
+    groups = _grouped(docs, "doc_id", radius, similarity)
+    named = groups.join(_smallest(groups), "head").select("th", "group_id")
+    return docs.select("doc_id", "th").join(named, "th")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = WIDE_RADIUS, blocks: int = WIDE_BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of df that stand for their group: the row of its smallest id, once. The texts are
-    shuffled once."""
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of df that stand for their group: the row of its smallest id, once. Of rows with equal
+    id and text the one whose other columns come first as JSON stays. The texts are shuffled once."""
     ensure_checkpoint_dir(df.sparkSession)
     names = {c: f"c{i}" for i, c in enumerate(df.columns) if c != text_col}
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.xxhash64(text).alias("th"), text.alias("text"), F.col(text_col).isNull().alias("no_text"), *[F.col(f"`{c}`").alias(a) for c, a in names.items()])
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    docs = df.select(F.xxhash64(text).alias("th"), text.alias("text"), F.col(f"`{text_col}`").isNull().alias("no_text"), *[F.col(f"`{c}`").alias(a) for c, a in names.items()])
     key = names[id_col]
-    groups = _grouped(docs, key, radius, blocks, similarity)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("th") == F.col("group_th"))).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th")).distinct()
-    rows = docs.join(kept, docs[key].eqNullSafe(kept["k_id"]) & (docs["th"] == kept["k_th"]), "left_semi").dropDuplicates([key, "th"])
+    docs = docs.withColumn("id_text", _id_text(key))
+    kept = _smallest(_grouped(docs, key, radius, similarity)).select(_id_text("group_id").alias("id_text"), F.col("group_th").alias("th"))
+    rows = docs.join(kept, ["id_text", "th"], "left_semi")
+    others = [c for c in rows.columns if c not in ("id_text", "th", "text")]
+    rows = rows.groupBy("id_text", "th").agg(F.first("text").alias("text"), F.min_by(F.struct(*others), F.to_json(F.struct(*others))).alias("x")).select("text", *[F.col(f"x.{c}").alias(c) for c in others])
     return rows.select(*[F.when(~F.col("no_text"), F.col("text")).alias(c) if c == text_col else F.col(names[c]).alias(c) for c in df.columns])

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ladle.llm import chat_format, decontaminate, fingerprints, language_id, license_scan, lm_score, piece_sampling, simhash_dedup, suffix_dedup, token_counts
+from ladle.llm import chat_format, decontaminate, fingerprints, language_id, license_scan, lm_score, piece_sampling, shingle_join, simhash_dedup, suffix_dedup, token_counts
 
 # columns whose names clash with those that the operators use inside
 EXTRA = "lang string, c0 string, tk int, items int, key string, leaks int"
@@ -314,13 +314,11 @@ def test_kept_documents(spark):
     assert simhash_dedup.keep_one(frame(spark, []).limit(0)).count() == 0
 
 
-# 7 repeats
-
-
-@pytest.mark.parametrize("hot_rows", [20_000, 5])
-def test_kept_copies_down_to_the_similarity(spark, monkeypatch, hot_rows):
-    """Appended and cut copies at 0.8 and just below, with a common line; the low limit splits hot shingles."""
-    monkeypatch.setattr(simhash_dedup, "HOT_ROWS", hot_rows, raising=False)
+@pytest.mark.parametrize("limits", [{}, {"HOT_ROWS": 5}, {"LIST": 2, "PART_TEXTS": 3}, {"MATCH_ROWS": 40, "LIST": 4, "PART_SHINGLES": 300}])
+def test_kept_copies_down_to_the_similarity(spark, monkeypatch, limits):
+    """Appended and cut copies at 0.8 and just below, with a common line; low limits tie shingles and split families."""
+    for name, value in limits.items():
+        monkeypatch.setattr(shingle_join, name, value)
     rng = np.random.default_rng(11)
     words = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
     texts = ["", None, "one two", "one two"]
@@ -334,6 +332,61 @@ def test_kept_copies_down_to_the_similarity(spark, monkeypatch, hot_rows):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("n_words", [20, 40, 60, 100, 200, 400])
+def test_no_pair_at_the_similarity_is_lost(spark, n_words):
+    """Copies with words changed in one place, at several, at the end, or cut, at similarities from 0.8 to 0.85 and below."""
+    rng = np.random.default_rng(n_words)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    texts = []
+    for k in range(60):
+        base, other = words(n_words), []
+        while not other or len(shingle_set(" ".join(base)) & shingle_set(" ".join(other))) < 0.7 * (n_words - 4):
+            other, part = list(base), max(1, int(n_words * rng.uniform(0.02, 0.2)))
+            if k % 4 == 0:
+                other[-part:] = words(part)
+            elif k % 4 == 1:
+                other[:part] = words(part)
+            elif k % 4 == 2:
+                del other[-part:]
+            else:
+                for at in rng.integers(0, n_words, max(1, n_words // 50)):
+                    other[at] = "changed"
+        texts += [" ".join(base), " ".join(other)]
+    got = {r.doc_id: r.group_id for r in simhash_dedup.verified_groups(frame(spark, texts)).collect()}
+    sets = [shingle_set(t) for t in texts]
+    want = roots_of(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(texts)
+
+
+def test_a_large_family_is_split(spark, monkeypatch):
+    """Near copies of one text, many to a shingle, verified in cells of a few texts each."""
+    monkeypatch.setattr(shingle_join, "LIST", 8)
+    monkeypatch.setattr(shingle_join, "PART_TEXTS", 10)
+    rng = random.Random(21)
+    base = prose(1, 22, 1)[0].split() + [f"v{k}" for k in range(90)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"x{rng.random()}"
+        texts.append(" ".join(w[: rng.randint(60, 91)]))
+    got = {r.doc_id: r.group_id for r in simhash_dedup.verified_groups(frame(spark, texts)).collect()}
+    sets = [shingle_set(t) for t in texts]
+    want = roots_of(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9)
+    assert [got[i] for i in range(len(texts))] == want and 2 < len(set(want)) < 150
+
+
+def test_kept_rows_of_one_id(spark):
+    """Equal id and text: the row whose other columns come first; one id with several texts; null ids."""
+    df = spark.createDataFrame([(1, "a b", "z", 1), (1, "a b", "y", 2), (1, "c d", "x", 3), (None, "e f", "w", 4), (None, "e f", "v", 5), (2, None, "u", 6), (3, "", "t", 7)], "doc_id long, text string, th string, size int")
+    kept = simhash_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((str(r.doc_id), r.text, r.th, r.size) for r in kept.collect()) == [("1", "a b", "y", 2), ("1", "c d", "x", 3), ("2", None, "u", 6), ("None", "e f", "v", 5)]
+
+
+# 7 repeats
+
+
 def brute_kept(texts, size):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[p : p + size] for d in data for p in range(len(d) - size + 1))
