@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ladle.llm.common import keyed_text
 from ladle.llm.components import components
-from ladle.llm.shingle_join import SIMILARITY, candidate_links, family_cells, shingle_hashes, verified_links
+from ladle.llm.shingle_join import READ_ROWS, SIMILARITY, candidate_links, family_cells, shingle_hashes, verified_links
 from ladle.session import ensure_checkpoint_dir
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -198,13 +198,15 @@ def fingerprint_shingles(docs: DataFrame, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, sizes = [], []
-            for text in batch.column(2).to_pylist():
-                hashes = shingle_hashes(text)
-                ones = np.zeros(64, np.int64)
-                for at in range(0, len(hashes), 65536):  # bounds the unpacked bits of a very long text
-                    ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                prints.append(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
-                sizes.append(len(hashes))
+            for a in range(0, batch.num_rows, READ_ROWS):
+                for text in batch.column(2).slice(a, READ_ROWS).to_pylist():
+                    hashes = shingle_hashes(text)
+                    ones = np.zeros(64, np.float64)
+                    for at in range(0, len(hashes), 8192):  # bounds the unpacked bits of a very long text
+                        bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8), bitorder="little").reshape(-1, 64).astype(np.float32)
+                        ones += np.ones(len(bits), np.float32) @ bits
+                    prints.append(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+                    sizes.append(len(hashes))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.int64)), pa.array(np.array(sizes, np.int64))], ["doc_id", "th", "fp", "size"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -240,9 +242,10 @@ def _grouped(docs: DataFrame, key: str, radius: int, similarity: float) -> DataF
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done: dict[int, bytes] = {}
-            hashes = [done[t] if t in done else done.setdefault(t, shingle_hashes(x).tobytes()) for t, x in zip(batch.column("th").to_pylist(), batch.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(hashes, pa.binary()), batch.column("cells")], ["th", "hashes", "cells"])
+            for a in range(0, batch.num_rows, READ_ROWS):
+                part = batch.slice(a, READ_ROWS)
+                hashes = [shingle_hashes(x).tobytes() for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("th"), pa.array(hashes, pa.binary()), part.column("cells")], ["th", "hashes", "cells"])
 
     hashed = read.select("th", "text", "cells", *[c for c in docs.columns if c not in ("th", "text")]).mapInArrow(sets, "th bigint, hashes binary, cells array<struct<cell:bigint,side:int>>")
     linked = verified_links(hashed.select("th", "hashes", F.explode("cells").alias("c")).select("c.cell", "c.side", "th", "hashes"), similarity)

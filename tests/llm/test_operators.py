@@ -37,10 +37,11 @@ def brute_licenses(text):
     words = re.findall(license_scan.WORD, text)
     hits = [(i, label) for phrase, label in license_scan.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     labels, best = {label for _, label in hits}, 0.0
-    for line in text.split("\n"):
-        block = set(re.findall(license_scan.WORD, line))
-        for _, label, template, need in license_scan.template_sets():
-            if len(block & set(template)) >= need:
+    lines = text.split("\n")
+    for i in range(len(lines)):
+        for _, label, template, need, span, required, excluded in license_scan.template_sets():
+            block = set(re.findall(license_scan.WORD, "\n".join(lines[i : i + span])))
+            if len(block & set(template)) >= need and set(required) <= block and not set(excluded) & block:
                 labels.add(label)
                 best = max(best, len(block & set(template)) / len(template))
     at = [i for i, _ in hits]
@@ -50,10 +51,10 @@ def brute_licenses(text):
 def test_licenses(spark):
     rng = random.Random(3)
     texts = [*ODD, "CC-by\nx ALL Rights\nreserved", "general public license general PUBLIC license", "Released under the MIT License.", "under the MIT released X license", "permission is hereby granted"]
-    pool = [w for _, _, words, _ in license_scan.template_sets() for w in words]
-    for _ in range(60):
-        _, _, words, _ = rng.choice(license_scan.template_sets())
-        texts.append("\n".join(" ".join(rng.sample(words, k=max(1, int(len(words) * rng.uniform(0.6, 1)))) + rng.sample(pool, 2)) for _ in range(2)))
+    pool = [w for _, _, words, *_ in license_scan.template_sets() for w in words]
+    for _ in range(90):
+        _, _, words, _, _, required, _ = rng.choice(license_scan.template_sets())
+        texts.append(rng.choice(["\n", "\n\n\n\nx\n"]).join(" ".join(rng.sample(words, k=max(1, int(len(words) * rng.uniform(0.6, 1)))) + rng.sample(pool, 2) + rng.choice([required, []])) for _ in range(2)))
     got = {r[0]: tuple(r[1:]) for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
         want = brute_licenses(t)
@@ -63,6 +64,26 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(frame(spark, []).limit(0)).count() == 0
 
 
+NOTICES = {
+    "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+    "This program is licensed under the GNU General Public License, version 2.": "gpl,gpl-2.0",
+    "Licensed under the GNU Lesser General Public License, version 3": "gpl,lgpl",
+    "Licensed under the BSD License": "bsd",
+    "Licensed under the Microsoft Public License": "ms-pl",
+    "This text is licensed under a licence of its own, version 2.0": "",
+    "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files": "mit",
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "gpl,gpl-3.0",
+    "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
+    "L\u0130CENSED UNDER THE M\u0130T LICENSE": "",
+}
+
+
+def test_licences_are_told_apart(spark):
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(frame(spark, [f"some words\n\n{t}\n\nmore words" for t in NOTICES])).collect()}
+    assert [got[i] for i in range(len(NOTICES))] == list(NOTICES.values())
+
+
 # 2 fingerprints
 
 
@@ -314,7 +335,7 @@ def test_kept_documents(spark):
     assert simhash_dedup.keep_one(frame(spark, []).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("limits", [{}, {"HOT_ROWS": 5}, {"LIST": 2, "PART_TEXTS": 3}, {"MATCH_ROWS": 40, "LIST": 4, "PART_SHINGLES": 300}])
+@pytest.mark.parametrize("limits", [{}, {"HOT_ROWS": 5}, {"LIST": 2, "PART_TEXTS": 3}, {"MATCH_ROWS": 40, "MATCH_PAIRS": 30, "LIST": 4, "PART_SHINGLES": 300}])
 def test_kept_copies_down_to_the_similarity(spark, monkeypatch, limits):
     """Appended and cut copies at 0.8 and just below, with a common line; low limits tie shingles and split families."""
     for name, value in limits.items():
