@@ -233,10 +233,13 @@ def without_sinks(edges: DataFrame, output_kind: str = "output") -> DataFrame:
 
 def attach_unseen(edges: DataFrame, ingredients: DataFrame, similarity: DataFrame) -> DataFrame:
     """Edges and, for each recipe ingredient that no node names, edges to where the leaves most similar to
-    it lead (all ties). similarity: a (ingredient), b (leaf name), sim; only pairs above 0 count."""
+    it lead (all ties). similarity: a (ingredient), b (leaf name), sim; a
+    leaf without a row is at 0, so where none is similar all are equally near."""
     named = edges.filter("src.kind = 'name'").select("recipe_id", F.col("src.name").alias("name")).distinct()
     unseen = ingredients.select("recipe_id", "name").distinct().join(named, ["recipe_id", "name"], "left_anti")
-    pairs = unseen.join(similarity.filter("sim > 0").withColumnRenamed("a", "name"), "name").join(named.withColumnRenamed("name", "b"), ["recipe_id", "b"])
+    near = unseen.join(similarity.filter("sim > 0").withColumnRenamed("a", "name"), "name").join(named.withColumnRenamed("name", "b"), ["recipe_id", "b"])
+    far = unseen.join(near.select("recipe_id", "name").distinct(), ["recipe_id", "name"], "left_anti").join(named.withColumnRenamed("name", "b"), "recipe_id").withColumn("sim", F.lit(0.0))
+    pairs = near.select("recipe_id", "name", "b", "sim").unionByName(far.select("recipe_id", "name", "b", "sim"))
     best = pairs.withColumn("k", F.rank().over(Window.partitionBy("recipe_id", "name").orderBy(F.desc("sim")))).filter("k = 1")
     to = edges.filter("src.kind = 'name'").select("recipe_id", F.col("src.name").alias("b"), "src", "dst")
     more = best.join(to, ["recipe_id", "b"]).select("recipe_id", name_node(F.col("name"), F.col("src.step")).alias("src"), "dst")
@@ -297,3 +300,15 @@ def tree_output(edges: DataFrame) -> DataFrame:
     rows = edges.select("recipe_id", F.struct(F.array(plain, render(F.col("dst"), r)).alias("edge"), label.alias("label")).alias("x"))
     g = rows.groupBy("recipe_id").agg(F.array_sort(F.collect_set("x")).alias("x"))
     return g.select("recipe_id", F.transform("x", lambda e: e["edge"]).alias("edges"), F.transform("x", lambda e: e["label"]).alias("edge_labels"), F.concat(F.lit("RECIPE_OUTPUT_"), r).alias("output_node"))
+
+
+def leaf_classes(leaves: DataFrame, records: DataFrame, ingredients: DataFrame) -> DataFrame:
+    """recipe_id, step_num, leaf, is_ingredient, is_equipment: a leaf is an ingredient if it reaches the ingredient or
+    the food hub or is in its recipe, and equipment if it reaches that hub; a leaf without a record is left out.
+
+    leaves: recipe_id, step_num, leaf; records: name, r_ing, r_food, r_eqp; ingredients: recipe_id, name.
+    """
+    own = ingredients.select("recipe_id", F.col("name").alias("leaf")).distinct().withColumn("own", F.lit(True))
+    known = leaves.join(records.select(F.col("name").alias("leaf"), "r_ing", "r_food", "r_eqp"), "leaf").join(own, ["recipe_id", "leaf"], "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return known.select(*STEP, "leaf", (yes("r_ing") | yes("r_food") | yes("own")).alias("is_ingredient"), yes("r_eqp").alias("is_equipment"))

@@ -51,7 +51,7 @@ def encode(t: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame
 
 def bucket(key: Column, buckets: int = 100) -> Column:
     """A number below `buckets` from the first hex digits of md5, the same in any engine."""
-    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 7), 16, 10).cast("bigint") % buckets
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("bigint") % buckets
 
 
 def split(df: DataFrame, key: Column, valid: int = 15, test: int = 15) -> DataFrame:
@@ -131,3 +131,11 @@ def node_roles(edges: DataFrame, outputs: DataFrame, types: DataFrame, external:
     )
     outside = external.select("node").distinct().join(nodes, "node", "left_anti")
     return roles.unionByName(outside.select("node", *[F.lit(0).alias(c) for c in ("leaf", "intermediate", "intermediate_type", "output")], F.lit(1).alias("external")))
+
+
+def with_instance_types(edges: DataFrame) -> DataFrame:
+    """src, dst, label: the edges (src, dst, label) and, for each action that something leads to, an edge from it to
+    its class, 'pred verb', once for each of its in-edges."""
+    kind = F.array_join(F.slice(F.split("dst", "_"), 1, 2), " ")
+    typed_ = edges.filter(F.col("dst").startswith("pred_")).select(F.col("dst").alias("src"), kind.alias("dst"), F.lit("class_pred_type").alias("label"))
+    return edges.select("src", "dst", "label").unionByName(typed_)

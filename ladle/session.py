@@ -23,13 +23,15 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; only where it names none (tests), a local one."""
+    """Use the shared folder that the session names; a session without one must set it first."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir")
-    if named is None:
+    if named is None and sc.master.startswith("local"):
         import tempfile
 
-        named = tempfile.mkdtemp(prefix="spark-ckpt-")
+        named = tempfile.mkdtemp(prefix="spark-ckpt-")  # one machine: a local folder is shared
+    if named is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(named)

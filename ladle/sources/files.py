@@ -129,15 +129,16 @@ def _flatten(tree: dict) -> Iterator[tuple[int, int | None, int, str | None, str
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
-    """tree (the line's hash), node, parent, depth, rel, leaf from lines of nested JSON."""
+    """tree (a number for the line, so equal lines are trees of their own), node, parent, depth, rel, leaf
+    from lines of nested JSON."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(key, *row) for key, line in zip(b["tree"], b["value"]) for row in _flatten(json.loads(line))]
             yield pd.DataFrame(rows, columns=["tree", "node", "parent", "depth", "rel", "leaf"]).astype({"parent": "Int64"})
 
-    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.sha2("value", 256).alias("tree"), "value")
-    return lines.mapInPandas(run, "tree string, node long, parent long, depth int, rel string, leaf string")
+    lines = spark.read.text(path).filter(F.trim("value") != "").select(F.monotonically_increasing_id().alias("tree"), "value")
+    return lines.mapInPandas(run, "tree long, node long, parent long, depth int, rel string, leaf string")
 
 
 def write_trees(nodes: DataFrame, path: str) -> None:
@@ -221,3 +222,57 @@ def cached(spark: SparkSession, path: str, compute) -> DataFrame:
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         compute().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def write_relations(edges: DataFrame, path: str) -> None:
+    """Lines {"src": ..., "dst": ..., "label": ...} of an entity graph."""
+    edges.select("src", "dst", "label").write.mode("overwrite").json(path)
+
+
+def read_relations(spark: SparkSession, path: str) -> DataFrame:
+    """src, dst, label from such lines, or from one object {"subclass_edges": [[src, dst]], "subclass_edge_labels": [...]}."""
+    schema = "src string, dst string, label string, subclass_edges array<array<string>>, subclass_edge_labels array<string>"
+    x = spark.read.schema(schema).json(path)
+    pairs = x.filter("subclass_edges is not null").select(F.explode(F.arrays_zip("subclass_edges", "subclass_edge_labels")).alias("e"))
+    inner = pairs.select(F.col("e.subclass_edges")[0].alias("src"), F.col("e.subclass_edges")[1].alias("dst"), F.col("e.subclass_edge_labels").alias("label"))
+    return x.filter("src is not null").select("src", "dst", "label").unionByName(inner)
+
+
+def read_path_triples(spark: SparkSession, path: str, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """key, heads, rels, t, length from lines "[heads]\\t[relations]\\ttail" of names as list literals; ids by the dictionaries.
+    A line with an unknown name drops out. Paths of one length are a group of `length`."""
+    raw = spark.read.schema("h string, r string, t string").option("sep", "\t").option("quote", "").csv(path)
+    x = raw.select(F.xxhash64("h", "r", "t").alias("key"), list_literal(F.col("h")).alias("hs"), list_literal(F.col("r")).alias("rs"), "t").distinct()
+
+    def ids(column: str, dictionary: DataFrame, name: str) -> DataFrame:
+        each = x.select("key", F.posexplode(column).alias("at", "name")).join(dictionary, "name")
+        return each.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda e: e["id"]).alias(name))
+
+    out = x.join(ids("hs", entities, "heads"), "key").join(ids("rs", relations, "rels"), "key").join(entities.select(F.col("id").alias("tail"), F.col("name").alias("t")), "t")
+    return out.filter("size(heads) = size(hs) and size(rels) = size(rs)").select("key", "heads", "rels", F.col("tail").alias("t"), F.size("rels").alias("length"))
+
+
+def write_gold(graphs: DataFrame, recipes: DataFrame, path: str) -> None:
+    """Reduced gold graphs (recipe_id, src, dst) as Parquet, and the recipes they are of in the recipe CSV's schema."""
+    graphs.write.mode("overwrite").parquet(f"{path}/graphs")
+    write_recipes(recipes, f"{path}/recipes")
+
+
+def write_features(roles: DataFrame, edges: DataFrame, path: str) -> None:
+    """A matrix of node features (node and 0/1 columns) and the edges between the nodes as Parquet."""
+    roles.write.mode("overwrite").parquet(f"{path}/features")
+    edges.write.mode("overwrite").parquet(f"{path}/edges")
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """name of each item of a JSON list of strings."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias("name"))
+
+
+def write_corpus(corpus: DataFrame, path: str) -> None:
+    """A parsed corpus (see `facts.corpus`) as Parquet."""
+    corpus.write.mode("overwrite").parquet(path)
+
+
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
