@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladle.functions.nlp import base_name
 from ladle.operators.closure import closure
 from ladle.session import ensure_checkpoint_dir
 
@@ -104,3 +105,12 @@ def canonical_edges(edges: DataFrame, key: str) -> DataFrame:
     e = e.select(key, plain("src").alias("src"), plain("dst").alias("dst")).distinct()
     odd = e.filter(~F.col("dst").startswith("pred ")).select(key).distinct()
     return e.join(odd, key, "left_anti")
+
+
+def relabelled_leaves(edges: DataFrame, key: str, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges in which nodes that nothing leads to have their words in lower case, the last one as a lemma, in place of
+    their ids; and the distinct ingredients (key, name). words: key, node, word."""
+    sources = edges.select(key, F.col("src").alias("node")).distinct().join(edges.select(key, F.col("dst").alias("node")).distinct(), [key, "node"], "left_anti")
+    named = sources.join(words, [key, "node"]).select(key, "node", base_name(F.lower("word")).alias("name"))
+    e = edges.join(named.withColumnRenamed("node", "src"), [key, "src"], "left")
+    return e.select(key, F.coalesce("name", "src").alias("src"), "dst").distinct(), named.select(key, "name").distinct()

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from typing import Protocol
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,7 +32,7 @@ def normalised(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
 def best_links(queries: DataFrame, labels: DataFrame, least: float, all_known: bool = False) -> DataFrame:
     """q, uri, score: every label with the best cosine of its query, if that reaches `least`.
 
-    queries: q, text; labels: uri (unique), label. Candidates share a term. all_known: a query with a
+    queries: q, text; labels: uri (unique), label. Candidates share a term that is rare enough. all_known: a query with a
     word that no label has gets no link.
     """
     weights, idf = tfidf(labels, "uri", "label")
@@ -37,7 +41,13 @@ def best_links(queries: DataFrame, labels: DataFrame, least: float, all_known: b
         unknown = tf.join(idf, "term", "left_anti").select("q").distinct()
         tf = tf.join(unknown, "q", "left_anti")
     wq = normalised(tf, idf, "q")
-    score = wq.join(weights.withColumnRenamed("w", "v"), "term").groupBy("q", "uri").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("score"))
+    # a label at the threshold shares one of the query's rarer terms: the commonest ones, as long as their
+    # weights together are shorter than the threshold, can't bring it there alone
+    common = Window.partitionBy("q").orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = wq.join(idf, "term").withColumn("reach", F.sqrt(F.sum(F.col("w") * F.col("w")).over(common)))
+    rare = ranked.filter(F.col("reach") >= least * (1 - 1e-9)).select("q", "term")
+    pairs = rare.join(weights.select("term", "uri"), "term").select("q", "uri").distinct()
+    score = pairs.join(wq, "q").join(weights.withColumnRenamed("w", "v"), ["uri", "term"]).groupBy("q", "uri").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("score"))
     best = F.max("score").over(Window.partitionBy("q"))
     return score.withColumn("best", best).filter((F.col("score") == F.col("best")) & (F.col("score") >= least)).drop("best")
 
@@ -60,6 +70,41 @@ def link_names(queries: DataFrame, labels: DataFrame, least: float, all_known: b
     return one_of_ties(best_links(queries, labels, least, all_known), labels)
 
 
+class Matcher(Protocol):
+    """What links names (q, text) to an index: q, uri, score, at most one row for each q."""
+
+    def match(self, queries: DataFrame) -> DataFrame: ...
+
+
+@dataclass
+class LabelMatcher:
+    """TF-IDF links to labels (uri, label, label_prio, hier_prio) at a least cosine."""
+
+    labels: DataFrame
+    least: float = 0.75
+    all_known: bool = False
+
+    def match(self, queries: DataFrame) -> DataFrame:
+        return link_names(queries, self.labels, self.least, self.all_known)
+
+
+#: The runs of the batch linker (names, index) and their thresholds.
+BATCH_THRESHOLDS = {("ingredient", "food"): 0.6, ("object", "food"): 0.9, ("object", "equipment"): 0.85, ("verb", "preparation"): 0.85}
+
+
+def link_batches(runs: dict[str, tuple[DataFrame, Matcher]]) -> tuple[DataFrame, DataFrame]:
+    """(kind, q, uri, score) of all runs, and (kind, n_names, n_missed). runs: kind -> names (name), matcher."""
+    linked, counts = [], []
+    for kind, (names, matcher) in runs.items():
+        asked = names.select(F.col("name").alias("q"), F.col("name").alias("text")).filter("q is not null").distinct()
+        found = matcher.match(asked)
+        linked.append(found.select(F.lit(kind).alias("kind"), "q", "uri", "score"))
+        hit = asked.join(found.select("q", F.lit(1).alias("hit")), "q", "left")
+        counts.append(hit.agg(F.count(F.lit(1)).alias("n_names"), F.sum(F.col("hit").isNull().cast("bigint")).alias("n_missed")).select(F.lit(kind).alias("kind"), "n_names", F.coalesce("n_missed", F.lit(0)).alias("n_missed")))
+    union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
+    return union(linked), union(counts)
+
+
 def english(labels: DataFrame) -> DataFrame:
     """Labels in English or without a language, the smallest priority of each (uri, label)."""
     known = labels.filter(F.col("lang").isNull() | F.col("lang").startswith("en"))

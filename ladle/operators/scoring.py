@@ -145,3 +145,61 @@ def edge_scores(true: DataFrame, predicted: DataFrame, key: str) -> tuple[DataFr
     mean = each.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
     f1 = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return each, mean.withColumn("f1", F.coalesce(f1, F.lit(0.0)))
+
+
+def graph_scores(nodes: DataFrame, heads: DataFrame, tails: DataFrame, negative_tails: DataFrame, emb: DataFrame, relations: DataFrame, dim: int, gamma: float, model: str = "TransE", depth: int | None = None) -> DataFrame:
+    """tree, kind, variant, score: how near an operation tree's value is to its tail ('positive', variant 0), each
+    tree with a corrupted leaf to that tail ('head'), and the tree to each other tail ('tail').
+
+    nodes: see `evaluate_trees`; heads: tree, variant, leaf, replacement; tails: tree, t; negative_tails: tree,
+    variant, t. The distance is that of TransE; for DistMult the product of value and tail.
+    """
+    if model not in TREE_MODELS:
+        raise ValueError(f"trees can be scored with {', '.join(TREE_MODELS)} only, not {model}")
+    value = evaluate_trees(nodes, emb, relations, dim, model, depth=depth)
+    changed = nodes.join(heads.select("tree", "variant", F.col("leaf").alias("old"), "replacement"), "tree").withColumn("key", F.struct("tree", "variant"))
+    changed = changed.withColumn("leaf", F.when(F.col("leaf") == F.col("old"), F.col("replacement")).otherwise(F.col("leaf"))).drop("tree", "variant", "old", "replacement")
+    corrupted = evaluate_trees(changed, emb, relations, dim, model, tree="key", depth=depth).select("key.tree", "key.variant", "value")
+    zero = F.lit(0).cast("bigint").alias("variant")
+    sides = [
+        value.join(tails, "tree").select("tree", F.lit("positive").alias("kind"), zero, "value", "t"),
+        corrupted.join(tails, "tree").select("tree", F.lit("head").alias("kind"), F.col("variant").cast("bigint").alias("variant"), "value", "t"),
+        value.join(negative_tails, "tree").select("tree", F.lit("tail").alias("kind"), F.col("variant").cast("bigint").alias("variant"), "value", "t"),
+    ]
+    every = sides[0].unionByName(sides[1]).unionByName(sides[2]).join(emb.select(F.col("id").alias("t"), F.col("vec").alias("tv")), "t")
+    a, b = _items(F.col("value"), dim), _items(F.col("tv"), dim)
+    if model == "DistMult":
+        score = total([x * y for x, y in zip(a, b)])
+    elif model == "RotatE":
+        (ar, ai), (br, bi) = halves(F.col("value"), dim), halves(F.col("tv"), dim)
+        score = F.lit(gamma) - total([F.sqrt((p - r) * (p - r) + (q - s) * (q - s)) for p, q, r, s in zip(ar, ai, br, bi)])
+    else:
+        score = F.lit(gamma) - total([F.abs(x - y) for x, y in zip(a, b)])
+    return every.select("tree", "kind", "variant", score.alias("score"))
+
+
+def graph_loss(scores: DataFrame, weights: DataFrame, alpha: float | None = 1.0) -> DataFrame:
+    """pos_loss, neg_loss (of heads and tails together), loss over `graph_scores` and weights (tree, w)."""
+    positive = scores.filter("kind = 'positive'").join(weights, "tree").select("tree", "score", "w")
+    parts = [loss(positive, scores.filter(F.col("kind") == kind).select("tree", "score"), ["tree"], alpha) for kind in ("head", "tail")]
+    head, tail = (p.select(F.col("pos_loss").alias(f"p{i}"), F.col("neg_loss").alias(f"n{i}")) for i, p in enumerate(parts))
+    both = head.join(F.broadcast(tail))  # a row each
+    return both.select(F.col("p0").alias("pos_loss"), (F.col("n0") + F.col("n1")).alias("neg_loss"), ((F.col("p0") + F.col("n0") + F.col("n1")) / 2).alias("loss"))
+
+
+def path_scores(paths: DataFrame, emb: DataFrame, relations: DataFrame, dim: int, gamma: float) -> DataFrame:
+    """key, score: gamma less the distance of head plus the relations of a path, in order, from the tail.
+
+    paths: key, h, rels (array of relation ids), t.
+    """
+    each = paths.select("key", F.explode("rels").alias("id")).join(relations.select("id", "vec"), "id")
+    summed = each.groupBy("key").agg(F.array(*[F.sum(x) for x in _items(F.col("vec"), dim)]).alias("rv"))
+    h, t = emb.select(F.col("id").alias("h"), F.col("vec").alias("hv")), emb.select(F.col("id").alias("t"), F.col("vec").alias("tv"))
+    e = paths.select("key", "h", "t").join(h, "h").join(t, "t").join(summed, "key")
+    return e.select("key", transe(F.col("hv"), F.col("rv"), F.col("tv"), dim, gamma).alias("score"))
+
+
+def regularisation(emb: DataFrame, relations: DataFrame, dim: int, weight: float) -> DataFrame:
+    """reg: weight times the sum of the cubed L3 norms of both tables, to be added to a loss."""
+    cubes = lambda d: d.select(total([F.pow(F.abs(x), F.lit(3.0)) for x in _items(F.col("vec"), dim)]).alias("x"))
+    return cubes(emb).unionByName(cubes(relations)).agg((F.sum("x") * weight).alias("reg"))

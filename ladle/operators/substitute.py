@@ -25,3 +25,15 @@ def rank_replacements(nodes: DataFrame, candidates: DataFrame, emb: DataFrame, r
     variants = evaluate_trees(exchanged(nodes, candidates), emb, relations, dim, model, tree="variant", depth=depth)
     v = variants.select(F.col("variant.tree").alias("tree"), F.col("variant.target").alias("target"), F.col("variant.cand").alias("cand"), F.col("value").alias("new"))
     return v.join(original.withColumnRenamed("value", "old"), "tree").select("tree", "target", "cand", cosine(F.col("old"), F.col("new"), dim).alias("score"))
+
+
+def target_of(members: DataFrame, group: object = None, item: object = None, seed: int = 0) -> tuple[object, object]:
+    """The group and item to find substitutes for. members: grp, item. A group that is not there, or does not hold
+    the item, is an error; what is not given is chosen by hash."""
+    own = members if group is None else members.filter(F.col("grp") == F.lit(group))
+    if item is not None:
+        own = own.filter(F.col("item") == F.lit(item))
+    found = own.orderBy(F.xxhash64(F.lit(seed), "grp", "item"), "grp", "item").first()
+    if found is None:
+        raise ValueError(f"no group {'' if group is None else repr(group) + ' '}holds {'anything' if item is None else repr(item)}")
+    return found["grp"], found["item"]
