@@ -18,7 +18,9 @@ from ladle.operators.substitute import rank_replacements
 from ladle.operators.train import Settings, train
 from ladle.queries import table
 
-DIM, GAMMA, ENTITIES = 64, 12.0, 500
+DIM, GAMMA = 64, 12.0
+#: In SQL: how many vectors, and so entities, there are.
+ENTITIES = "(SELECT count(*) FROM embeddings)"
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
 
@@ -31,10 +33,16 @@ def named_triples(spark, sf_dir) -> DataFrame:
 NAMED = "nt AS (SELECT DISTINCT 'C' || c_custkey AS h, c_mktsegment AS r, 'N' || c_nationkey AS t FROM customer UNION SELECT 'N' || n_nationkey, 'in', 'R' || n_regionkey FROM nation UNION SELECT 'C' || c_custkey, 'type', 'Customer' FROM customer)"
 
 
+def entities(spark, sf_dir) -> int:
+    """How many vectors there are; customers, parts and suppliers stand for them by their numbers."""
+    return max(1, emb(spark, sf_dir).count())
+
+
 def id_triples(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "customer")
+    n = entities(spark, sf_dir)
     segment = F.array_position(F.array(*map(F.lit, SEGMENTS)), F.col("c_mktsegment")) - 1
-    return c.select((F.col("c_custkey") % ENTITIES).alias("h"), segment.cast("bigint").alias("r"), F.col("c_nationkey").cast("bigint").alias("t"))
+    return c.select((F.col("c_custkey") % n).alias("h"), segment.cast("bigint").alias("r"), F.col("c_nationkey").cast("bigint").alias("t"))
 
 
 IDS = f"it AS (SELECT c_custkey % {ENTITIES} AS h, CAST(list_position({list(SEGMENTS)}, c_mktsegment) - 1 AS BIGINT) AS r, CAST(c_nationkey AS BIGINT) AS t FROM customer)"
@@ -96,7 +104,7 @@ def node_roles(spark, sf_dir):
 
 
 def two_way_edges(spark, sf_dir):
-    t = named_triples(spark, sf_dir).filter("r = 'in'")
+    t = named_triples(spark, sf_dir)
     return T.reversed_edges(t.select(F.col("h").alias("src"), F.col("t").alias("dst")))
 
 
@@ -192,7 +200,7 @@ def adv_loss(spark, sf_dir):
 
 def tree_nodes(spark, sf_dir) -> DataFrame:
     """Orders as trees: the order, its return flags below it, its parts' vectors below them."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree"), "l_returnflag", (F.col("l_partkey") % ENTITIES).alias("leaf")).distinct()
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree"), "l_returnflag", (F.col("l_partkey") % entities(spark, sf_dir)).alias("leaf")).distinct()
     leaves = li.select("tree", F.concat("l_returnflag", F.lit("/"), "leaf").alias("node"), F.col("l_returnflag").alias("parent"), F.lit(2).alias("depth"), F.lit(None).cast("bigint").alias("rel"), "leaf")
     flags = li.select("tree", F.col("l_returnflag").alias("node"), F.lit("root").alias("parent"), F.lit(1).alias("depth"), (F.array_position(F.array(*map(F.lit, "ANR")), F.col("l_returnflag")) - 1).cast("bigint").alias("rel"), F.lit(None).cast("bigint").alias("leaf")).distinct()
     roots = li.select("tree", F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(0).alias("depth"), F.lit(4).cast("bigint").alias("rel"), F.lit(None).cast("bigint").alias("leaf")).distinct()
@@ -233,7 +241,7 @@ def head_paths(spark, sf_dir):
 
 
 def corrupted_leaves(spark, sf_dir):
-    found = S.corrupted_leaves(tree_nodes(spark, sf_dir).select("tree", "leaf"), ENTITIES)
+    found = S.corrupted_leaves(tree_nodes(spark, sf_dir).select("tree", "leaf"), entities(spark, sf_dir))
     return found.select("tree", F.col("variant").cast("bigint").alias("variant"), "leaf", "replacement")
 
 
@@ -244,7 +252,8 @@ def hyper_triples(spark, sf_dir):
 
 def _replacements(spark, sf_dir):
     """For each order its first part's vector as the target, and its suppliers' vectors as candidates."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree"), (F.col("l_partkey") % ENTITIES).alias("leaf"), (F.col("l_suppkey") % ENTITIES).alias("cand"))
+    n = entities(spark, sf_dir)
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("tree"), (F.col("l_partkey") % n).alias("leaf"), (F.col("l_suppkey") % n).alias("cand"))
     target = li.groupBy("tree").agg(F.min("leaf").alias("target"))
     return li.select("tree", "cand").distinct().join(target, "tree").select("tree", "target", "cand")
 
@@ -258,7 +267,7 @@ def subst_calc(spark, sf_dir):
 def subst_learned(spark, sf_dir):
     """The same, compared with a vector of the order's own."""
     learned = emb(spark, sf_dir).select(F.col("id").alias("own"), F.col("vec").alias("value"))
-    trees = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tree"), (F.col("o_orderkey") % ENTITIES).alias("own")).join(learned, "own").select("tree", "value")
+    trees = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tree"), (F.col("o_orderkey") % entities(spark, sf_dir)).alias("own")).join(learned, "own").select("tree", "value")
     found = rank_replacements(tree_nodes(spark, sf_dir), _replacements(spark, sf_dir), emb(spark, sf_dir), relations(spark, sf_dir), DIM, depth=2, learned=trees)
     return found.select("tree", "target", "cand", F.round("score", 6).alias("score"))
 
@@ -278,10 +287,58 @@ def flat_triples(spark, sf_dir):
 def trained_entities(spark, sf_dir):
     """Entities after training on the customers' triples."""
     t = id_triples(spark, sf_dir)
-    ent, _, _ = train(t, ENTITIES, len(SEGMENTS), Settings(dim=16, rounds=3))
+    ent, _, _ = train(t, entities(spark, sf_dir), len(SEGMENTS), Settings(dim=16, rounds=3))
     return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(ent)], "id long, vec array<double>")
 
 
+def _tails(spark, sf_dir) -> DataFrame:
+    """An order's own vector is its tail."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tree"), (F.col("o_orderkey") % entities(spark, sf_dir)).alias("t"))
+
+
+def graph_scores(spark, sf_dir):
+    """Orders against their own vectors, with corrupted leaves, and against two other vectors each."""
+    nodes, n = tree_nodes(spark, sf_dir), entities(spark, sf_dir)
+    heads = S.corrupted_leaves(nodes.select("tree", "leaf"), n)
+    others = _tails(spark, sf_dir).select("tree", F.explode(F.sequence(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("variant")).withColumn("t", T.bucket(F.concat_ws("|", "tree", "variant"), n))
+    found = M.graph_scores(nodes, heads, _tails(spark, sf_dir), others, emb(spark, sf_dir), relations(spark, sf_dir), DIM, 24.0, depth=2)
+    return found.select("tree", "kind", "variant", F.round("score", 5).alias("score"))
+
+
+def graph_loss(spark, sf_dir):
+    """Loss of the orders' scores, weighted by how often their form occurs, and the L3 term of all vectors."""
+    scores = graph_scores(spark, sf_dir).checkpoint()
+    forms = S.canonical(tree_nodes(spark, sf_dir).filter("leaf is not null").select("tree", F.array("parent").alias("path"), "leaf"))
+    weights = forms.join(S.tree_counts(forms), "form").select("tree", F.sqrt(1 / F.col("c")).alias("w"))
+    reg = M.regularisation(emb(spark, sf_dir), relations(spark, sf_dir), DIM, 1e-3)
+    out = M.graph_loss(scores, weights).join(F.broadcast(reg))  # a row each
+    return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
+
+
+def graph_candidates(spark, sf_dir):
+    """Forms of orders with the nations of their customers as tails."""
+    n = tree_nodes(spark, sf_dir).filter("leaf is not null").select("tree", F.array("parent").alias("path"), F.col("leaf") % 3)
+    n = n.toDF("tree", "path", "leaf")
+    nation = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("tree"), F.col("c_nationkey").cast("bigint").alias("t"))
+    named = n.groupBy("tree").agg(F.array_join(F.array_sort(F.collect_set(F.concat(F.get("path", F.lit(0)), F.lit("/"), "leaf"))), " ").alias("form"))
+    return S.graph_candidates(named.join(nation, "tree"), _nations(spark, sf_dir))
+
+
+def path_scores(spark, sf_dir):
+    """From each part of an order over its return flag and the root to the order's vector."""
+    n = tree_nodes(spark, sf_dir)
+    flag = F.array_position(F.array(*map(F.lit, "ANR")), F.col("parent")) - 1
+    paths = n.filter("leaf is not null").join(_tails(spark, sf_dir), "tree").select(F.struct("tree", "node").alias("key"), F.col("leaf").alias("h"), F.array(flag.cast("bigint"), F.lit(4).cast("bigint")).alias("rels"), "t")
+    found = M.path_scores(paths, emb(spark, sf_dir), relations(spark, sf_dir), DIM, 24.0)
+    return found.select("key.tree", "key.node", F.round("score", 5).alias("score"))
+
+
+def instance_types(spark, sf_dir):
+    """The edges of orders from parts to actions, and from actions to their classes."""
+    e = flat_triples(spark, sf_dir).select(F.col("h").alias("src"), F.col("t").alias("dst"), F.col("r").alias("label"))
+    return T.with_instance_types(e)
+
+
 EMB = f"e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), rl AS (SELECT id - 100 AS id, v FROM e WHERE id BETWEEN 100 AND 104)"
 TV = "tv AS (SELECT it.h, it.r, it.t, a.v AS hv, rl.v AS rv, b.v AS tv FROM it JOIN e a ON it.h = a.id JOIN rl ON it.r = rl.id JOIN e b ON it.t = b.id)"
 _TRANSE = f"{GAMMA} - list_sum([abs(hv[i] + rv[i] - tv[i]) for i in range(1, {DIM + 1})])"
@@ -294,7 +351,7 @@ CSCORE = f"cs AS (SELECT h, r, t AS \"true\", cand, round({GAMMA} - list_sum([ab
 
 
 def bucket_sql(key: str, n: int) -> str:
-    return f"(CAST('0x' || substr(md5({key}), 1, 7) AS BIGINT) % {n})"
+    return f"(CAST('0x' || substr(md5({key}), 1, 15) AS BIGINT) % {n})"
 
 
 NEG = f"""base AS (SELECT DISTINCT h, r, t FROM it), dr AS (SELECT h, r, t, i AS attempt, {bucket_sql("concat_ws('|', h, r, t, i)", 25)} AS neg FROM base, range(1, 13) x(i)),
@@ -329,12 +386,38 @@ def _log_sigmoid(x: str) -> str:
 
 
 FUNCTIONS = (
-    triples_union, known_subclass_triples, dict_encode, encoded_triples, split_hash, leak_anti, node_roles, two_way_edges, freq_start4, subsample_weight, true_tail, true_head, neg_sample, eval_candidates,
+    graph_scores, graph_loss, graph_candidates, path_scores, instance_types, triples_union, known_subclass_triples, dict_encode, encoded_triples, split_hash, leak_anti, node_roles, two_way_edges, freq_start4, subsample_weight, true_tail, true_head, neg_sample, eval_candidates,
     score_transe, score_distmult, score_complex, score_rotate, score_protate, filtered_ranks, mrr_hits, predict_tails, adv_loss, gop_transe, gop_distmult, gop_rotate, leaf_counts, tree_frequency, head_paths, corrupted_leaves, hyper_triples, subst_calc, subst_learned, tree_paths, flat_triples, trained_entities,
 )
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 _PART = f"pt AS (SELECT *, CASE WHEN b < 15 THEN 'test' WHEN b < 30 THEN 'valid' ELSE 'train' END AS part FROM (SELECT *, {bucket_sql('concat_ws(chr(124), h, r, t)', 100)} AS b FROM nt))"
+CORRUPT = f"""cl AS (SELECT DISTINCT tree, leaf FROM lv), cd AS (SELECT tree, leaf, i AS attempt, {bucket_sql("concat_ws('|', tree, leaf, i)", ENTITIES)} AS replacement FROM cl, range(1, 9) x(i)),
+    cb AS (SELECT tree, leaf, arg_min(replacement, attempt) AS replacement FROM cd WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.tree = cd.tree AND cl.leaf = cd.replacement) GROUP BY 1, 2),
+    ck AS (SELECT cl.tree, cl.leaf, {bucket_sql("concat_ws('|', cl.tree, cl.leaf)", ENTITIES)} AS start FROM cl WHERE NOT EXISTS (SELECT 1 FROM cb WHERE cb.tree = cl.tree AND cb.leaf = cl.leaf)),
+    cr AS (SELECT tree, leaf, (start + i) % {ENTITIES} AS replacement, i FROM (SELECT *, unnest(range(0, {ENTITIES})) AS i FROM ck)),
+    cf AS (SELECT tree, leaf, arg_min(replacement, i) AS replacement FROM cr WHERE NOT EXISTS (SELECT 1 FROM cl WHERE cl.tree = cr.tree AND cl.leaf = cr.replacement) GROUP BY 1, 2),
+    cv AS (SELECT tree, CAST(row_number() OVER (PARTITION BY tree ORDER BY leaf) AS BIGINT) AS variant, leaf, replacement FROM (SELECT * FROM cb UNION ALL SELECT * FROM cf))"""
+# a tree's value is linear in its leaves
+VALUE = f"""fl AS (SELECT tree, flag, count(*) AS n FROM lv GROUP BY 1, 2), nf AS (SELECT tree, count(*) AS nf FROM fl GROUP BY 1), vx AS (SELECT tree, flag, i, avg(e.v[i]) AS m FROM lv JOIN e ON lv.leaf = e.id, range(1, {DIM + 1}) d(i) GROUP BY 1, 2, 3),
+    vy AS (SELECT tree, i, avg(m + rl.v[i]) AS m FROM vx JOIN rl ON rl.id = list_position(['A', 'N', 'R'], flag) - 1 GROUP BY 1, 2), vo AS (SELECT tree, list(m + r.v[i] ORDER BY i) AS v FROM vy, (SELECT v FROM rl WHERE id = 4) r GROUP BY tree)"""
+_NEAR = f"24.0 - list_sum([abs(a[i] - b[i]) for i in range(1, {DIM + 1})])"
+GRAPH = f"""{CORRUPT}, {VALUE}, ot AS (SELECT o_orderkey AS tree, o_orderkey % {ENTITIES} AS t FROM orders), ng AS (SELECT tree, variant, {bucket_sql("concat_ws('|', tree, variant)", ENTITIES)} AS t FROM ot, range(1, 3) x(variant)),
+    wl AS (SELECT cv.tree, variant, leaf, replacement, sum(1.0 / (nf * n)) AS w FROM cv JOIN lv USING (tree, leaf) JOIN fl ON fl.tree = cv.tree AND fl.flag = lv.flag JOIN nf ON nf.tree = cv.tree GROUP BY 1, 2, 3, 4),
+    hd AS (SELECT wl.tree, variant, [vo.v[i] + w * (p.v[i] - q.v[i]) for i in range(1, {DIM + 1})] AS v FROM wl JOIN vo ON vo.tree = wl.tree JOIN e p ON p.id = replacement JOIN e q ON q.id = leaf),
+    ab AS (SELECT vo.tree, 'positive' AS kind, CAST(0 AS BIGINT) AS variant, vo.v AS a, e.v AS b FROM vo JOIN ot ON ot.tree = vo.tree JOIN e ON e.id = ot.t UNION ALL SELECT hd.tree, 'head', variant, hd.v, e.v FROM hd JOIN ot ON ot.tree = hd.tree JOIN e ON e.id = ot.t
+        UNION ALL SELECT vo.tree, 'tail', variant, vo.v, e.v FROM vo JOIN ng ON ng.tree = vo.tree JOIN e ON e.id = ng.t), gs AS (SELECT tree, kind, variant, round({_NEAR}, 5) AS score FROM ab)"""
+FORMS = "fm AS (SELECT tree, list_sort(list(DISTINCT flag || '/' || leaf)) AS form FROM lv GROUP BY tree)"
 ORACLE = {
+    "graph_scores": f"WITH {EMB}, {TREE}, {GRAPH} SELECT tree, kind, variant, score FROM gs",
+    "graph_loss": f"""WITH {EMB}, {TREE}, {GRAPH}, {FORMS}, w AS (SELECT tree, sqrt(1 / (c + 3)) AS w FROM fm JOIN (SELECT form, count(*) AS c FROM fm GROUP BY form) USING (form)), ps AS (SELECT tree, score, w FROM gs JOIN w USING (tree) WHERE kind = 'positive'),
+        aa AS (SELECT tree, kind, sum(exp(score - m) * {_log_sigmoid('(-score)')}) / sum(exp(score - m)) AS a FROM (SELECT *, max(score) OVER (PARTITION BY tree, kind) AS m FROM gs WHERE kind <> 'positive') GROUP BY 1, 2),
+        hl AS (SELECT -sum(w * {_log_sigmoid('score')}) / sum(w) AS p, -sum(w * a) / sum(w) AS n FROM ps JOIN aa USING (tree) WHERE kind = 'head'), tl AS (SELECT -sum(w * a) / sum(w) AS n FROM ps JOIN aa USING (tree) WHERE kind = 'tail'),
+        rg AS (SELECT 0.001 * sum(list_sum([pow(abs(x), 3) for x in v])) AS reg FROM (SELECT v FROM e UNION ALL SELECT v FROM rl))
+        SELECT round(p, 4) AS pos_loss, round(hl.n + tl.n, 4) AS neg_loss, round((p + hl.n + tl.n) / 2, 4) AS loss, round(reg, 4) AS reg FROM hl, tl, rg""",
+    "graph_candidates": f"""WITH {TREE}, fm AS (SELECT tree, array_to_string(list_sort(list(DISTINCT flag || '/' || (leaf % 3))), ' ') AS form FROM lv GROUP BY tree), k AS (SELECT DISTINCT form, CAST(c_nationkey AS BIGINT) AS t FROM fm JOIN orders ON o_orderkey = tree JOIN customer ON o_custkey = c_custkey)
+        SELECT k.form, k.t, CAST(n_nationkey AS BIGINT) AS cand FROM k, nation WHERE n_nationkey = k.t OR NOT EXISTS (SELECT 1 FROM k o WHERE o.form = k.form AND o.t = n_nationkey)""",
+    "path_scores": f"WITH {EMB}, {TREE}, p AS (SELECT tree, flag || '/' || leaf AS node, h.v AS h, rl.v AS r, t.v AS t FROM lv JOIN e h ON h.id = leaf JOIN rl ON rl.id = list_position(['A', 'N', 'R'], flag) - 1 JOIN e t ON t.id = tree % {ENTITIES}) SELECT tree, node, round(24.0 - list_sum([abs(h[i] + p.r[i] + q.v[i] - t[i]) for i in range(1, {DIM + 1})]), 5) AS score FROM p, (SELECT v FROM rl WHERE id = 4) q",
+    "instance_types": f"WITH {TREE}, x AS (SELECT flag || '/' || leaf AS src, 'pred_' || flag || '_' || tree AS dst, 'pred ' || flag AS label FROM lv) SELECT src, dst, label FROM x UNION ALL SELECT dst, label, 'class_pred_type' FROM x",
     "triples_union": f"WITH {NAMED} SELECT h, r, t FROM nt",
     "known_subclass_triples": f"WITH {NAMED} SELECT DISTINCT 'C' || s_suppkey AS h, 'sub' AS r, 'N' || s_nationkey AS t FROM supplier WHERE 'C' || s_suppkey IN (SELECT h FROM nt) AND 'N' || s_nationkey IN (SELECT h FROM nt)",
     "dict_encode": f"WITH {NAMED} SELECT CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS id, name FROM (SELECT h AS name FROM nt UNION SELECT t FROM nt)",
@@ -345,7 +428,7 @@ ORACLE = {
         k AS (SELECT node, node IN (SELECT dst FROM g) AS i, node IN (SELECT 'R' || r_regionkey FROM region) AS o, node IN (SELECT 'N' || n_nationkey FROM nation WHERE n_nationkey < 5) AS y FROM n)
         SELECT node, CAST(NOT i AND NOT o AND NOT y AS INT) AS leaf, CAST(i AND NOT o AND NOT y AS INT) AS intermediate, CAST(y AS INT) AS intermediate_type, CAST(o AS INT) AS output, 0 AS external FROM k
         UNION ALL SELECT x, 0, 0, 0, 0, 1 FROM (SELECT 'C' || s_suppkey AS x FROM supplier UNION SELECT s_name FROM supplier) WHERE x NOT IN (SELECT node FROM n)""",
-    "two_way_edges": f"WITH {NAMED} SELECT h AS src, t AS dst FROM nt WHERE r = 'in' UNION ALL SELECT t, h FROM nt WHERE r = 'in'",
+    "two_way_edges": f"WITH {NAMED} SELECT h AS src, t AS dst FROM nt UNION ALL SELECT t, h FROM nt",
     "freq_start4": f"WITH {IDS} SELECT 'head' AS side, h AS e, r, CAST(count(*) + 3 AS BIGINT) AS c FROM it GROUP BY h, r UNION ALL SELECT 'tail', t, r, CAST(count(*) + 3 AS BIGINT) FROM it GROUP BY t, r",
     "subsample_weight": f"WITH {IDS}, {WEIGHTS} SELECT h, r, t, round(w, 9) AS w FROM wt",
     "true_tail": f"WITH {IDS} SELECT h, r, list_sort(list(DISTINCT t)) AS tails FROM it GROUP BY h, r",
@@ -374,10 +457,14 @@ ORACLE = {
     "head_paths": f"WITH {TREE} SELECT tree, leaf, [flag, 'root'] AS path FROM lv",
     "corrupted_leaves": f"""WITH {TREE}, l AS (SELECT DISTINCT tree, leaf FROM lv), d AS (SELECT tree, leaf, i AS attempt, {bucket_sql("concat_ws('|', tree, leaf, i)", ENTITIES)} AS replacement FROM l, range(1, 9) x(i)),
         b AS (SELECT tree, leaf, arg_min(replacement, attempt) AS replacement FROM d WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.tree = d.tree AND l.leaf = d.replacement) GROUP BY 1, 2)
-        SELECT tree, CAST(row_number() OVER (PARTITION BY tree ORDER BY leaf) AS BIGINT) AS variant, leaf, replacement FROM b""",
+        , s AS (SELECT l.tree, l.leaf, {bucket_sql("concat_ws('|', l.tree, l.leaf)", ENTITIES)} AS start FROM l WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.tree = l.tree AND b.leaf = l.leaf)),
+        r AS (SELECT tree, leaf, (start + i) % {ENTITIES} AS replacement, i FROM (SELECT *, unnest(range(0, {ENTITIES})) AS i FROM s)),
+        c AS (SELECT tree, leaf, arg_min(replacement, i) AS replacement FROM r WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.tree = r.tree AND l.leaf = r.replacement) GROUP BY 1, 2)
+        SELECT tree, CAST(row_number() OVER (PARTITION BY tree ORDER BY leaf) AS BIGINT) AS variant, leaf, replacement FROM (SELECT * FROM b UNION ALL SELECT * FROM c)""",
     "subst_calc": subst_sql("o.v"),
     "subst_learned": subst_sql("g.v"),
-    "tree_paths": f"WITH {TREE} SELECT tree, 'root>' || flag || '>' || flag || '/' || leaf AS path, CAST(2 AS BIGINT) AS depth FROM lv UNION ALL SELECT DISTINCT tree, 'root>' || flag, CAST(1 AS BIGINT) FROM lv",
+    "tree_paths": f"""WITH RECURSIVE {TREE}, ed AS (SELECT tree, flag AS parent, flag || '/' || leaf AS child FROM lv UNION SELECT tree, 'root', flag FROM lv),
+        w AS (SELECT tree, child AS node, 'root>' || child AS path, CAST(1 AS BIGINT) AS depth FROM ed WHERE parent = 'root' UNION ALL SELECT w.tree, ed.child, w.path || '>' || ed.child, w.depth + 1 FROM w JOIN ed ON ed.tree = w.tree AND ed.parent = w.node) SELECT tree, path, depth FROM w""",
     "flat_triples": f"WITH {TREE} SELECT tree, flag || '/' || leaf AS h, 'pred ' || flag AS r, 'pred_' || flag || '_' || tree AS t FROM lv",
     "hyper_triples": f"WITH {TREE} SELECT tree, flag AS action, list_sort(list(DISTINCT flag || '/' || leaf)) AS inputs FROM lv GROUP BY tree, flag UNION ALL SELECT tree, 'root', list_sort(list(DISTINCT flag)) FROM lv GROUP BY tree",
 }

@@ -11,6 +11,7 @@ from ladle.operators import flow as G
 from ladle.operators import gold as E
 from ladle.operators import scoring as M
 from ladle.operators import triples as T
+from ladle.plans.procedures import recipe_facts
 from ladle.queries import table
 
 
@@ -157,7 +158,7 @@ def pruned_childless(spark, sf_dir):
 def text_facts(spark, sf_dir):
     """Step facts of the documents' lines, read by the rule-based parser."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recipe_id"), F.filter(F.split("text", "\n"), lambda x: x != "").alias("steps"))
-    return N.step_facts(N.parsed_steps(N.steps_of(docs)).checkpoint())
+    return recipe_facts(docs)
 
 
 def no_sinks(spark, sf_dir):
@@ -254,13 +255,40 @@ def edge_prf(spark, sf_dir):
     return mean.select(*[F.round(c, 6).alias(c) for c in mean.columns])
 
 
-FUNCTIONS = (final_action, action_chain, preposition_edges, implicit_continuation, step_edges, step_leaves, step_links, flow_graphs, terminal_nodes, acyclic_graphs, pruned_sources, pruned_childless, island_merge, sentence_assembly, bypass_nodes, node_degrees, ancestor_keep, reduced_gold, edge_precision_recall, edge_prf, text_facts, no_sinks, raw_leaf_edges, attached_unseen, node_categories, downstream_actions)
+def leaf_classes(spark, sf_dir):
+    """k0 and k1 reach the ingredients, k2 food, k3 to k5 equipment; k6 has no record; what a user buys is their own."""
+    leaves = G.leaves_of(G.step_edges(facts(spark, sf_dir)))
+    names = facts(spark, sf_dir).select(F.col("entity").alias("name")).distinct()
+    n = F.substring("name", 2, 1).cast("int")
+    records = names.filter(n < 6).select("name", (n < 2).alias("r_ing"), (n == 2).alias("r_food"), n.between(3, 5).alias("r_eqp"))
+    own = facts(spark, sf_dir).filter("action = 'purchase'").select("recipe_id", F.col("entity").alias("name"))
+    return G.leaf_classes(leaves, records, own)
+
+
+def special_edges(spark, sf_dir):
+    """k6 stands for everything; each user has the names k0 to k5."""
+    f = facts(spark, sf_dir)
+    chains = G.action_chains(f.withColumn("entity", F.when(F.col("entity") == "k6", "everything").otherwise(F.col("entity"))))
+    names = f.filter("entity <> 'k6'").select(F.col("entity").alias("name")).distinct()
+    e = G.special_edges(chains, f.select("recipe_id").distinct().join(F.broadcast(names)))  # six names
+    return _text(e)
+
+
+FUNCTIONS = (leaf_classes, special_edges, final_action, action_chain, preposition_edges, implicit_continuation, step_edges, step_leaves, step_links, flow_graphs, terminal_nodes, acyclic_graphs, pruned_sources, pruned_childless, island_merge, sentence_assembly, bypass_nodes, node_degrees, ancestor_keep, reduced_gold, edge_precision_recall, edge_prf, text_facts, no_sinks, raw_leaf_edges, attached_unseen, node_categories, downstream_actions)
 QUERIES = {f.__name__: f for f in FUNCTIONS}
 _DAY = f"{FACTS}, {DAY}, g AS (SELECT recipe_id || '/' || step_num AS k, src, dst FROM dg)"
 _REACH = "w AS (SELECT k, src, src AS dst FROM g UNION SELECT k, dst, dst FROM g UNION SELECT w.k, w.src, g.dst FROM w JOIN g ON w.k = g.k AND w.dst = g.src)"
 _CYCLIC = "cy AS (SELECT DISTINCT w.k FROM w JOIN g ON w.k = g.k AND w.dst = g.src AND w.src = g.dst)"
 _PRF = "te AS (SELECT DISTINCT l_orderkey, 'p' || (l_partkey % 50) AS src, 'pred ' || l_returnflag AS dst FROM lineitem WHERE l_quantity > 10), pe AS (SELECT DISTINCT l_orderkey, 'p' || (l_partkey % 50) AS src, 'pred ' || l_returnflag AS dst FROM lineitem WHERE l_linenumber <= 4), hit AS (SELECT l_orderkey, count(*) AS h FROM te JOIN pe USING (l_orderkey, src, dst) GROUP BY 1), pr AS (SELECT t.l_orderkey, coalesce(h, 0) / np AS precision, coalesce(h, 0) / nt AS recall FROM (SELECT l_orderkey, count(*) AS nt FROM te GROUP BY 1) t JOIN (SELECT l_orderkey, count(*) AS np FROM pe GROUP BY 1) p USING (l_orderkey) LEFT JOIN hit USING (l_orderkey))"
 ORACLE = {
+    "leaf_classes": f"{_ALL}, lv AS (SELECT DISTINCT recipe_id, step_num, split_part(src, '_', 1) AS leaf FROM ed WHERE src NOT LIKE 'pred%'), ow AS (SELECT DISTINCT recipe_id, entity FROM f WHERE action = 'purchase') SELECT recipe_id, step_num, leaf, leaf IN ('k0', 'k1', 'k2') OR (recipe_id, leaf) IN (SELECT (recipe_id, entity) FROM ow) AS is_ingredient, leaf IN ('k3', 'k4', 'k5') AS is_equipment FROM lv WHERE leaf <> 'k6'",
+    "special_edges": f"""WITH {FACTS.replace("f AS (SELECT", "f0 AS (SELECT", 1)}, f AS (SELECT * REPLACE (CASE WHEN entity = 'k6' THEN 'everything' ELSE entity END AS entity) FROM f0), {REG}, {CHAINS},
+        nm AS (SELECT DISTINCT recipe_id, name FROM (SELECT DISTINCT recipe_id FROM f0), (SELECT DISTINCT entity AS name FROM f0 WHERE entity <> 'k6')), un AS (SELECT * FROM nm WHERE (recipe_id, name) NOT IN (SELECT (recipe_id, s) FROM ch WHERE src NOT LIKE 'pred%')),
+        sp AS (SELECT * FROM ch WHERE src LIKE 'everything%'), fs AS (SELECT recipe_id, min(step_num) AS step_num FROM sp GROUP BY 1)
+        SELECT recipe_id, step_num, src, dst FROM ch WHERE src NOT LIKE 'everything%' UNION SELECT sp.recipe_id, sp.step_num, name || '_' || sp.recipe_id || '_' || sp.step_num, dst FROM sp JOIN fs USING (recipe_id, step_num) JOIN un ON un.recipe_id = sp.recipe_id""",
+    "terminal_nodes": f"""WITH RECURSIVE {_ALL[5:]}, g AS (SELECT DISTINCT recipe_id, src, dst FROM ed WHERE src <> dst), nd AS (SELECT recipe_id, src AS node FROM g UNION SELECT recipe_id, dst FROM g),
+        uq AS (SELECT recipe_id, src, min(dst) AS dst FROM g GROUP BY 1, 2 HAVING count(*) = 1), w AS (SELECT recipe_id, node, node AS at_ FROM nd UNION SELECT w.recipe_id, w.node, uq.dst FROM w JOIN uq ON uq.recipe_id = w.recipe_id AND uq.src = w.at_)
+        SELECT w.recipe_id, node, max(CASE WHEN uq.src IS NULL THEN at_ END) AS terminal FROM w LEFT JOIN uq ON uq.recipe_id = w.recipe_id AND uq.src = w.at_ GROUP BY 1, 2""",
     "final_action": f"WITH {FACTS}, {FINALS} SELECT recipe_id, step_num, final FROM fin",
     "action_chain": f"WITH {FACTS}, {REG}, {CHAINS} SELECT DISTINCT recipe_id, step_num, src, dst FROM ch",
     "preposition_edges": f"WITH {FACTS}, {REG}, {CHAINS}, {PREP} SELECT * FROM pe",

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.functions.vectors import cosine
 from ladle.operators import cooccurrence as C
+from ladle.operators import nearest as V
 from ladle.queries import table
 
-DIM = 64
-
 
 def basket(spark, sf_dir) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
@@ -43,20 +41,13 @@ def cond_cooc(spark, sf_dir):
     m = basket(spark, sf_dir)
     rows = C.symmetric(C.pair_counts(m))
     targets = m.groupBy("grp").agg(F.min("item").alias("target"))
-    found = C.masked_cosines(m, rows, targets).withColumn("key", F.col("grp"))
-    return C.top_k(found, 3, by="key", name="item").select("grp", "target", "item", "cos", F.col("rank").cast("bigint").alias("rank"))
-
-
-def _searched(spark, sf_dir):
-    """Every twentieth vector against the vectors of its label."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("x"), F.col("embedding").alias("qv"), F.col("label").alias("ql"))
-    scored = e.join(q, F.col("label") == F.col("ql")).select("x", F.col("vec_id").alias("y"), F.round(cosine(F.col("qv"), F.col("embedding"), DIM), 6).alias("cos"))
-    return scored
+    return C.masked_top_k(m, rows, targets, 3).select("grp", "target", "item", "cos", F.col("rank").cast("bigint").alias("rank"))
 
 
 def emb_topk(spark, sf_dir):
-    return C.top_k(_searched(spark, sf_dir), 20).select("x", "y", "cos", F.col("rank").cast("bigint").alias("rank"))
+    """Every twentieth vector against all vectors."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return V.nearest(e.filter("id % 20 = 0"), e, 20).select("x", "y", "cos", F.col("rank").cast("bigint").alias("rank"))
 
 
 def rank_vote(spark, sf_dir):
@@ -77,7 +68,7 @@ ORACLE = {
         d AS (SELECT k.grp, k.target, k.item, round(sum(k.p * coalesce(q.q, 0)) / (sqrt(sum(k.p * k.p)) * any_value(nq.nq)), 6) AS cos FROM k JOIN nq ON k.grp = nq.grp LEFT JOIN q ON k.grp = q.grp AND k.b = q.b GROUP BY 1, 2, 3)
         SELECT grp, target, item, cos, CAST(row_number() OVER (PARTITION BY grp ORDER BY cos DESC, item) AS BIGINT) AS rank FROM d QUALIFY rank <= 3""",
     "emb_topk": """WITH s AS (SELECT q.vec_id AS x, e.vec_id AS y, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])))), 6) AS cos
-        FROM embeddings q JOIN embeddings e ON q.label = e.label WHERE q.vec_id % 20 = 0) SELECT x, y, cos, CAST(row_number() OVER (PARTITION BY x ORDER BY cos DESC, y) AS BIGINT) AS rank FROM s QUALIFY rank <= 20""",
+        FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) SELECT x, y, cos, CAST(row_number() OVER (PARTITION BY x ORDER BY cos DESC, y) AS BIGINT) AS rank FROM s QUALIFY rank <= 20""",
     "rank_vote": f"""WITH {BASKET}, {PAIRS}, {COSINES}, r1 AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY cos DESC, y) AS rank FROM c QUALIFY rank <= 30),
         r2 AS (SELECT a AS x, b AS y, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS rank FROM s QUALIFY rank <= 30)
         SELECT r1.x, r1.y, CAST(r1.rank + r2.rank AS BIGINT) AS votes FROM r1 JOIN r2 ON r1.x = r2.x AND r1.y = r2.y""",
