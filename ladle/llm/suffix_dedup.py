@@ -18,7 +18,9 @@ more than once need sorting:
 4. spans go back to their documents.
 
 Sorting is vectorised over all groups of an Arrow batch. A group holds distinct contexts only, so
-copies count once.
+copies count once. The contexts of a gram that has more than `MANY` are dealt further: two contexts
+that share a window share the `length - reach` bytes before the anchor with the gram, or the `reach`
+bytes from it on (`reach`: see `halves`), so those that agree in either meet.
 
 Defined cases: a null text is empty and loses nothing; repeated rows are documents of their own, so
 both lose what they share; a null id is an id like any other; texts shorter than `length` lose
@@ -36,13 +38,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.llm.common import string_bytes
+from ladle.llm.common import string_bytes, tidy
 from ladle.session import ensure_checkpoint_dir
 
 LENGTH, GRAM = 200, 40
 PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15 | 1
 POSITION_BITS = 20
+#: Contexts of one gram above which they are dealt by what else they share, and bytes that are sorted at a time.
+MANY, SORT_BYTES = 64, 1 << 22
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -81,13 +85,13 @@ def smallest_grams(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray
     return (key & low).astype(np.int64), hashes
 
 
-def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, size: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchors of the documents in data: row, position in data, hash of the gram."""
     rows, places, hashes = [], [], []
     at, n, total = 0, len(offsets) - 1, int(offsets[-1])
     row = 0
     while at + length <= total:
-        stop = min(total, at + PIECE + length - 1)
+        stop = min(total, at + size + length - 1)
         piece = data[at:stop]
         best, grams = smallest_grams(piece, length, gram)
         starts = np.arange(at, at + len(best))
@@ -100,7 +104,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram
             rows.append(owner[new])
             places.append(best[new] + at)
             hashes.append(grams[best[new]])
-        at += PIECE
+        at += size
     if not rows:
         none = np.zeros(0, np.int64)
         return none, none, none.astype(np.uint64)
@@ -279,7 +283,7 @@ def _anchor_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column(2))
-            rows, places, hashes = anchors_of(data, offsets, length, gram)
+            rows, places, hashes = anchors_of(data, offsets, length, gram, PIECE)
             raw = data.tobytes()
             digest = xxhash.xxh64_intdigest
             contexts = np.fromiter((digest(c, left) for left, _, c in contexts_of(raw, offsets, rows, places, length, gram)), np.uint64, len(rows))
@@ -291,43 +295,78 @@ def _anchor_rows(length: int, gram: int):
     return run
 
 
+def halves(left: int, context: bytes, length: int, gram: int) -> list[bytes]:
+    """What a context shares with each other one that shares a window with it: the bytes left of the
+    anchor that a window reaching far left holds, or those from the anchor on that any other window holds."""
+    far = (length - gram) // 2
+    out = []
+    if left >= far:
+        out.append(b"l" + context[left - far : left + gram])
+    if len(context) - left > length - far:
+        out.append(b"r" + context[left : left + length - far + 1])
+    return out
+
+
 def _context_rows(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
         for batch in batches:
             data, offsets = string_bytes(batch.column("text"))
             items = batch.column("items")
             counts = items.value_lengths().to_numpy(zero_copy_only=False)
-            pos, g, c = (x.to_numpy() for x in items.flatten().flatten())
+            pos, g, c, many = (x.to_numpy(zero_copy_only=False) for x in items.flatten().flatten())
             rows = np.repeat(np.arange(len(counts)), counts)
-            parts = list(contexts_of(data.tobytes(), offsets, rows, pos + offsets[rows], length, gram))
-            yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(c), pa.array([x[0] for x in parts], pa.int32()), pa.array([x[2] for x in parts], pa.binary())], ["g", "c", "left", "context"])
+            out: list[tuple[int, int, int, int, bytes]] = []
+            size = 0
+            for (left, _, context), a, b, split in zip(contexts_of(data.tobytes(), offsets, rows, pos + offsets[rows], length, gram), g.tolist(), c.tolist(), many.tolist()):
+                keys = [digest(h, a & 0xFFFF) - (1 << 63) for h in halves(left, context, length, gram)] if split else [a]
+                out += [(k, a, b, left, context) for k in keys]
+                size += len(context) * len(keys)
+                if size >= SORT_BYTES:
+                    yield _rows_of(out)
+                    out, size = [], 0
+            yield _rows_of(out)
 
     return run
 
 
+def _rows_of(out: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+    k, g, c, left, context = zip(*out) if out else ((), (), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(left, pa.int32()), pa.array(context, pa.binary())], ["key", "g", "c", "left", "context"])
+
+
 def _resolve(length: int, gram: int):
+    """Rows come by key and gram; whole groups are sorted together, about `SORT_BYTES` at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(g: np.ndarray, c: np.ndarray, left: np.ndarray, contexts: list[bytes]) -> pa.RecordBatch:
-            new = np.ones(len(g), bool)
-            new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
-            keep = np.flatnonzero(new)
-            low, high = repeated_offsets(g[keep], left[keep], [contexts[i] for i in keep.tolist()], length, gram)
+        def solved(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+            groups, at = [], -1
+            last = before = None
+            kept = []
+            for row in rows:
+                if row[:2] != last:
+                    at, last = at + 1, row[:2]
+                if row[:3] != before:
+                    before = row[:3]
+                    kept.append(row)
+                    groups.append(at)
+            _, g, c, left, contexts = zip(*kept)
+            low, high = repeated_offsets(np.array(groups), np.array(left, np.int64), list(contexts), length, gram)
             found = high >= 0
-            return pa.RecordBatch.from_arrays([pa.array(g[keep][found]), pa.array(c[keep][found]), pa.array(low[found].astype(np.int32)), pa.array(high[found].astype(np.int32))], ["g", "c", "low", "high"])
+            g, c = np.array(g, np.int64), np.array(c, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(g[found]), pa.array(c[found]), pa.array(low[found].astype(np.int32)), pa.array(high[found].astype(np.int32))], ["g", "c", "low", "high"])
 
-        g = c = left = np.zeros(0, np.int64)
-        contexts: list[bytes] = []
+        rows: list[tuple[int, int, int, int, bytes]] = []
+        size = 0
         for batch in batches:
-            g = np.concatenate((g, batch.column(0).to_numpy()))
-            c = np.concatenate((c, batch.column(1).to_numpy()))
-            left = np.concatenate((left, batch.column(2).to_numpy().astype(np.int64)))
-            contexts += batch.column(3).to_pylist()
-            if len(g) and g[0] != g[-1]:  # the last group may go on
-                cut = int(np.searchsorted(g, g[-1]))
-                yield solved(g[:cut], c[:cut], left[:cut], contexts[:cut])
-                g, c, left, contexts = g[cut:], c[cut:], left[cut:], contexts[cut:]
-        if len(g):
-            yield solved(g, c, left, contexts)
+            for row in zip(*(x.to_pylist() for x in batch.columns)):
+                if size >= SORT_BYTES and row[:2] != rows[-1][:2]:
+                    yield solved(rows)
+                    rows, size = [], 0
+                rows.append(row)
+                size += len(row[4])
+        if rows:
+            yield solved(rows)
 
     return run
 
@@ -371,27 +410,30 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = df.select(F.hash(text).alias("tk"), text.alias("text"), *[F.col(f"`{c}`").alias(a) for c, a in names.items()])
     key = names[id_col]
     kind = docs.schema[key].dataType.simpleString()
-    anchors = docs.select(key, "tk", "text").mapInArrow(_anchor_rows(length, gram), f"id {kind}, tk int, pos int, g bigint, c bigint")
+    anchors = docs.select(key, "tk", "text").mapInArrow(tidy(_anchor_rows(length, gram)), f"id {kind}, tk int, pos int, g bigint, c bigint")
     # counts are made before the shuffle, so a gram that stands everywhere is a row for each task; they
     # are written down before they are joined back, as Spark splits a skewed join of plain shuffles only
     often = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("low"), F.max("c").alias("high")).filter("all > 1").select("g", (F.col("low") != F.col("high")).alias("several")).checkpoint()
     found = anchors.join(often, "g").checkpoint()
     same = found.filter("several").groupBy("g", "c").agg((F.count(F.lit(1)) > 1).alias("whole"))
-    mixed = same.groupBy("g").agg(F.min("whole").alias("all_whole")).filter("not all_whole").select(F.col("g").alias("m_g"), F.lit(True).alias("mixed"))
-    known = same.join(mixed, same["g"] == mixed["m_g"], "left").select("g", "c", "whole", F.coalesce("mixed", F.lit(False)).alias("mixed")).checkpoint()
-    shared = found.filter("several").join(known, ["g", "c"]).select("id", "tk", "pos", "g", "c", "whole", "mixed")
-    shared = shared.unionByName(found.filter("not several").select("id", "tk", "pos", "g", "c", F.lit(True).alias("whole"), F.lit(False).alias("mixed"))).checkpoint()
-
-    one = shared.filter("mixed").groupBy("g", "c").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tk", "pos")).alias("x"))
-    asked = one.groupBy(F.col("x.id").alias("id"), F.col("x.tk").alias("xtk")).agg(F.collect_list(F.struct(F.col("x.pos").alias("pos"), "g", "c")).alias("items"))
+    mixed = same.groupBy("g").agg(F.min("whole").alias("all_whole"), (F.count(F.lit(1)) > MANY).alias("many")).filter("not all_whole").select(F.col("g").alias("m_g"), F.lit(True).alias("mixed"), "many")
+    no = F.lit(False)
+    known = same.join(mixed, same["g"] == mixed["m_g"], "left").select("g", "c", "whole", F.coalesce("mixed", no).alias("mixed"), F.coalesce("many", no).alias("many")).checkpoint()
+    shared = found.filter("several").join(known, ["g", "c"]).select("id", "tk", "pos", "g", "c", "whole", "mixed", "many")
+    shared = shared.unionByName(found.filter("not several").select("id", "tk", "pos", "g", "c", F.lit(True).alias("whole"), no.alias("mixed"), no.alias("many"))).checkpoint()
+
+    one = shared.filter("mixed").groupBy("g", "c").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tk", "pos")).alias("x"), F.first("many").alias("many"))
+    asked = one.groupBy(F.col("x.id").alias("id"), F.col("x.tk").alias("xtk")).agg(F.collect_list(F.struct(F.col("x.pos").alias("pos"), "g", "c", "many")).alias("items"))
     read = docs.join(asked, docs[key].eqNullSafe(asked["id"]) & (docs["tk"] == asked["xtk"])).select("tk", "text", *names.values(), "items")
-    contexts = read.mapInArrow(_context_rows(length, gram), "g bigint, c bigint, left int, context binary")
-    solved = contexts.repartition(n, "g").sortWithinPartitions("g", "c").mapInArrow(_resolve(length, gram), "g bigint, c bigint, low int, high int")
+    contexts = read.mapInArrow(tidy(_context_rows(length, gram)), "key bigint, g bigint, c bigint, left int, context binary")
+    found_in = contexts.repartition(n, "key").sortWithinPartitions("key", "g", "c").mapInArrow(tidy(_resolve(length, gram)), "g bigint, c bigint, low int, high int")
+    # a context may be found by either of the keys
+    solved = found_in.groupBy("g", "c").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
     part = shared.filter("mixed and not whole").join(solved, ["g", "c"]).select("id", "tk", (F.col("pos") - F.col("high")).alias("lo"), (F.col("pos") + length - F.col("low")).alias("hi"))
     whole = shared.filter("whole").select("id", "tk", (F.col("pos") - (length - gram)).alias("lo"), (F.col("pos") + length).alias("hi"))
     per_doc = whole.unionAll(part).groupBy("id", F.col("tk").alias("xtk")).agg(F.collect_list(F.struct("lo", "hi")).alias("items"))
     final = docs.join(per_doc, docs[key].eqNullSafe(per_doc["id"]) & (docs["tk"] == per_doc["xtk"]), "left").select("tk", "text", *names.values(), "items")
     schema = ", ".join([*(f"{a} {docs.schema[a].dataType.simpleString()}" for a in names.values()), f"n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}"])
-    out = final.mapInArrow(_cut(list(names.values()), as_text), schema)
+    out = final.mapInArrow(tidy(_cut(list(names.values()), as_text)), schema)
     return out.select(*[F.col(a).alias(c) for c, a in names.items()], "n_bytes", "spans", "kept")
