@@ -2,23 +2,48 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladle.session import ensure_checkpoint_dir
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Two columns only, so that other columns of the caller can't clash; a null text is empty."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of fewer rows in this session: texts are long. A smaller setting of the caller's stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def tidy(run: Run) -> Run:
+    """A function over Arrow batches that gives back what its task has freed when the task ends; Python workers
+    go on to other tasks."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return tidied
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared checkpoint folder: computed once, compressed, and safe from lost executors."""
     spark = df.sparkSession

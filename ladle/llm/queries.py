@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ladle.llm import chat_format, decontaminate, fingerprints, language_id, license_scan, lm_score, piece_sampling, simhash_dedup, suffix_dedup, token_counts
+from ladle.llm.common import short_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,7 +56,7 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.suffix_sums(token_counts.histogram(token_counts.encoded_lengths(_table(spark, sf_dir, "documents"))))
+    return token_counts.every_limit(token_counts.suffix_sums(token_counts.histogram(token_counts.encoded_lengths(_table(spark, sf_dir, "documents")))))
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

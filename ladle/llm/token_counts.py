@@ -4,7 +4,7 @@ Every text is encoded with a published byte-level BPE; documents are counted by
 the lengths from each one on (suffix sums) then give, for any context limit, how many documents are
 longer, how many tokens there are, how many a cut at the limit leaves, and the quantiles. The
 histogram has one row for each length that occurs, so its size is bounded by the longest text, not
-by the number of texts.
+by the number of texts. It is written down, so the texts are encoded once.
 
 Defined cases: a null or empty text has 0 tokens; repeated rows count each time; an empty table
 gives no rows; long texts are encoded whole; control strings in a text are ordinary text.
@@ -21,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladle.llm.common import keyed_text
+from ladle.llm.common import keyed_text, tidy, written
 
-RANGE = 1024
+RANGE = 128
 _encodings: dict[int, object] = {}
 
 
@@ -56,12 +56,12 @@ def encoded_lengths(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts)], ["doc_id", "n_tokens"])
 
     docs = keyed_text(df, id_col, text_col)
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
-    """n_tokens, n_docs."""
-    return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    """n_tokens, n_docs, as a written table."""
+    return written(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")))
 
 
 def suffix_sums(counted: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ def suffix_sums(counted: DataFrame) -> DataFrame:
     """
     hist = counted.withColumn("range", F.floor(F.col("n_tokens") / RANGE))
     of = hist.groupBy("range").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_tokens") * F.col("n_docs")).alias("t"))
-    later = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each 1024 lengths
+    later = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each 128 lengths
     every = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranges = of.select("range", F.coalesce(F.sum("d").over(later), F.lit(0)).alias("d_after"), F.coalesce(F.sum("t").over(later), F.lit(0)).alias("t_after"), F.sum("d").over(every).alias("d_all"), F.sum("t").over(every).alias("t_all"))
     inner = Window.partitionBy("range").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)
@@ -105,3 +105,36 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
     joined = asked.join(at_most, "context_limit", "left").join(F.broadcast(total))  # one row
     longer = F.col("docs") - F.coalesce("d", F.lit(0))
     return joined.select("context_limit", longer.alias("docs_longer"), (F.coalesce("t", F.lit(0)) + F.col("context_limit") * longer).alias("tokens_kept"))
+
+
+def every_limit(sums: DataFrame) -> DataFrame:
+    """context_limit from 0 to the longest length, and for each n_docs (of that length), docs_longer,
+    docs_at_most, tokens_at_most, tokens_longer, tokens_total, tokens_kept, and percentiles: the whole
+    percents of the documents of which it is the quantile (the smallest length that they don't exceed)."""
+    ranged = sums.withColumn("range", F.floor(F.col("n_tokens") / RANGE))
+    firsts = ranged.groupBy("range").agg(F.min("n_tokens").alias("first"))
+    later = Window.orderBy("range").rowsBetween(1, 1)  # a row for each 128 lengths
+    after = firsts.select("range", F.min("first").over(later).alias("after"))
+    inner = Window.partitionBy("range").orderBy("n_tokens").rowsBetween(1, 1)
+    ends = ranged.withColumn("following", F.min("n_tokens").over(inner)).join(after, "range")
+    # limits up to the next length that occurs, and below the first one
+    starts = ends.withColumn("below", F.col("docs_at_most") == F.col("n_docs"))
+    limits = F.sequence(F.when(F.col("below"), F.lit(0)).otherwise(F.col("n_tokens")), F.coalesce(F.col("following"), F.col("after"), F.col("n_tokens") + 1) - 1)
+    rows = starts.withColumn("context_limit", F.explode(limits))
+    here = F.col("context_limit") >= F.col("n_tokens")
+    total = F.col("docs_at_most") + F.col("docs_longer")
+    docs_longer = F.when(here, F.col("docs_longer")).otherwise(total)
+    at_most = F.when(here, F.col("tokens_at_most")).otherwise(F.lit(0))
+    first, last = F.floor((F.col("docs_at_most") - F.col("n_docs")) * 100 / total) + 1, F.floor(F.col("docs_at_most") * 100 / total)
+    percents = F.when((F.col("context_limit") == F.col("n_tokens")) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    return rows.select(
+        "context_limit",
+        F.when(F.col("context_limit") == F.col("n_tokens"), F.col("n_docs")).otherwise(F.lit(0)).alias("n_docs"),
+        docs_longer.alias("docs_longer"),
+        (total - docs_longer).alias("docs_at_most"),
+        at_most.alias("tokens_at_most"),
+        (F.col("tokens_total") - at_most).alias("tokens_longer"),
+        "tokens_total",
+        (at_most + F.col("context_limit") * docs_longer).alias("tokens_kept"),
+        percents.alias("percentiles"),
+    )
