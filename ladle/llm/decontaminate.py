@@ -13,11 +13,15 @@ the words at hand?) is made for all passages of a batch in numpy, with the words
 counted exactly and the frequent ones by their upper bound; passages with an item left go on to the
 WAND search.
 
-The index is broadcast in shards of at most `shard_items` items, so its size is bounded.
+The index is broadcast in shards of at most `shard_items` items, so its size is bounded; with several
+shards the texts are searched once for each, one after another, so one index is held at a time. What
+BM25 takes from all items (how many there are and hold a word, their mean and largest length) is
+counted by Spark over all of them, so scores and passages don't depend on the shards.
 
 Defined cases: a null text or item is empty and matches nothing; items of fewer than five words are
 one shingle; equal items are both reported; a repeated row is reported for itself; an empty table of
-documents gives no rows, of items no matches; long texts are searched whole.
+documents gives no rows, of items no matches; long texts are searched whole; ids may have any type; a
+column of the documents with the name of the result is replaced by it, others may have any name.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -33,11 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ladle.llm.common import tidy, written
+
 SHINGLE, OVERLAP, SHARD_ITEMS = 5, 0.8, 20_000
 K1, B = 1.2, 0.75
 BLOCK_ITEMS = 16
 WORD = re.compile(r"\w+")
-LEAK = "array<struct<item_id:bigint,score:double,question:double,answer:double,word:bigint>>"
 
 
 def words_of(text: str) -> list[str]:
@@ -48,19 +54,40 @@ def shingles(words: list[str], size: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or ({tuple(words)} if words else set())
 
 
+def parts_of(text: str) -> tuple[list[str], list[str]]:
+    """The words of an item's question and of its answer."""
+    head, _, tail = text.strip().rpartition("\n")
+    question, answer = words_of(head or tail), words_of(tail if head else "")
+    return (question, answer) if question else (answer, [])
+
+
+@dataclass
+class Statistics:
+    """Of all items: how many have words, the sum and the largest of their lengths, and by word how many hold it."""
+
+    n: int
+    total: int
+    longest: int
+    df: dict[str, int]
+
+
+def statistics_of(texts: list[str]) -> Statistics:
+    bags = [b for b in ([*q, *a] for q, a in map(parts_of, texts)) if b]
+    return Statistics(len(bags), sum(map(len, bags)), max(map(len, bags), default=0), Counter(t for b in bags for t in set(b)))
+
+
 class Index:
-    """Postings by term: item numbers ascending and impacts, with the largest impact of each block."""
+    """Postings by term: item numbers ascending and impacts, with the largest impact of each block.
+    `of` are the statistics of all items, if these are some of them."""
 
-    def __init__(self, items: list[tuple[int, str]], overlap: float = OVERLAP, shingle: int = SHINGLE):
+    def __init__(self, items: list[tuple[object, str]], overlap: float = OVERLAP, shingle: int = SHINGLE, of: Statistics | None = None):
         self.overlap, self.shingle = overlap, shingle
         self.ids, self.question, self.answer = [], [], []
         bags: list[Counter] = []
         sizes = []
+        of = of or statistics_of([text for _, text in items])
         for item_id, text in items:
-            head, _, tail = text.strip().rpartition("\n")
-            question, answer = words_of(head or tail), words_of(tail if head else "")
-            if not question:
-                question, answer = answer, []
+            question, answer = parts_of(text)
             if not question:
                 continue
             self.ids.append(item_id)
@@ -68,11 +95,10 @@ class Index:
             self.answer.append(shingles(answer, shingle))
             bags.append(Counter(question + answer))
             sizes.append(len(question) + len(answer))
-        n = len(self.ids)
-        self.block = max(32, max(sizes, default=0) * 5 // 4)
-        df = Counter(t for bag in bags for t in bag)
-        mean = sum(sizes) / n if n else 1
-        self.terms = {t: i for i, t in enumerate(sorted(df))}
+        n, df = of.n, of.df
+        self.block = max(32, of.longest * 5 // 4)
+        mean = of.total / n if n else 1
+        self.terms = {t: i for i, t in enumerate(sorted({t for bag in bags for t in bag}))}
         postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
         for item, bag in enumerate(bags):
             weight = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * sizes[item] / mean)) for t, f in bag.items()}
@@ -89,6 +115,7 @@ class Index:
         self.impacts = [np.array([w for _, w in postings[t]]) for t in range(m)]
         self.largest = [[float(p[a : a + BLOCK_ITEMS].max()) for a in range(0, len(p), BLOCK_ITEMS)] for p in self.impacts]
         # words that few items hold, as flat postings; the rest by what they can add to an item at most
+        n = len(self.ids)
         few = max(4, n // 50)
         self.rare = np.array([len(p) <= few for p in self.items], bool)
         self.start = np.zeros(m + 1, np.int64)
@@ -206,9 +233,9 @@ class Index:
                 question = self._share(self.question[item], here, part)
                 answer = self._share(self.answer[item], here, part) if self.answer[item] else 1.0
                 if min(question, answer) >= self.overlap:
-                    leak = {"item_id": self.ids[item], "score": score, "question": question, "answer": answer, "word": lo}
+                    leak = {"item_id": self.ids[item], "score": round(score, 9), "question": question, "answer": answer, "word": lo}
                     key = (row, item)
-                    if key not in best or (min(question, answer), score) > (min(best[key]["question"], best[key]["answer"]), best[key]["score"]):
+                    if key not in best or (min(question, answer), leak["score"]) > (min(best[key]["question"], best[key]["answer"]), best[key]["score"]):
                         best[key] = leak
         for (row, _), leak in sorted(best.items()):
             out[row].append(leak)
@@ -220,20 +247,55 @@ class Index:
         return len(wanted & have) / len(wanted)
 
 
-def with_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """df and a column __leaks: array<struct<item_id, score, question, answer, word>>, empty where
-    the text holds no test item. Nothing is shuffled."""
-    spark = df.sparkSession
-    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+def _item_words(items: DataFrame) -> DataFrame:
+    """item (a row number), word, size: the distinct words of each item that has any, and how many it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                question, answer = parts_of(text)
+                out += [(row, w, len(question) + len(answer)) for w in {*question, *answer}]
+            row, word, size = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(word, pa.string()), pa.array(size, pa.int64())], ["item", "word", "size"])
+
+    return items.select("row", "text").mapInArrow(tidy(run), "item bigint, word string, size bigint")
+
+
+def _indexes(items: DataFrame, overlap: float, shard_items: int) -> Iterator[Index]:
+    """An index for each shard of the items (item_id, text), one after another."""
+    # a shard's items come to the driver together: shard_items or so at most
     shards = max(1, math.ceil(items.count() / shard_items))
-    names = list(df.columns)
-    out, at = df.select(F.array().cast(LEAK).alias("leaks"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]), names.index(text_col) + 1
-    kind = out.schema
+    order = ["item_id", "text"]
+    if shards == 1:
+        rows = items.orderBy(*order).collect()
+        yield Index([(r["item_id"], r["text"]) for r in rows], overlap)
+        return
+    items = written(items.withColumn("row", F.monotonically_increasing_id()).withColumn("shard", F.pmod(F.xxhash64("item_id", "text", "row"), F.lit(shards))))
+    words = written(_item_words(items))
+    sizes = words.groupBy("item").agg(F.first("size").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.max("size").alias("longest")).first()
+    counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     for shard in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text").collect()  # shard_items or so at most
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows], overlap))
+        own = items.filter(F.col("shard") == shard)
+        df = counts.join(words.join(own.select(F.col("row").alias("item")), "item", "left_semi").select("word").distinct(), "word")
+        of = Statistics(sizes["n"], sizes["total"] or 0, sizes["longest"] or 0, {r["word"]: r["df"] for r in df.collect()})
+        yield Index([(r["item_id"], r["text"]) for r in own.orderBy(*order).collect()], overlap, of=of)
+
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+def _searched(df: DataFrame, items: DataFrame, text_col: str, item_id: str, item_text: str, overlap: float, shard_items: int) -> DataFrame:
+    """leaks, and the columns of df as c0, c1 and so on."""
+    spark = df.sparkSession
+    items = items.select(F.col(f"`{item_id}`").alias("item_id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("text"))
+    leak = f"array<struct<item_id:{items.schema['item_id'].dataType.simpleString()},score:double,question:double,answer:double,word:bigint>>"
+    out, at = df.select(F.array().cast(leak).alias("leaks"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]), df.columns.index(text_col) + 1
+    kind, shared = out.schema, None
+    for index in _indexes(items, overlap, shard_items):
+        if shared is not None:  # the passes before this one are done, and their index goes
+            out = written(out)
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], index=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = [t or "" for t in batch.column(at).to_pylist()]
                 found, start, size = [], 0, 0
@@ -247,8 +309,15 @@ def with_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id:
                     before = pa.array([[*a, *b] for a, b in zip(before.to_pylist(), found)], before.type)
                 yield pa.RecordBatch.from_arrays([before, *batch.columns[1:]], batch.schema.names)
 
-        out = out.mapInArrow(run, kind)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("leaks").alias("__leaks"))
+        out = out.mapInArrow(tidy(run), kind)
+    return out
+
+
+def with_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS, into: str = "__leaks") -> DataFrame:
+    """df and a column `into`: array<struct<item_id, score, question, answer, word>>, empty where
+    the text holds no test item. Nothing is shuffled."""
+    out = _searched(df, items, text_col, item_id, item_text, overlap, shard_items)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns) if c != into], F.col("leaks").alias(into))
 
 
 def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
@@ -258,6 +327,7 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     return with_leaks(docs, items, **more).select("doc_id", F.explode("__leaks").alias("x")).select("doc_id", "x.item_id", "x.score", "x.question", "x.answer", "x.word")
 
 
-def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", **more) -> DataFrame:
+def drop_leaks(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", overlap: float = OVERLAP, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """The rows of df that hold no test item."""
-    return with_leaks(df, items, text_col, **more).filter(F.size("__leaks") == 0).drop("__leaks")
+    out = _searched(df, items, text_col, item_id, item_text, overlap, shard_items).filter(F.size("leaks") == 0)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
