@@ -12,12 +12,14 @@ pass gives each what it would get alone.
 
 Defined cases: a null text is empty; an empty text has the empty fingerprint; equal fingerprints
 have likeness 1; an empty text has likeness 0 to others; rows with one id follow each other in the
-order of their texts; a null id comes first; an empty table gives no rows.
+order of their texts; a null id comes first; ids may have any type with an order; an empty table gives
+no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.llm.common import chunks_of, keyed_text
+from ladle.llm.common import chunks_of, keyed_text, tidy
 
 LEAST, NORMAL, MOST = 32, 80, 320
 STRICT_BITS, LOOSE_BITS = 7, 5
@@ -128,36 +130,39 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([render(f) for f in fingerprint_many(texts)])], ["doc_id", "n_bytes", "fingerprint"])
 
     docs = keyed_text(df, id_col, text_col)
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, fingerprint string")
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, fingerprint string")
 
 
-def with_successors(docs: DataFrame, buckets: int) -> DataFrame:
+def first_ids(docs: DataFrame, ranges: int) -> list:
+    """The smallest id of each of some ranges of ids, ascending (null first). Only ids are looked at."""
+    smallest = F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("x")
+    dealt = docs.select("doc_id").repartitionByRange(ranges, F.asc_nulls_first("doc_id")).groupBy(F.spark_partition_id().alias("range")).agg(smallest)
+    found = [r["x"]["doc_id"] for r in dealt.collect()]  # a row for each range
+    return sorted(found, key=lambda x: (x is not None, x))
+
+
+def with_successors(docs: DataFrame, ranges: int) -> DataFrame:
     """doc_id, text, bucket, ghost: the rows dealt into ranges of doc_id, with the first id's rows of
-    the next range (after the last range, of the first) once more as ghosts that end each range.
-
-    Only ids are looked at to choose the ranges: their quantiles, and the smallest id of each, which
-    are `buckets` numbers.
-    """
-    ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull())
-    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.coalesce(F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    with_bucket = docs.withColumn("bucket", F.when(F.col("doc_id").isNull(), 0).otherwise(bucket))
-    firsts = with_bucket.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("x")).orderBy("bucket").collect()
-    starts = [(r["bucket"], r["x"]["doc_id"]) for r in firsts]
-    ghosts = [(starts[i - 1][0], first) for i, (_, first) in enumerate(starts)]
-    to = F.array().cast("array<int>")
-    is_first = F.lit(None).cast("array<int>")
-    null_to = [b for b, first in ghosts if first is None]
-    if ghosts:
-        table = {first: b for b, first in ghosts if first is not None}
-        pairs = [x for first, b in table.items() for x in (F.lit(first), F.lit(b))]
-        if pairs:
-            is_first = F.when(F.col("doc_id").isNotNull(), F.array_compact(F.array(F.try_element_at(F.create_map(*pairs), F.col("doc_id")))))
-    if null_to:
-        is_first = F.when(F.col("doc_id").isNull(), F.array(F.lit(null_to[0]))).otherwise(is_first)
-    copies = F.concat(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("g"))), F.transform(F.coalesce(is_first, to), lambda b: F.struct(b.alias("b"), F.lit(1).alias("g"))))
-    return with_bucket.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", F.col("c.b").alias("bucket"), F.col("c.g").alias("ghost"))
+    the next range (after the last range, of the first) once more as ghosts that end each range."""
+    firsts = first_ids(docs, ranges)
+    shared = docs.sparkSession.sparkContext.broadcast(firsts)  # an id for each range
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = shared.value
+        nulls = int(starts[0] is None)
+        known = starts[nulls:]
+        last = len(starts) - 1
+        for batch in batches:
+            bucket = [0 if x is None else max(0, bisect_right(known, x) - 1 + nulls) for x in batch.column(0).to_pylist()]
+            bucket = np.array(bucket, np.int32)
+            ids = batch.column(0).to_pylist()
+            ghosts = np.array([i for i, (x, b) in enumerate(zip(ids, bucket.tolist())) if x == starts[b]], np.int64)
+            rows = pa.array(np.concatenate((np.arange(len(ids)), ghosts)))
+            to = np.concatenate((bucket, np.where(bucket[ghosts] > 0, bucket[ghosts] - 1, last))).astype(np.int32)
+            ghost = np.repeat(np.array([0, 1], np.int32), [len(ids), len(ghosts)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(to), pa.array(ghost)], ["doc_id", "text", "bucket", "ghost"])
+
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, bucket int, ghost int")
 
 
 def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -165,7 +170,7 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of the next document) and the next document, by fingerprint. The texts are shuffled once."""
     docs = keyed_text(df, id_col, text_col)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = with_successors(docs, buckets or 4 * n).repartition(n, "bucket").sortWithinPartitions("bucket", "ghost", "doc_id", "text")
+    dealt = with_successors(docs, buckets or 4 * n).repartition(n, "bucket").sortWithinPartitions("bucket", "ghost", F.asc_nulls_first("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, whose successor is still to come
@@ -205,4 +210,4 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(tidy(run), f"doc_id {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
