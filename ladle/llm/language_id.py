@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ladle.llm.common import chunks_of, text_sizes
+from ladle.llm.common import chunks_of, text_sizes, tidy
 
 DOCS_PER_LANGUAGE = 250
 SEQUENCES, SEQUENCE_WORDS, EPOCHS = 1600, 60, 40
 NGRAM_BITS, WORD_BITS = 14, 17
 UNKNOWN = "und"
 #: Texts whose recursions run together, and texts whose features are made together.
-BATCH_CHARS, PART_CHARS = 1 << 21, 1 << 19
+BATCH_CHARS, PART_CHARS = 1 << 20, 1 << 18
 _letters: list[np.ndarray] = []
 
 
@@ -258,14 +258,17 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> Field | None:
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = DOCS_PER_LANGUAGE) -> Field | None:
-    """Train on at most `docs_per_language` texts of each language, chosen by hash of the id."""
+    """Train on at most `docs_per_language` texts of each language, chosen by hash of the id; of an id that
+    comes several times one row counts."""
     known = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).filter(F.col("id").isNotNull() & F.col("lang").isNotNull())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     ids = [r["id"] for r in known.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= docs_per_language).select("id").collect()]
     if not ids:
         return None
-    rows = df.filter(F.col(id_col).isin(ids) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).collect()
-    rows = sorted({(r["id"], r["text"], r["lang"]) for r in rows}, key=lambda r: (str(r[0]), r[1], r[2]))
+    chosen = df.filter(F.col(id_col).isin(ids) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    # one row of each id, however often it comes
+    one = chosen.groupBy("id").agg(F.min_by(F.struct("text", "lang"), F.xxhash64("text", "lang")).alias("x")).select("id", "x.text", "x.lang").collect()
+    rows = sorted(((r["id"], r["text"], r["lang"]) for r in one), key=lambda r: (str(r[0]), r[1], r[2]))
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 
@@ -309,5 +312,5 @@ def labelled(df: DataFrame, field: Field | None, text_col: str = "text", spans:
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, ["start", "end", "lang", "p"])))
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang", "score", *["words"] * spans])
 
-    out = inner.mapInArrow(run, schema)
+    out = inner.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("lang").alias("__lang"), F.col("score").alias("__score"), *[F.col("words").alias("__words")] * spans)

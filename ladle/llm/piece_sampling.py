@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.llm.common import chunks_of, list_array, string_bytes, text_sizes
+from ladle.llm.common import chunks_of, list_array, string_bytes, text_sizes, tidy
 
 UNIT = re.compile(r" *[^ ]+| +")
 SPACE, LITERAL = 0x2581, 0x110000  # LITERAL stands for a U+2581 of the text
@@ -361,7 +361,7 @@ def encode(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", seed:
                     same = np.array([bool(s) and decoded[e - n : e].tobytes() == data[p:q].tobytes() for s, e, n, p, q in zip(same, ends, back, offsets, offsets[1:])], bool)
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], list_array(tokens.astype(np.int32), sizes, pa.int32()), pa.array(same)], [*batch.schema.names[1:], "pieces", "lossless"])
 
-    out = inner.mapInArrow(run, schema)
+    out = inner.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("pieces").alias("__pieces"), F.col("lossless").alias("__lossless"))
 
 
@@ -382,5 +382,5 @@ def decode(df: DataFrame, pieces_col: str = "pieces", model: bytes | None = None
             texts = [raw[e - n : e].decode("utf-8", "replace") if ok else None for e, n, ok in zip(ends, back.tolist(), column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(1, batch.num_columns)), pa.array(texts, pa.string())], [*batch.schema.names[1:], "text"])
 
-    out = inner.mapInArrow(run, schema)
+    out = inner.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], F.col("text").alias("__text"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.llm.common import keyed_text
+from ladle.llm.common import keyed_text, tidy
 from ladle.llm.components import components
 from ladle.llm.shingle_join import READ_ROWS, SIMILARITY, candidate_links, family_cells, shingle_hashes, verified_links
 from ladle.session import ensure_checkpoint_dir
@@ -71,7 +71,7 @@ def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), batch.column(2)], ["doc_id", "fp", "th"])
 
     docs = keyed_text(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint, th bigint")
+    return docs.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint, th bigint")
 
 
 class LinkedTree:
@@ -171,7 +171,7 @@ def shard_links(df: DataFrame, radius: int = RADIUS) -> DataFrame:
                         v.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(np.array(u, np.uint64).view(np.int64)), pa.array(np.array(v, np.uint64).view(np.int64))], ["u", "v"])
 
-    return shards.mapInArrow(run, "u bigint, v bigint")
+    return shards.mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def _least(id_col: str = "doc_id"):
@@ -210,7 +210,7 @@ def fingerprint_shingles(docs: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.int64)), pa.array(np.array(sizes, np.int64))], ["doc_id", "th", "fp", "size"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), "th", "text").mapInArrow(run, f"doc_id {kind}, th bigint, fp bigint, size bigint")
+    return docs.select(F.col(key).alias("doc_id"), "th", "text").mapInArrow(tidy(run), f"doc_id {kind}, th bigint, fp bigint, size bigint")
 
 
 def _id_text(id_col: str):
@@ -247,7 +247,7 @@ def _grouped(docs: DataFrame, key: str, radius: int, similarity: float) -> DataF
                 hashes = [shingle_hashes(x).tobytes() for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("th"), pa.array(hashes, pa.binary()), part.column("cells")], ["th", "hashes", "cells"])
 
-    hashed = read.select("th", "text", "cells", *[c for c in docs.columns if c not in ("th", "text")]).mapInArrow(sets, "th bigint, hashes binary, cells array<struct<cell:bigint,side:int>>")
+    hashed = read.select("th", "text", "cells", *[c for c in docs.columns if c not in ("th", "text")]).mapInArrow(tidy(sets), "th bigint, hashes binary, cells array<struct<cell:bigint,side:int>>")
     linked = verified_links(hashed.select("th", "hashes", F.explode("cells").alias("c")).select("c.cell", "c.side", "th", "hashes"), similarity)
     groups = components(linked)
     return texts.join(groups, texts["th"] == groups["node"], "left").select("th", "least", F.coalesce("root", "th").alias("head"))

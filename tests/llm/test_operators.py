@@ -117,6 +117,8 @@ def test_compared_with_next_odd_ids(spark):
     assert sorted((r.doc_id is None, r.n_chars) for r in fingerprints.compare_with_next(df).collect()) == [(False, 0), (False, 1), (False, 1), (True, 1), (True, 1)]
     assert fingerprints.compare_with_next(frame(spark, []).limit(0)).count() == 0
     assert fingerprints.compare_with_next(frame(spark, ["alone here"])).first().near_next == 1
+    named = df.select(F.concat(F.lit("n"), "doc_id").alias("doc_id"), "text")
+    assert sorted((str(r.doc_id), r.n_chars) for r in fingerprints.compare_with_next(named, buckets=3).collect()) == [("None", 1), ("None", 1), ("n1", 1), ("n1", 1), ("n2", 0)]
 
 
 # 3 language
@@ -217,15 +219,73 @@ def test_lm_scores(spark):
     assert lm_score.score_documents(frame(spark, []).limit(0)).count() == 0
 
 
+def brute_log_p(model, counts, text):
+    """Every token by loops: the network's softmax over classes and over the class's leaves, and the word's share of its leaf."""
+    tokens, net = model.tokens, model.network
+    table, w1, b1, wc, wl = (p.astype(np.float64) for p in net.params)
+    words = lm_score.tokens_of(text)
+    frequent = list(tokens.ids)
+    own = frequent[: lm_score.OWN]
+    shares = Counter()
+    for w, n in counts.items():
+        if w not in own:
+            shares[lm_score.ending(w)] += n
+    at = lambda i: tokens.edge if not 0 <= i < len(words) else tokens.near[tokens.ids.get(words[i], tokens.words + lm_score.ending(words[i]))]
+    total = 0.0
+    for i, w in enumerate(words):
+        h = np.append(np.tanh(np.concatenate([table[at(i + d)] for d in lm_score.SIDES]) @ w1 + b1), 1)
+        t = tokens.ids.get(w, tokens.words + lm_score.ending(w))
+        zc, zl = h @ wc, h @ wl[tokens.group[t]]
+        zc[~tokens.used.any(axis=1)] = zl[~tokens.used[tokens.group[t]]] = -np.inf
+        total += zc[tokens.group[t]] - np.log(np.exp(zc).sum()) + zl[tokens.leaf[t]] - np.log(np.exp(zl).sum())
+        if w not in own:
+            total += np.log(counts[w] / shares[lm_score.ending(w)])
+    return total
+
+
+@pytest.mark.parametrize("words", [1 << 16, 40])
+def test_lm_scores_are_those_of_loops(spark, monkeypatch, words):
+    """With a small vocabulary most words come from the joined counts; results don't depend on the split into tasks."""
+    monkeypatch.setattr(lm_score, "WORDS", words)
+    monkeypatch.setattr(lm_score, "OWN", 20)
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 1000)
+    texts = [*ODD, *prose(120, 25), *prose(3, 26, 5000)]
+    docs = frame(spark, texts).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    model, coded = lm_score.fit(docs.repartition(5))
+    got = {r.doc_id: r for r in lm_score.score_encoded(coded, model).collect()}
+    counts = Counter(w for t in texts for w in lm_score.tokens_of(t or ""))
+    for i, t in enumerate(texts):
+        assert got[i].log_p == pytest.approx(brute_log_p(model, counts, t or ""), rel=1e-4, abs=1e-3)
+    other, _ = lm_score.fit(docs.repartition(2))
+    assert np.array_equal(model.network.flat(), other.network.flat())
+
+
+def test_lm_probabilities_add_up(spark):
+    texts = prose(80, 27)
+    model, _ = lm_score.fit(frame(spark, texts).select("doc_id", "text"))
+    counts = Counter(w for t in texts for w in lm_score.tokens_of(t))
+    middle = " ".join(texts[:3]).split()
+    z = lambda w: np.exp(brute_place(model, counts, [*middle[:2], w, *middle[2:4]], 2))
+    assert sum(map(z, counts)) == pytest.approx(1, abs=1e-4)
+
+
+def brute_place(model, counts, words, place):
+    """log_p of one token among its neighbours."""
+    tokens, net = model.tokens, model.network
+    ids, sizes, _, _ = tokens.encode([" ".join(words)])
+    p = net.log_p(tokens.contexts(ids, sizes), tokens.group[ids], tokens.leaf[ids])[place] + tokens.within[ids[place]]
+    return p if words[place] in tokens.ids else p + np.log(counts[words[place]])
+
+
 def test_lm_gradient():
-    net = lm_score.Network(20, 5)
+    net = lm_score.Network(20)
     net.params = [p.astype(np.float64) for p in net.params]
     rng = np.random.default_rng(1)
-    context, group = rng.integers(0, 21, (7, 4)), rng.integers(0, 5, 7)
-    grads = net.gradient(context, group)
-    loss = lambda: -net.log_p(context, group).mean()
+    context, group, leaf = rng.integers(0, 20, (9, 4)), rng.integers(0, 5, 9), rng.integers(0, lm_score.LEAVES, 9)
+    grads = net.gradient(context, group, leaf)
+    loss = lambda: -net.log_p(context, group, leaf).mean()
     for p, g in zip(net.params, grads):
-        for at in list(np.ndindex(*p.shape))[:: max(1, p.size // 5)]:
+        for at in list(np.ndindex(*p.shape))[:: max(1, p.size // 9)]:
             keep = p[at]
             p[at] = keep + 1e-5
             up = loss()
@@ -237,22 +297,31 @@ def test_lm_gradient():
 
 def test_lm_trains_on_every_position(spark):
     text = " ".join(prose(1, 5, 200))
-    tokens, net = lm_score.fit(frame(spark, [text]).select("doc_id", "text"))
-    ids, sizes = tokens.encode([text])
-    want = lm_score.Network(tokens.size, tokens.groups)
-    lm_score.Adam(want).step(tokens.contexts(ids, sizes), tokens.group[ids])
-    assert np.allclose(net.flat(), want.flat(), atol=1e-5)
+    model, _ = lm_score.fit(frame(spark, [text]).select("doc_id", "text"))
+    tokens = model.tokens
+    ids, sizes, _, _ = tokens.encode([text])
+    want = lm_score.Network(tokens.edge + 1, tokens.used)
+    lm_score.Adam(want).step(tokens.contexts(ids, sizes), tokens.group[ids], tokens.leaf[ids])
+    assert np.allclose(model.network.flat(), want.flat(), atol=1e-5)
 
 
 def test_lm_learns_from_both_sides(spark):
     rng = random.Random(1)
     ordered = [" ".join(x for _ in range(30) for x in ("red", "fox", rng.choice(["ran", "sat"]))) for _ in range(400)]
     shuffled = [" ".join(rng.sample(t.split(), 90)) for t in ordered[:50]]
-    tokens, net = lm_score.fit(frame(spark, ordered).select("doc_id", "text"))
-    mean = lambda texts: np.mean([r.mean_log_p for r in lm_score.score(frame(spark, texts).select("doc_id", "text"), tokens, net).collect()])
+    model, _ = lm_score.fit(frame(spark, ordered).select("doc_id", "text"))
+    mean = lambda texts: np.mean([r.mean_log_p for r in lm_score.score(frame(spark, texts).select("doc_id", "text"), model).collect()])
     assert mean(ordered[:50]) > mean(shuffled) + 0.3
 
 
+def test_lm_tells_twice_from_once(spark):
+    """A text that the corpus has twice scores above one that it has once."""
+    rng = random.Random(31)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(40)) for _ in range(60)]
+    got = {r.doc_id: r.mean_log_p for r in lm_score.score_documents(frame(spark, texts + texts[:20])).collect()}
+    assert min(got[i] for i in range(20)) > max(got[i] for i in range(20, 60))
+
+
 # 6 SimHash
 
 
@@ -473,7 +542,7 @@ def test_misled_hashes_are_found(monkeypatch):
 
 
 def test_token_counts(spark):
-    texts = [*ODD, *prose(50, 12)]
+    texts = [*ODD, *prose(50, 12), " ".join(prose(20, 12))]
     encode = token_counts.encoding(*token_counts.rank_bytes()).encode_ordinary
     lengths = [len(encode(t or "")) for t in texts]
     sums = token_counts.suffix_sums(token_counts.histogram(token_counts.encoded_lengths(frame(spark, texts))))
@@ -481,6 +550,15 @@ def test_token_counts(spark):
         n = r.n_tokens
         assert r.n_docs == lengths.count(n) and r.docs_longer == sum(x > n for x in lengths) and r.tokens_longer == sum(x for x in lengths if x > n)
         assert r.tokens_kept == sum(min(x, n) for x in lengths) and r.tokens_total == sum(lengths) and r.docs_at_most == sum(x <= n for x in lengths)
+    rows = token_counts.every_limit(sums).collect()
+    assert sorted(r.context_limit for r in rows) == list(range(max(lengths) + 1))
+    ordered = sorted(lengths)
+    for r in rows:
+        n = r.context_limit
+        assert r.n_docs == lengths.count(n) and r.docs_longer == sum(x > n for x in lengths) and r.docs_at_most == sum(x <= n for x in lengths)
+        assert r.tokens_at_most == sum(x for x in lengths if x <= n) and r.tokens_longer == sum(x for x in lengths if x > n) and r.tokens_total == sum(lengths)
+        assert r.tokens_kept == sum(min(x, n) for x in lengths)
+        assert r.percentiles == [p for p in range(1, 101) if ordered[-(-p * len(lengths) // 100) - 1] == n]
     q = {r.share: r.n_tokens for r in token_counts.quantiles(sums, [0.5, 1.0]).collect()}
     assert q[1.0] == max(lengths) and q[0.5] == sorted(lengths)[(len(lengths) - 1) // 2]
     for r in token_counts.at_limits(sums, [0, 7, 10**6]).collect():
@@ -519,8 +597,12 @@ def test_leaks(spark):
     assert want - got == set(), "the passages' windows hold every item that stands in one place"
     assert got <= want
     assert len(want) > 40
-    two = decontaminate.find_leaks(frame(spark, texts), table, shard_items=20)
-    assert {(r.doc_id, r.item_id) for r in two.collect()} == got
+    one = sorted(map(tuple, decontaminate.find_leaks(frame(spark, texts), table).collect()))
+    several = sorted(map(tuple, decontaminate.find_leaks(frame(spark, texts), table, shard_items=20).collect()))
+    assert [x[:2] + x[5:] for x in one] == [x[:2] + x[5:] for x in several]
+    assert [x[2:5] for x in one] == [pytest.approx(x[2:5]) for x in several], "scores don't depend on the shards"
+    named = table.select(F.concat(F.lit("item "), "item_id").alias("item_id"), "text")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame(spark, texts), named).collect()} == {(i, f"item {k}") for i, k in got}
     kept = decontaminate.drop_leaks(frame(spark, texts), table)
     assert {r.doc_id for r in kept.collect()} == set(range(len(texts))) - {i for i, _ in got} and "c0" in kept.columns
     assert decontaminate.find_leaks(frame(spark, texts), table.limit(0)).count() == 0
