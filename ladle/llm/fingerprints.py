@@ -169,8 +169,8 @@ def compare_with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Each document, its edited text (its last floor(n/2) code points replaced by the first as many
     of the next document) and the next document, by fingerprint. The texts are shuffled once."""
     docs = keyed_text(df, id_col, text_col)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = with_successors(docs, buckets or 4 * n).repartition(n, "bucket").sortWithinPartitions("bucket", "ghost", F.asc_nulls_first("doc_id"), "text")
+    n = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = with_successors(docs, n).repartitionById(n, "bucket").sortWithinPartitions("bucket", "ghost", F.asc_nulls_first("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, whose successor is still to come

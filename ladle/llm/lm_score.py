@@ -340,7 +340,7 @@ def trained(coded: DataFrame, tokens: Tokens, total: int) -> Network:
                 sums[k] = sums.get(k, 0) + np.frombuffer(x, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "sums"])
 
-    dealt = coded.filter(F.octet_length("ids") > 0).select(F.pmod(F.col("tk"), F.lit(shards)).cast("int").alias("shard"), "ids", "tk").repartition(shards, "shard").sortWithinPartitions("shard", "tk")
+    dealt = coded.filter(F.octet_length("ids") > 0).select(F.pmod(F.col("tk"), F.lit(shards)).cast("int").alias("shard"), "ids", "tk").repartitionById(shards, "shard").sortWithinPartitions("shard", "tk")
     copies = dealt.select("shard", "ids").mapInArrow(tidy(train), "block int, sums binary")
     flat, seen = np.zeros((16, block)), 0
     for r in copies.repartition(16, "block").mapInArrow(tidy(add), "block int, sums binary").collect():  # one network
