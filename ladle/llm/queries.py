@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ladle.llm import chat_format, decontaminate, fingerprints, language_id, license_scan, lm_score, piece_sampling, simhash_dedup, suffix_dedup, token_counts
+from ladle.llm import chat_format, decontaminate, fingerprints, hard_negatives, language_id, license_scan, lm_score, piece_sampling, secret_scan, simhash_dedup, spelling, suffix_dedup, token_counts
 from ladle.llm.common import short_batches
 
 
@@ -79,6 +79,19 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"), slip=spelling.SLIP)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scans": op1_license_scans,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -90,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_secret_scans": op11_secret_scans,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 
@@ -118,4 +134,46 @@ CHAT_SQL = """WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text
     CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     CAST(sum(escaped + CASE WHEN before = role THEN 10 ELSE 24 + length(role) END) AS BIGINT) AS formatted_chars, CAST(sum(CAST(before IS DISTINCT FROM role AS INT)) AS BIGINT) AS n_messages FROM p GROUP BY conv_id"""
 
-ORACLE: dict[str, str] = {"op1_license_scans": _license_sql(), "op10_chat_formatting": CHAT_SQL}
+
+def _secret_sql() -> str:
+    """Base spans by place and kind; the method's by how many sources hold a value."""
+    parts = []
+    for no, (kind, pattern, _) in enumerate(secret_scan.KINDS):
+        p = pattern.replace("'", "''")
+        value = f"regexp_extract(found, '{p}', 2)" if kind == "assign" else "found"
+        good = {"assign": f"length({value}) >= {secret_scan.ASSIGN_VALUE}", "random": "regexp_matches(found, '[a-z]') AND regexp_matches(found, '[A-Z]') AND regexp_matches(found, '[0-9]')"}.get(kind, "true")
+        parts.append(
+            f"""SELECT doc_id, source, {no} AS k, '{kind}' AS kind, e - length(found) AS s, e, {value} AS v FROM (SELECT doc_id, source, found, sum(length(before) + length(found)) OVER (PARTITION BY doc_id ORDER BY i) AS e
+            FROM (SELECT doc_id, source, i, found[i] AS found, between[i] AS before FROM (SELECT doc_id, source, string_split_regex(t, '{p}') AS between, regexp_extract_all(t, '{p}') AS found FROM d), unnest(range(1, len(found) + 1)) AS u(i))) WHERE {good}"""
+        )
+    base = f"k < {sum(b for *_, b in secret_scan.KINDS)}"
+    look = f"regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= {secret_scan.DISTINCT} AND NOT regexp_matches(lower(v), '{secret_scan.PLACEHOLDER}')"
+    shown = "concat_ws(':', kind, CAST(s AS BIGINT), CAST(e AS BIGINT))"
+    return f"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), c AS ({" UNION ALL ".join(parts)}),
+        o AS (SELECT v, count(DISTINCT source) + max(CAST(source IS NULL AS INT)) AS owners FROM c GROUP BY v), j AS (SELECT c.*, owners, owners <= {secret_scan.OWNERS} AND {look} AS live FROM c JOIN o USING (v))
+        SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+        sha256(coalesce(string_agg({shown}, ',' ORDER BY s, k) FILTER ({base}), '')) AS base_sha256, coalesce(string_agg({shown}, ',' ORDER BY s, k) FILTER ({base} OR live), '') AS spans,
+        count(*) FILTER (live) AS n_live, count(*) FILTER (owners > {secret_scan.OWNERS}) AS n_example, coalesce(max(owners), 0) AS most_owners FROM d LEFT JOIN j USING (doc_id) GROUP BY doc_id"""
+
+
+NEGATIVE_SQL = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+    SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank, other AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
+#: The hash byte by byte; near words share a rest of one letter less (inserted) or of one letter less at one place (replaced).
+VARIANT_SQL = """WITH RECURSIVE tb AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS tb),
+    r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+    u AS (SELECT id, w, count(*) AS n, hex(encode(id || ':' || w)) AS x FROM r GROUP BY id, w),
+    h AS (SELECT w, n, xor(list_reduce(list_concat([4294967295], list_transform(range(length(x) // 2), lambda k: CAST('0x' || substr(x, 2 * k + 1, 2) AS BIGINT))), lambda c, b: xor(tb[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h FROM u, tb),
+    v AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h), c AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    g AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM c, unnest(range(1, length(word) + 1)) AS x(i)),
+    near AS (SELECT a.word, b.word AS other, b.n FROM g a JOIN g b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT a.word, b.word, b.n FROM g a JOIN c b ON a.rest = b.word UNION SELECT b.word, a.word, a.n FROM g a JOIN c b ON a.rest = b.word),
+    m AS (SELECT word, count(*) AS n_near, max(n) AS best_n, arg_min(other, (-n, other)) AS best FROM near GROUP BY word),
+    f AS (SELECT c.word, c.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * c.n THEN best END AS form, CASE WHEN best_n >= 2 * c.n THEN best_n END AS form_n FROM c LEFT JOIN m USING (word)),
+    way AS (SELECT word, word AS root FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON way.root = f.word AND f.form IS NOT NULL)
+    SELECT f.*, way.root FROM f JOIN way ON f.word = way.word JOIN f AS last ON way.root = last.word AND last.form IS NULL"""
+
+ORACLE: dict[str, str] = {"op1_license_scans": _license_sql(), "op10_chat_formatting": CHAT_SQL, "op11_secret_scans": _secret_sql(), "op12_hard_negatives": NEGATIVE_SQL, "op13_spelling_variants": VARIANT_SQL}
