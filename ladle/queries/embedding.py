@@ -285,10 +285,11 @@ def flat_triples(spark, sf_dir):
 
 
 def trained_entities(spark, sf_dir):
-    """Entities after training on the customers' triples."""
-    t = id_triples(spark, sf_dir)
-    ent, _, _ = train(t, entities(spark, sf_dir), len(SEGMENTS), Settings(dim=16, rounds=3))
-    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(ent)], "id long, vec array<double>")
+    """Entities after steps on the customers' triples and on the orders' trees, which lead to their customers."""
+    n = entities(spark, sf_dir)
+    tails = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tree"), (F.col("o_custkey") % n).alias("t"))
+    s = Settings(dim=16, steps=4, negatives=4)
+    return train(id_triples(spark, sf_dir), n, len(SEGMENTS), s, (tree_nodes(spark, sf_dir), tails)).entities.select("id", "vec")
 
 
 def _tails(spark, sf_dir) -> DataFrame:
