@@ -288,7 +288,7 @@ def trained_entities(spark, sf_dir):
     """Entities after steps on the customers' triples and on the orders' trees, which lead to their customers."""
     n = entities(spark, sf_dir)
     tails = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("tree"), (F.col("o_custkey") % n).alias("t"))
-    s = Settings(dim=16, steps=4, negatives=4)
+    s = Settings(dim=16, steps=3, negatives=1)
     return train(id_triples(spark, sf_dir), n, len(SEGMENTS), s, (tree_nodes(spark, sf_dir), tails)).entities.select("id", "vec")
 
 
