@@ -12,16 +12,21 @@ from pyspark.sql import functions as F
 
 from ladle.functions.nlp import lemma
 from ladle.operators.textops import term_counts, words
+from ladle.session import stored
 
 
 def tfidf(labels: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Fit on labels: (key, term, w) with L2-normalised rows, and (term, idf), idf = ln((1+n)/(1+df)) + 1."""
     tf = term_counts(labels, key, text)
-    n = labels.select(F.count(F.lit(1)).alias("n"))
-    idf = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).select("term", (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # n is one row
+    idf = fitted_idf(tf, labels.count())
     return normalised(tf, idf, key), idf
 
 
+def fitted_idf(tf: DataFrame, n: int) -> DataFrame:
+    """term, idf from the counts (key, term) of n texts."""
+    return tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.ln((1 + F.lit(float(n))) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
 def normalised(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """key, term, w of counts under a fitted idf; unknown terms drop out."""
     raw = tf.join(idf, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
@@ -29,25 +34,57 @@ def normalised(tf: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return raw.join(size, key).select(key, "term", (F.col("raw") / F.col("size")).alias("w"))
 
 
+#: Terms of a query that its first candidate is looked for with, and what sums may be off by.
+PROBES, SLACK = 3, 1e-8
+
+
+def _partial(terms: DataFrame, weights: DataFrame) -> DataFrame:
+    """q, uri, part, seen: for each query and label that share one of the terms, the sum of the products of their weights
+    over them, and of the label's squares. terms: q, term, w; weights: uri, term, v."""
+    return terms.join(weights, "term").groupBy("q", "uri").agg(F.sum(F.col("w") * F.col("v")).alias("part"), F.sum(F.col("v") * F.col("v")).alias("seen"))
+
+
+def _completed(found: DataFrame, terms: DataFrame, weights: DataFrame) -> DataFrame:
+    """q, uri, score: part plus the products over further terms of the query. found: q, uri, part; terms: q, term, w."""
+    more = found.join(terms, "q").join(weights, ["uri", "term"]).groupBy("q", "uri").agg(F.sum(F.col("w") * F.col("v")).alias("more"))
+    return found.select("q", "uri", "part").join(more, ["q", "uri"], "left").select("q", "uri", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+
 def best_links(queries: DataFrame, labels: DataFrame, least: float, all_known: bool = False) -> DataFrame:
     """q, uri, score: every label with the best cosine of its query, if that reaches `least`.
 
-    queries: q, text; labels: uri (unique), label. Candidates share a term that is rare enough. all_known: a query with a
-    word that no label has gets no link.
+    queries: q, text; labels: uri (unique), label. all_known: a query with a word that no label has gets no link.
+
+    Each query's heaviest terms find a first label, whose cosine the best one reaches. A label that does so shares one of the
+    query's rarer terms: its commonest ones, as long as their weights together are shorter than that cosine, can't
+    bring it there alone. The products over the rarer terms give a part of every such label's cosine; the rest is at most what
+    both have left in length. Only labels that can still be the best ones meet the query's other terms.
     """
-    weights, idf = tfidf(labels, "uri", "label")
-    tf = term_counts(queries, "q", "text")
+    counts = stored(term_counts(labels, "uri", "label"))
+    idf = stored(fitted_idf(counts, labels.count()))
+    tf = stored(term_counts(queries, "q", "text"))
+    # lengths take all terms of a label, products only those that a query has
+    raw = counts.join(idf, "term").select("uri", "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    size = raw.groupBy("uri").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("size"))
+    asked = tf.select("term").distinct()
+    weights = stored(raw.join(asked, "term", "left_semi").join(size, "uri").select("uri", "term", (F.col("raw") / F.col("size")).alias("v")))
     if all_known:
         unknown = tf.join(idf, "term", "left_anti").select("q").distinct()
         tf = tf.join(unknown, "q", "left_anti")
-    wq = normalised(tf, idf, "q")
-    # a label at the threshold shares one of the query's rarer terms: the commonest ones, as long as their
-    # weights together are shorter than the threshold, can't bring it there alone
+    by_weight = Window.partitionBy("q").orderBy(F.desc("w"), "term")
     common = Window.partitionBy("q").orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = wq.join(idf, "term").withColumn("reach", F.sqrt(F.sum(F.col("w") * F.col("w")).over(common)))
-    rare = ranked.filter(F.col("reach") >= least * (1 - 1e-9)).select("q", "term")
-    pairs = rare.join(weights.select("term", "uri"), "term").select("q", "uri").distinct()
-    score = pairs.join(wq, "q").join(weights.withColumnRenamed("w", "v"), ["uri", "term"]).groupBy("q", "uri").agg(F.round(F.sum(F.col("w") * F.col("v")), 9).alias("score"))
+    terms = normalised(tf, idf, "q").join(idf, "term").select("q", "term", "w", F.row_number().over(by_weight).alias("place"), F.sqrt(F.sum(F.col("w") * F.col("w")).over(common)).alias("reach"))
+    terms = stored(terms)
+    heavy = F.col("place") <= PROBES
+    first = _partial(terms.filter(heavy).select("q", "term", "w"), weights).groupBy("q").agg(F.max(F.struct("part", "uri")).alias("x")).select("q", "x.part", "x.uri")
+    floor = _completed(first, terms.filter(~heavy).select("q", "term", "w"), weights).groupBy("q").agg(F.max("score").alias("floor"))
+    known = terms.join(floor, "q").withColumn("floor", F.greatest(F.col("floor"), F.lit(least)) - SLACK).withColumn("rare", F.col("reach") >= F.col("floor"))
+    known = stored(known.select("q", "term", "w", "rare", "floor", F.sqrt(F.coalesce(F.sum(F.when(~F.col("rare"), F.col("w") * F.col("w"))).over(Window.partitionBy("q")), F.lit(0.0))).alias("left")))
+    of_query = known.groupBy("q").agg(F.first("floor").alias("floor"), F.first("left").alias("left"))
+    parts = _partial(known.filter("rare").select("q", "term", "w"), weights).join(of_query, "q")
+    most = F.col("part") + F.col("left") * F.sqrt(F.greatest(1 - F.col("seen"), F.lit(0.0))) + SLACK
+    open_ = parts.filter(most >= F.col("floor")).withColumn("top", F.max("part").over(Window.partitionBy("q"))).filter(most >= F.col("top"))
+    score = _completed(stored(open_.select("q", "uri", "part")), known.filter(~F.col("rare")).select("q", "term", "w"), weights).withColumn("score", F.round("score", 9))
     best = F.max("score").over(Window.partitionBy("q"))
     return score.withColumn("best", best).filter((F.col("score") == F.col("best")) & (F.col("score") >= least)).drop("best")
 
