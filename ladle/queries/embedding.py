@@ -11,6 +11,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ladle.operators import ranking as R
 from ladle.operators import sampling as S
 from ladle.operators import scoring as M
 from ladle.operators import triples as T
@@ -163,14 +164,10 @@ def score_protate(spark, sf_dir):
     return _score(spark, sf_dir, lambda h, r, t: M.protate(h, r, t, DIM, GAMMA))
 
 
-def _candidate_scores(spark, sf_dir):
-    c = eval_candidates(spark, sf_dir).select("h", "r", F.col("cand").alias("t"), F.col("t").alias("true"))
-    e = M.embed(c, emb(spark, sf_dir), relations(spark, sf_dir))
-    return e.select("h", "r", "true", F.col("t").alias("cand"), F.round(M.transe(F.col("hv"), F.col("rv"), F.col("tv"), DIM, GAMMA), 6).alias("score"))
-
-
 def filtered_ranks(spark, sf_dir):
-    return M.ranks(_candidate_scores(spark, sf_dir), ["h", "r", "true"], "cand", "true")
+    t = id_triples(spark, sf_dir)
+    r = R.filtered_ranks(t, t, emb(spark, sf_dir), _nations(spark, sf_dir), relations(spark, sf_dir), "TransE", GAMMA, 6)
+    return r.select("h", "r", F.col("t").alias("true"), "rank")
 
 
 def mrr_hits(spark, sf_dir):
