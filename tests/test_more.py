@@ -56,14 +56,18 @@ def test_verbs_are_joined(spark):
     assert known == {0: {"chop", "fry"}, 1: {"chopped"}, 2: set()}
 
 
-def test_masked_top_k_by_both_ways(spark, monkeypatch):
+@pytest.mark.parametrize("blocks", [(4096, 4096), (5, 3)])
+def test_masked_top_k_in_blocks(spark, monkeypatch, blocks):
     rng = random.Random(3)
-    m = spark.createDataFrame([(g, f"i{x}") for g in range(40) for x in rng.sample(range(12), rng.randint(1, 6))], "grp long, item string")
+    m = spark.createDataFrame([(g, f"i{x}") for g in range(90) for x in rng.sample(range(12), rng.randint(1, 6))] + [(99, "alone")], "grp long, item string")
     rows = O.symmetric(O.pair_counts(m))
     targets = m.groupBy("grp").agg(F.min("item").alias("target"))
-    one = sorted(map(tuple, O.masked_top_k(m, rows, targets, 3).select("grp", "target", "item", "cos", "rank").collect()))
-    monkeypatch.setattr(O, "MATRIX_ITEMS", 2)
-    assert sorted(map(tuple, O.masked_top_k(m, rows, targets, 3).select("grp", "target", "item", "cos", "rank").collect())) == one and len(one) > 60
+    whole = O.masked_cosines(m, rows, targets).withColumn("key", F.struct("grp", "target"))
+    want = sorted(map(tuple, O.top_k(whole, 3, by="key", name="item").select("grp", "target", "item", "cos", "rank").collect()))
+    monkeypatch.setattr(O, "SET_BLOCK", blocks[0])
+    monkeypatch.setattr(O, "ITEM_BLOCK", blocks[1])
+    found = sorted(map(tuple, O.masked_top_k(m, rows, targets, 3).select("grp", "target", "item", "cos", "rank").collect()))
+    assert found == want and len(want) > 150
 
 
 @pytest.mark.parametrize("block", [3, 1000])
