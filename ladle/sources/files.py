@@ -62,6 +62,22 @@ def read_nquads(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(bare(part(1)).alias("s"), bare(part(2)).alias("p"), F.when(literal, plain).otherwise(bare(o)).alias("o"), literal.alias("o_is_literal"), lang.alias("o_lang"), F.nullif(bare(part(4)), F.lit("")).alias("g"))
 
 
+def rejected_nquads(spark: SparkSession, path: str) -> DataFrame:
+    """file, line, reason of the lines that `read_nquads` leaves out, but for blank ones and comments: what the first part
+    is that can't be read."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    subject, predicate, thing = r"(<[^>]*>|_:\S+)", r"<[^>]*>", r'(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)'
+    bad = lines.filter(~F.trim("line").startswith("#") & (F.trim("line") != "") & ~F.col("line").rlike(NQUAD))
+    reason = (
+        F.when(~F.col("line").rlike(f"^{subject}\\s"), "subject")
+        .when(~F.col("line").rlike(f"^{subject}\\s+{predicate}\\s"), "predicate")
+        .when(~F.col("line").rlike(f"^{subject}\\s+{predicate}\\s+{thing}"), "object")
+        .when(~F.col("line").rlike(r"\.\s*$"), "no full stop")
+        .otherwise("graph")
+    )
+    return bad.select("file", "line", reason.alias("reason"))
+
+
 def write_nquads(df: DataFrame, path: str, graph: str) -> None:
     """s, p, o as quads of one graph; o is an IRI unless o_is_literal says otherwise."""
     literal = F.col("o_is_literal") if "o_is_literal" in df.columns else F.lit(False)
@@ -188,20 +204,48 @@ def write_links(df: DataFrame, path: str) -> None:
     df.select("kind", "src", "dst", "ord").write.mode("overwrite").partitionBy("kind").parquet(path)
 
 
-def _fields(spark: SparkSession, path: str, n: int, names: list[str], kinds: list[str], encoding: str) -> DataFrame:
+#: The fields of annotated tokens and of annotated edges, and their types.
+GOLD_TOKEN = {"step": "int", "sentence": "int", "word_no": "int", "word": "string", "pos": "string", "tag": "string", "other": "string"}
+GOLD_EDGE = {"from_step": "int", "from_sentence": "int", "from_word": "int", "link": "string", "to_step": "int", "to_sentence": "int", "to_word": "int"}
+
+
+def _cut(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """file, value, x (its fields) of lines that are no comments."""
     raw = spark.read.option("encoding", encoding).option("sep", "\x00").option("quote", "").csv(path, schema="value string").select("value", F.col("_metadata.file_path").alias("file"))
-    cut = raw.filter(~F.col("value").startswith("#")).withColumn("x", F.split("value", " ")).filter(F.size("x") == n)
-    return cut.select("file", *[F.try_element_at("x", F.lit(i + 1)).cast(k).alias(c) for i, (c, k) in enumerate(zip(names, kinds))])
+    return raw.filter(~F.col("value").startswith("#")).withColumn("x", F.split("value", " "))
+
+
+def _fields(spark: SparkSession, path: str, kinds: dict[str, str], encoding: str) -> DataFrame:
+    cut = _cut(spark, path, encoding).filter(F.size("x") == len(kinds))
+    return cut.select("file", *[F.try_element_at("x", F.lit(i)).cast(k).alias(c) for i, (c, k) in enumerate(kinds.items(), 1)])
+
+
+def _rejected(spark: SparkSession, path: str, kinds: dict[str, str], encoding: str) -> DataFrame:
+    numbers = [F.when(~F.try_element_at("x", F.lit(i)).rlike(r"^\s*[+-]?[0-9]+\s*$"), F.lit(c)) for i, (c, k) in enumerate(kinds.items(), 1) if k == "int"]
+    odd = F.array_join(F.array_compact(F.array(*numbers)), ", ")
+    reason = F.when(F.size("x") != len(kinds), F.concat(F.size("x").cast("string"), F.lit(f" fields, not {len(kinds)}"))).when(odd != "", F.concat(F.lit("no number: "), odd))
+    return _cut(spark, path, encoding).select("file", F.col("value").alias("line"), reason.alias("reason")).filter("reason is not null")
 
 
 def read_gold_tokens(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """file, step, sentence, word_no, word, pos, tag, other of lines with seven fields."""
-    return _fields(spark, path, 7, ["step", "sentence", "word_no", "word", "pos", "tag", "other"], ["int", "int", "int", "string", "string", "string", "string"], encoding)
+    """file, step, sentence, word_no, word, pos, tag, other of lines with seven fields; what is no number is null."""
+    return _fields(spark, path, GOLD_TOKEN, encoding)
 
 
 def read_gold_edges(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """file, from (step, sentence, word), link, to (step, sentence, word) of lines with seven fields."""
-    return _fields(spark, path, 7, ["from_step", "from_sentence", "from_word", "link", "to_step", "to_sentence", "to_word"], ["int", "int", "int", "string", "int", "int", "int"], encoding)
+    """file, from (step, sentence, word), link, to (step, sentence, word) of lines with seven fields; what is no number is null."""
+    return _fields(spark, path, GOLD_EDGE, encoding)
+
+
+def rejected_gold_tokens(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """file, line, reason of token lines with other than seven fields (left out) or with a field that should be a number
+    (read as null). Comments and blank lines are no such lines."""
+    return _rejected(spark, path, GOLD_TOKEN, encoding)
+
+
+def rejected_gold_edges(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
+    """file, line, reason of edge lines, as `rejected_gold_tokens`."""
+    return _rejected(spark, path, GOLD_EDGE, encoding)
 
 
 def save_model(emb: DataFrame, relations: DataFrame, config: dict, path: str) -> None:
