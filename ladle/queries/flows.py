@@ -156,7 +156,7 @@ def pruned_childless(spark, sf_dir):
 
 
 def text_facts(spark, sf_dir):
-    """Step facts of the documents' lines, read by the rule-based parser."""
+    """Step facts of the documents' lines, read by the trained parser."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("recipe_id"), F.filter(F.split("text", "\n"), lambda x: x != "").alias("steps"))
     return recipe_facts(docs)
 

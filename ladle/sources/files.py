@@ -217,7 +217,7 @@ def _cut(spark: SparkSession, path: str, encoding: str) -> DataFrame:
 
 def _fields(spark: SparkSession, path: str, kinds: dict[str, str], encoding: str) -> DataFrame:
     cut = _cut(spark, path, encoding).filter(F.size("x") == len(kinds))
-    return cut.select("file", *[F.try_element_at("x", F.lit(i)).cast(k).alias(c) for i, (c, k) in enumerate(kinds.items(), 1)])
+    return cut.select("file", *[F.try_element_at("x", F.lit(i)).try_cast(k).alias(c) for i, (c, k) in enumerate(kinds.items(), 1)])
 
 
 def _rejected(spark: SparkSession, path: str, kinds: dict[str, str], encoding: str) -> DataFrame:
