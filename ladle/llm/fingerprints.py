@@ -149,7 +149,7 @@ def with_successors(docs: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = shared.value
-        nulls = int(starts[0] is None)
+        nulls = int(starts[:1] == [None])  # an empty table has no ranges
         known = starts[nulls:]
         last = len(starts) - 1
         for batch in batches:

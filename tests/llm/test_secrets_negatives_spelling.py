@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from test_operators import ODD
 from test_queries import SF, TABLES, plain
 
-from ladle.llm import hard_negatives, queries, secret_scan, spelling
+from ladle.llm import fingerprints, hard_negatives, queries, secret_scan, spelling
 
 NEW = ("op11_secret_scans", "op12_hard_negatives", "op13_spelling_variants")
 
@@ -231,3 +231,14 @@ def test_long_way_to_the_root(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     found = {r.word: r.root for r in spelling.group_variants(df).collect()}
     assert set(found.values()) == {"aaaaa" + "b" * 7}
+
+
+# 2 document fingerprints
+
+
+def test_fingerprints_of_no_texts(spark, tmp_path):
+    empty = secrets_frame(spark, [])
+    assert fingerprints.compare_with_next(empty).collect() == []
+    empty.repartition(3).write.parquet(str(tmp_path / "none"))
+    assert fingerprints.compare_with_next(spark.read.parquet(str(tmp_path / "none"))).collect() == []
+    assert fingerprints.compare_with_next(empty.repartition(2)).collect() == []
