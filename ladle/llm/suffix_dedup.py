@@ -4,10 +4,12 @@ A string of `length` bytes that occurs twice holds, in both places, the same sma
 `GRAM`-byte gram at the same offset (its anchor). So only suffixes around anchors whose gram occurs
 more than once need sorting:
 
-1. each text's anchors, with the hash of the gram and the hash of the context (every byte that a
-   window over this anchor can hold);
+1. each text's anchors, with the hash of the gram and the digest of the context (every byte that a
+   window over this anchor can hold: 128 bits of SHA-256, in two columns);
 2. grams are counted; anchors whose gram stands once drop out, and where a whole context stands
-   twice every window over it is repeated;
+   twice every window over it is repeated. Texts of any length and number repeat so, and carrying
+   their bytes to each other would cost the repeats several times over, so equal digests stand for
+   equal contexts here; the grams' short hashes are never relied on;
 3. one occurrence of each remaining context is read again, and the contexts of a gram are sorted as
    suffixes that run right from the anchor and, mirrored, left from it. Suffixes are compared by
    prefix polynomial hashes: a binary search finds how far two agree, so a comparison in the
@@ -22,15 +24,19 @@ copies count once. The contexts of a gram that has more than `MANY` are dealt fu
 that share a window share the `length - reach` bytes before the anchor with the gram, or the `reach`
 bytes from it on (`reach`: see `halves`), so those that agree in either meet.
 
+A row is told from others by 124 bits of the SHA-256 of its text and its id. Rows that agree in both
+lose the same bytes, so they need no telling apart.
+
 Defined cases: a null text is empty and loses nothing; repeated rows are documents of their own, so
-both lose what they share; a null id is an id like any other; texts shorter than `length` lose
+both lose what they share; a null id is an id like any other, and different texts may have one id; texts shorter than `length` lose
 nothing; long texts are cut into overlapping pieces of bounded size for hashing only; an empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -279,17 +285,22 @@ def merged(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _anchor_rows(length: int, gram: int):
+def context_digest(left: int, context: bytes) -> bytes:
+    """16 bytes for a context with `left` bytes before its anchor."""
+    return hashlib.sha256(left.to_bytes(4, "little") + context).digest()[:16]
+
+
+def _anchor_rows(length: int, gram: int, digest: Callable[[int, bytes], bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_bytes(batch.column(2))
             rows, places, hashes = anchors_of(data, offsets, length, gram, PIECE)
-            raw = data.tobytes()
-            digest = xxhash.xxh64_intdigest
-            contexts = np.fromiter((digest(c, left) for left, _, c in contexts_of(raw, offsets, rows, places, length, gram)), np.uint64, len(rows))
+            digests = b"".join(digest(left, c) for left, _, c in contexts_of(data.tobytes(), offsets, rows, places, length, gram))
+            contexts = np.frombuffer(digests, np.int64).reshape(-1, 2)
+            whose = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array((places - offsets[rows]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(contexts.view(np.int64))],
-                ["id", "tk", "pos", "g", "c"],
+                [batch.column(0).take(whose), batch.column(1).take(whose), pa.array((places - offsets[rows]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(contexts[:, 0].copy()), pa.array(contexts[:, 1].copy())],
+                ["k1", "k2", "pos", "g", "c", "v"],
             )
 
     return run
@@ -314,13 +325,13 @@ def _context_rows(length: int, gram: int):
             data, offsets = string_bytes(batch.column("text"))
             items = batch.column("items")
             counts = items.value_lengths().to_numpy(zero_copy_only=False)
-            pos, g, c, many = (x.to_numpy(zero_copy_only=False) for x in items.flatten().flatten())
+            pos, g, c, v, many = (x.to_numpy(zero_copy_only=False) for x in items.flatten().flatten())
             rows = np.repeat(np.arange(len(counts)), counts)
-            out: list[tuple[int, int, int, int, bytes]] = []
+            out: list[tuple[int, int, int, int, int, bytes]] = []
             size = 0
-            for (left, _, context), a, b, split in zip(contexts_of(data.tobytes(), offsets, rows, pos + offsets[rows], length, gram), g.tolist(), c.tolist(), many.tolist()):
+            for (left, _, context), a, b, d, split in zip(contexts_of(data.tobytes(), offsets, rows, pos + offsets[rows], length, gram), g.tolist(), c.tolist(), v.tolist(), many.tolist()):
                 keys = [digest(h, a & 0xFFFF) - (1 << 63) for h in halves(left, context, length, gram)] if split else [a]
-                out += [(k, a, b, left, context) for k in keys]
+                out += [(k, a, b, d, left, context) for k in keys]
                 size += len(context) * len(keys)
                 if size >= SORT_BYTES:
                     yield _rows_of(out)
@@ -330,41 +341,37 @@ def _context_rows(length: int, gram: int):
     return run
 
 
-def _rows_of(out: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
-    k, g, c, left, context = zip(*out) if out else ((), (), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(g, pa.int64()), pa.array(c, pa.int64()), pa.array(left, pa.int32()), pa.array(context, pa.binary())], ["key", "g", "c", "left", "context"])
+def _rows_of(out: list[tuple[int, int, int, int, int, bytes]]) -> pa.RecordBatch:
+    *numbers, left, context = zip(*out) if out else ((),) * 6
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in numbers), pa.array(left, pa.int32()), pa.array(context, pa.binary())], ["key", "g", "c", "v", "left", "context"])
 
 
 def _resolve(length: int, gram: int):
     """Rows come by key and gram; whole groups are sorted together, about `SORT_BYTES` at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
-            groups, at = [], -1
-            last = before = None
-            kept = []
+        def solved(rows: list[tuple[int, int, int, int, int, bytes]]) -> pa.RecordBatch:
+            groups, at, last = [], -1, None
             for row in rows:
                 if row[:2] != last:
                     at, last = at + 1, row[:2]
-                if row[:3] != before:
-                    before = row[:3]
-                    kept.append(row)
-                    groups.append(at)
-            _, g, c, left, contexts = zip(*kept)
+                groups.append(at)
+            _, g, c, v, left, contexts = zip(*rows)
             low, high = repeated_offsets(np.array(groups), np.array(left, np.int64), list(contexts), length, gram)
             found = high >= 0
-            g, c = np.array(g, np.int64), np.array(c, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(g[found]), pa.array(c[found]), pa.array(low[found].astype(np.int32)), pa.array(high[found].astype(np.int32))], ["g", "c", "low", "high"])
+            return pa.RecordBatch.from_arrays([*(pa.array(np.array(x, np.int64)[found]) for x in (g, c, v)), *(pa.array(x[found].astype(np.int32)) for x in (low, high))], ["g", "c", "v", "low", "high"])
 
-        rows: list[tuple[int, int, int, int, bytes]] = []
+        rows: list[tuple[int, int, int, int, int, bytes]] = []
         size = 0
         for batch in batches:
             for row in zip(*(x.to_pylist() for x in batch.columns)):
+                if rows and row[:4] == rows[-1][:4]:
+                    continue
                 if size >= SORT_BYTES and row[:2] != rows[-1][:2]:
                     yield solved(rows)
                     rows, size = [], 0
                 rows.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if rows:
             yield solved(rows)
 
@@ -399,41 +406,46 @@ def _cut(names: list[str], as_text: bool):
     return run
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+def remove_repeats(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, as_text: bool = False, digest: Callable[[int, bytes], bytes] = context_digest
+) -> DataFrame:
     """The columns of df without its text, and n_bytes, spans (array<struct<start, end>> of removed
     bytes, maximal and in order) and kept (binary: the other bytes in order; as_text: a string of them,
     without what a cut has left of a character)."""
     ensure_checkpoint_dir(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = {c: f"c{i}" for i, c in enumerate(df.columns) if c != text_col}
+    row, context = ["k1", "k2"], ["g", "c", "v"]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.hash(text).alias("tk"), text.alias("text"), *[F.col(f"`{c}`").alias(a) for c, a in names.items()])
-    key = names[id_col]
-    kind = docs.schema[key].dataType.simpleString()
-    anchors = docs.select(key, "tk", "text").mapInArrow(tidy(_anchor_rows(length, gram)), f"id {kind}, tk int, pos int, g bigint, c bigint")
+    docs = df.select(F.sha2(text, 256).alias("sha"), text.alias("text"), *[F.col(f"`{c}`").alias(a) for c, a in names.items()])
+    docs = docs.select(F.xxhash64(names[id_col], "sha").alias("k1"), F.conv(F.substring("sha", 1, 15), 16, 10).cast("bigint").alias("k2"), "text", *names.values())
+    anchors = docs.select(*row, "text").mapInArrow(tidy(_anchor_rows(length, gram, digest)), "k1 bigint, k2 bigint, pos int, g bigint, c bigint, v bigint")
     # counts are made before the shuffle, so a gram that stands everywhere is a row for each task; they
     # are written down before they are joined back, as Spark splits a skewed join of plain shuffles only
-    often = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("all"), F.min("c").alias("low"), F.max("c").alias("high")).filter("all > 1").select("g", (F.col("low") != F.col("high")).alias("several")).checkpoint()
+    differ = (F.min("c") != F.max("c")) | (F.min("v") != F.max("v"))
+    often = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("all"), differ.alias("several")).filter("all > 1").select("g", "several").checkpoint()
     found = anchors.join(often, "g").checkpoint()
-    same = found.filter("several").groupBy("g", "c").agg((F.count(F.lit(1)) > 1).alias("whole"))
-    mixed = same.groupBy("g").agg(F.min("whole").alias("all_whole"), (F.count(F.lit(1)) > MANY).alias("many")).filter("not all_whole").select(F.col("g").alias("m_g"), F.lit(True).alias("mixed"), "many")
+    same = found.filter("several").groupBy(*context).agg((F.count(F.lit(1)) > 1).alias("whole")).checkpoint()
+    mixed = same.groupBy("g").agg(F.min("whole").alias("all_whole"), (F.count(F.lit(1)) > MANY).alias("many")).filter("not all_whole").select("g", F.lit(True).alias("mixed"), "many").checkpoint()
     no = F.lit(False)
-    known = same.join(mixed, same["g"] == mixed["m_g"], "left").select("g", "c", "whole", F.coalesce("mixed", no).alias("mixed"), F.coalesce("many", no).alias("many")).checkpoint()
-    shared = found.filter("several").join(known, ["g", "c"]).select("id", "tk", "pos", "g", "c", "whole", "mixed", "many")
-    shared = shared.unionByName(found.filter("not several").select("id", "tk", "pos", "g", "c", F.lit(True).alias("whole"), no.alias("mixed"), no.alias("many"))).checkpoint()
-
-    one = shared.filter("mixed").groupBy("g", "c").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "tk", "pos")).alias("x"), F.first("many").alias("many"))
-    asked = one.groupBy(F.col("x.id").alias("id"), F.col("x.tk").alias("xtk")).agg(F.collect_list(F.struct(F.col("x.pos").alias("pos"), "g", "c", "many")).alias("items"))
-    read = docs.join(asked, docs[key].eqNullSafe(asked["id"]) & (docs["tk"] == asked["xtk"])).select("tk", "text", *names.values(), "items")
-    contexts = read.mapInArrow(tidy(_context_rows(length, gram)), "key bigint, g bigint, c bigint, left int, context binary")
-    found_in = contexts.repartition(n, "key").sortWithinPartitions("key", "g", "c").mapInArrow(tidy(_resolve(length, gram)), "g bigint, c bigint, low int, high int")
+    known = same.join(mixed, "g", "left").select(*context, "whole", F.coalesce("mixed", no).alias("mixed"), F.coalesce("many", no).alias("many")).checkpoint()
+    shared = found.filter("several").join(known, context).select(*row, "pos", *context, "whole", "mixed", "many")
+    shared = shared.unionByName(found.filter("not several").select(*row, "pos", *context, F.lit(True).alias("whole"), no.alias("mixed"), no.alias("many"))).checkpoint()
+
+    one = shared.filter("mixed").groupBy(*context).agg(F.min(F.struct(*row, "pos")).alias("x"), F.first("many").alias("many"))
+    asked = one.groupBy("x.k1", "x.k2").agg(F.collect_list(F.struct(F.col("x.pos").alias("pos"), *context, "many")).alias("items"))
+    # rows of one key have one text: each context is read from every one of them, and met once when sorted
+    read = docs.join(asked, row).select("text", "items")
+    contexts = read.mapInArrow(tidy(_context_rows(length, gram)), "key bigint, g bigint, c bigint, v bigint, left int, context binary")
+    found_in = contexts.repartition(n, "key").sortWithinPartitions("key", *context).mapInArrow(tidy(_resolve(length, gram)), "g bigint, c bigint, v bigint, low int, high int")
     # a context may be found by either of the keys
-    solved = found_in.groupBy("g", "c").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    solved = found_in.groupBy(*context).agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
-    part = shared.filter("mixed and not whole").join(solved, ["g", "c"]).select("id", "tk", (F.col("pos") - F.col("high")).alias("lo"), (F.col("pos") + length - F.col("low")).alias("hi"))
-    whole = shared.filter("whole").select("id", "tk", (F.col("pos") - (length - gram)).alias("lo"), (F.col("pos") + length).alias("hi"))
-    per_doc = whole.unionAll(part).groupBy("id", F.col("tk").alias("xtk")).agg(F.collect_list(F.struct("lo", "hi")).alias("items"))
-    final = docs.join(per_doc, docs[key].eqNullSafe(per_doc["id"]) & (docs["tk"] == per_doc["xtk"]), "left").select("tk", "text", *names.values(), "items")
+    part = shared.filter("mixed and not whole").join(solved, context).select(*row, (F.col("pos") - F.col("high")).alias("lo"), (F.col("pos") + length - F.col("low")).alias("hi"))
+    whole = shared.filter("whole").select(*row, (F.col("pos") - (length - gram)).alias("lo"), (F.col("pos") + length).alias("hi"))
+    # a set: rows of one key bring the same spans
+    per_doc = whole.unionAll(part).groupBy(*row).agg(F.collect_set(F.struct("lo", "hi")).alias("items"))
+    final = docs.join(per_doc, row, "left").select("text", *names.values(), "items")
     schema = ", ".join([*(f"{a} {docs.schema[a].dataType.simpleString()}" for a in names.values()), f"n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept {'string' if as_text else 'binary'}"])
     out = final.mapInArrow(tidy(_cut(list(names.values()), as_text)), schema)
     return out.select(*[F.col(a).alias(c) for c, a in names.items()], "n_bytes", "spans", "kept")

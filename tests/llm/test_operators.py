@@ -518,6 +518,43 @@ def test_repeats_odd_rows(spark):
     assert suffix_dedup.remove_repeats(frame(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("good", [slice(0, 8), slice(8, 16)])
+def test_repeats_with_half_a_digest(spark, good):
+    """Contexts whose digests agree in one column are told apart by the other."""
+
+    def digest(left, context):
+        whole = suffix_dedup.context_digest(left, context)
+        return bytes(x if i in range(16)[good] else 0 for i, x in enumerate(whole))
+
+    rng = random.Random(7)
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randint(0, 300))) for _ in range(12)]
+    for _ in range(12):
+        a, b = rng.choice(texts), rng.choice(texts)
+        texts.append(b[: rng.randint(0, len(b))] + a[rng.randint(0, 60) :][: rng.randint(0, 120)])
+    cut = suffix_dedup.remove_repeats(frame(spark, texts), length=24, gram=6, digest=digest).collect()
+    got = {r.doc_id: bytes(r.kept) for r in cut}
+    assert [got[i] for i in range(len(texts))] == brute_kept(texts, 24)
+
+
+@pytest.fixture(scope="module")
+def equal_hashes(spark):
+    """Two texts of 320 bytes with the same 32-bit hash."""
+    n = spark.range(400_000).select(F.concat(*[F.sha2(F.concat_ws("-", F.col("id"), F.lit(i)), 256) for i in range(5)]).alias("text"))
+    pair = n.groupBy(F.hash("text").alias("h")).agg(F.sort_array(F.collect_list("text")).alias("texts")).filter("size(texts) > 1").orderBy("h").first()
+    return pair.texts[0], pair.texts[1]
+
+
+@pytest.mark.parametrize("ids", [[None, None, 5], [3, 3, 5], [3, 3, 3]])
+def test_repeats_of_rows_with_one_id(spark, equal_hashes, ids):
+    a, b = equal_hashes
+    c = "begins otherwise " + a
+    rows = suffix_dedup.remove_repeats(frame(spark, [a, b, c], ids)).collect()
+    remaining = sorted(bytes(r.kept) for r in rows)
+    assert remaining == sorted([b"", b.encode(), b"begins otherwise "])
+    twice = suffix_dedup.remove_repeats(frame(spark, [a, a, b, c], [ids[0], ids[0], ids[1], ids[2]])).collect()
+    assert sorted(bytes(r.kept) for r in twice) == sorted([b"", b"", b.encode(), b"begins otherwise "])
+
+
 def test_suffixes_are_sorted():
     rng = random.Random(2)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(200)]
