@@ -108,33 +108,39 @@ def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def every_limit(sums: DataFrame) -> DataFrame:
-    """context_limit from 0 to the longest length, and for each n_docs (of that length), docs_longer,
-    docs_at_most, tokens_at_most, tokens_longer, tokens_total, tokens_kept, and percentiles: the whole
-    percents of the documents of which it is the quantile (the smallest length that they don't exceed)."""
+    """Rows that together cover every limit from 0 on: context_limit, last_limit (null: no end) and what holds
+    from the one to the other: docs_longer, docs_at_most, tokens_at_most, tokens_longer, tokens_total. A limit x
+    between them keeps tokens_at_most + x * docs_longer; tokens_kept is that for context_limit. n_docs have
+    exactly context_limit tokens; percentiles are the whole percents of the documents of which it is the
+    quantile (the smallest length that they don't exceed).
+
+    There is a row for each length that occurs, and one for the limits below them, so a single very long text
+    adds one row."""
     ranged = sums.withColumn("range", F.floor(F.col("n_tokens") / RANGE))
     firsts = ranged.groupBy("range").agg(F.min("n_tokens").alias("first"))
     later = Window.orderBy("range").rowsBetween(1, 1)  # a row for each 128 lengths
     after = firsts.select("range", F.min("first").over(later).alias("after"))
     inner = Window.partitionBy("range").orderBy("n_tokens").rowsBetween(1, 1)
     ends = ranged.withColumn("following", F.min("n_tokens").over(inner)).join(after, "range")
-    # limits up to the next length that occurs, and below the first one
-    starts = ends.withColumn("below", F.col("docs_at_most") == F.col("n_docs"))
-    limits = F.sequence(F.when(F.col("below"), F.lit(0)).otherwise(F.col("n_tokens")), F.coalesce(F.col("following"), F.col("after"), F.col("n_tokens") + 1) - 1)
-    rows = starts.withColumn("context_limit", F.explode(limits))
-    here = F.col("context_limit") >= F.col("n_tokens")
+    own = F.struct(F.col("n_tokens").alias("from"), (F.coalesce("following", "after") - 1).alias("to"))
+    below = F.struct(F.lit(0).cast("bigint").alias("from"), (F.col("n_tokens") - 1).alias("to"))
+    shortest = (F.col("docs_at_most") == F.col("n_docs")) & (F.col("n_tokens") > 0)
+    rows = ends.withColumn("gap", F.explode(F.when(shortest, F.array(below, own)).otherwise(F.array(own))))
+    here = F.col("gap.from") == F.col("n_tokens")
     total = F.col("docs_at_most") + F.col("docs_longer")
     docs_longer = F.when(here, F.col("docs_longer")).otherwise(total)
     at_most = F.when(here, F.col("tokens_at_most")).otherwise(F.lit(0))
     first, last = F.floor((F.col("docs_at_most") - F.col("n_docs")) * 100 / total) + 1, F.floor(F.col("docs_at_most") * 100 / total)
-    percents = F.when((F.col("context_limit") == F.col("n_tokens")) & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+    percents = F.when(here & (first <= last), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     return rows.select(
-        "context_limit",
-        F.when(F.col("context_limit") == F.col("n_tokens"), F.col("n_docs")).otherwise(F.lit(0)).alias("n_docs"),
+        F.col("gap.from").alias("context_limit"),
+        F.col("gap.to").alias("last_limit"),
+        F.when(here, F.col("n_docs")).otherwise(F.lit(0)).alias("n_docs"),
         docs_longer.alias("docs_longer"),
         (total - docs_longer).alias("docs_at_most"),
         at_most.alias("tokens_at_most"),
         (F.col("tokens_total") - at_most).alias("tokens_longer"),
         "tokens_total",
-        (at_most + F.col("context_limit") * docs_longer).alias("tokens_kept"),
+        (at_most + F.col("gap.from") * docs_longer).alias("tokens_kept"),
         percents.alias("percentiles"),
     )

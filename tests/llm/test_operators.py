@@ -578,6 +578,31 @@ def test_misled_hashes_are_found(monkeypatch):
 # 8 token counts
 
 
+def limits_hold(rows, lengths):
+    """Every limit is in one row, and what the row says of it is what a count says."""
+    rows = sorted(rows, key=lambda r: r.context_limit)
+    ordered, longest = sorted(lengths), max(lengths)
+    assert [r.context_limit for r in rows] == sorted({0, *lengths})
+    assert [r.last_limit for r in rows] == [*(r.context_limit - 1 for r in rows[1:]), None]
+    for r in rows:
+        n = r.context_limit
+        assert r.n_docs == lengths.count(n) and r.tokens_kept == sum(min(x, n) for x in lengths) and r.tokens_total == sum(lengths)
+        assert r.percentiles == [p for p in range(1, 101) if ordered[-(-p * len(lengths) // 100) - 1] == n]
+        end = 2 * longest if r.last_limit is None else r.last_limit
+        for x in {n, (n + end) // 2, end}:
+            assert r.docs_longer == sum(y > x for y in lengths) and r.docs_at_most == sum(y <= x for y in lengths)
+            assert r.tokens_at_most == sum(y for y in lengths if y <= x) and r.tokens_longer == sum(y for y in lengths if y > x)
+            assert r.tokens_at_most + x * r.docs_longer == sum(min(y, x) for y in lengths)
+
+
+def test_limits_below_and_between_the_lengths(spark):
+    """Neither a row for every limit nor an array of them: one text of ten million tokens adds one row."""
+    counted = spark.createDataFrame([(3, 2), (7, 1), (500, 96), (10_000_000, 1)], "n_tokens bigint, n_docs bigint")
+    rows = token_counts.every_limit(token_counts.suffix_sums(counted)).collect()
+    assert len(rows) == 5
+    limits_hold(rows, [3, 3, 7, *[500] * 96, 10_000_000])
+
+
 def test_token_counts(spark):
     texts = [*ODD, *prose(50, 12), " ".join(prose(20, 12))]
     encode = token_counts.encoding(*token_counts.rank_bytes()).encode_ordinary
@@ -587,15 +612,7 @@ def test_token_counts(spark):
         n = r.n_tokens
         assert r.n_docs == lengths.count(n) and r.docs_longer == sum(x > n for x in lengths) and r.tokens_longer == sum(x for x in lengths if x > n)
         assert r.tokens_kept == sum(min(x, n) for x in lengths) and r.tokens_total == sum(lengths) and r.docs_at_most == sum(x <= n for x in lengths)
-    rows = token_counts.every_limit(sums).collect()
-    assert sorted(r.context_limit for r in rows) == list(range(max(lengths) + 1))
-    ordered = sorted(lengths)
-    for r in rows:
-        n = r.context_limit
-        assert r.n_docs == lengths.count(n) and r.docs_longer == sum(x > n for x in lengths) and r.docs_at_most == sum(x <= n for x in lengths)
-        assert r.tokens_at_most == sum(x for x in lengths if x <= n) and r.tokens_longer == sum(x for x in lengths if x > n) and r.tokens_total == sum(lengths)
-        assert r.tokens_kept == sum(min(x, n) for x in lengths)
-        assert r.percentiles == [p for p in range(1, 101) if ordered[-(-p * len(lengths) // 100) - 1] == n]
+    limits_hold(token_counts.every_limit(sums).collect(), lengths)
     q = {r.share: r.n_tokens for r in token_counts.quantiles(sums, [0.5, 1.0]).collect()}
     assert q[1.0] == max(lengths) and q[0.5] == sorted(lengths)[(len(lengths) - 1) // 2]
     for r in token_counts.at_limits(sums, [0, 7, 10**6]).collect():

@@ -89,7 +89,8 @@ def test_op8(spark, docs):
     encode = token_counts.encoding(*token_counts.rank_bytes()).encode_ordinary
     lengths = sorted(len(encode(t)) for t in docs.values())
     got = sorted(queries.QUERIES["op8_token_counts"](spark, SF).collect(), key=lambda r: r.context_limit)
-    assert [r.context_limit for r in got] == list(range(lengths[-1] + 1))
+    assert [r.context_limit for r in got] == sorted({0, *lengths})
+    assert [r.last_limit for r in got] == [*(r.context_limit - 1 for r in got[1:]), None]
     for r in got[:: max(1, len(got) // 300)]:
         n = r.context_limit
         assert r.tokens_kept == sum(min(x, n) for x in lengths) and r.docs_longer == sum(x > n for x in lengths) and r.n_docs == lengths.count(n)
