@@ -44,8 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ladle.llm.common import string_bytes, tidy
-from ladle.session import ensure_checkpoint_dir
+from ladle.llm.common import string_bytes, tidy, written
 
 LENGTH, GRAM = 200, 40
 PIECE = 1 << 18
@@ -412,7 +411,6 @@ def remove_repeats(
     """The columns of df without its text, and n_bytes, spans (array<struct<start, end>> of removed
     bytes, maximal and in order) and kept (binary: the other bytes in order; as_text: a string of them,
     without what a cut has left of a character)."""
-    ensure_checkpoint_dir(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = {c: f"c{i}" for i, c in enumerate(df.columns) if c != text_col}
     row, context = ["k1", "k2"], ["g", "c", "v"]
@@ -423,14 +421,14 @@ def remove_repeats(
     # counts are made before the shuffle, so a gram that stands everywhere is a row for each task; they
     # are written down before they are joined back, as Spark splits a skewed join of plain shuffles only
     differ = (F.min("c") != F.max("c")) | (F.min("v") != F.max("v"))
-    often = anchors.groupBy("g").agg(F.count(F.lit(1)).alias("all"), differ.alias("several")).filter("all > 1").select("g", "several").checkpoint()
-    found = anchors.join(often, "g").checkpoint()
-    same = found.filter("several").groupBy(*context).agg((F.count(F.lit(1)) > 1).alias("whole")).checkpoint()
-    mixed = same.groupBy("g").agg(F.min("whole").alias("all_whole"), (F.count(F.lit(1)) > MANY).alias("many")).filter("not all_whole").select("g", F.lit(True).alias("mixed"), "many").checkpoint()
+    often = written(anchors.groupBy("g").agg(F.count(F.lit(1)).alias("all"), differ.alias("several")).filter("all > 1").select("g", "several"))
+    found = written(anchors.join(often, "g"))
+    same = written(found.filter("several").groupBy(*context).agg((F.count(F.lit(1)) > 1).alias("whole")))
+    mixed = written(same.groupBy("g").agg(F.min("whole").alias("all_whole"), (F.count(F.lit(1)) > MANY).alias("many")).filter("not all_whole").select("g", F.lit(True).alias("mixed"), "many"))
     no = F.lit(False)
-    known = same.join(mixed, "g", "left").select(*context, "whole", F.coalesce("mixed", no).alias("mixed"), F.coalesce("many", no).alias("many")).checkpoint()
+    known = written(same.join(mixed, "g", "left").select(*context, "whole", F.coalesce("mixed", no).alias("mixed"), F.coalesce("many", no).alias("many")))
     shared = found.filter("several").join(known, context).select(*row, "pos", *context, "whole", "mixed", "many")
-    shared = shared.unionByName(found.filter("not several").select(*row, "pos", *context, F.lit(True).alias("whole"), no.alias("mixed"), no.alias("many"))).checkpoint()
+    shared = written(shared.unionByName(found.filter("not several").select(*row, "pos", *context, F.lit(True).alias("whole"), no.alias("mixed"), no.alias("many"))))
 
     one = shared.filter("mixed").groupBy(*context).agg(F.min(F.struct(*row, "pos")).alias("x"), F.first("many").alias("many"))
     asked = one.groupBy("x.k1", "x.k2").agg(F.collect_list(F.struct(F.col("x.pos").alias("pos"), *context, "many")).alias("items"))
