@@ -48,7 +48,7 @@ def test_language_accuracy(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_agrees(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cur = con.execute(queries.ORACLE[name])
