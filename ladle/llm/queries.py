@@ -112,16 +112,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 def _license_sql() -> str:
     word = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
     upper, lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
-    sets = ", ".join(f"({i}, '{label}', {words}, {need}, {span}, {required}, CAST({excluded} AS VARCHAR[]))" for i, label, words, need, span, required, excluded in license_scan.template_sets())
+    templates, windows = license_scan.template_sets()
+    sets = ", ".join(f"({i}, '{label}', {words}, {need}, {win}, {[f' {p} ' for p in telling]})" for i, label, words, need, win, telling in templates)
+    wins = ", ".join(f"({no}, {anchor}, {before}, {after})" for no, (anchor, before, after) in enumerate(windows))
     hits = " UNION ALL ".join(
         f"SELECT doc_id, '{label}' AS label, CAST(i - 1 AS BIGINT) AS place FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE " + " AND ".join(f"w[i + {k}] = '{part}'" for k, part in enumerate(phrase.split(" ")))
         for phrase, label in license_scan.PHRASES
     )
     return f"""WITH x AS (SELECT doc_id, translate(coalesce(text, ''), {upper}, {lower}) AS t FROM documents), d AS (SELECT doc_id, regexp_extract_all(t, {word}) AS w FROM x),
         h AS ({hits}), b AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list_sort(list(DISTINCT label)) AS labels FROM h GROUP BY doc_id),
-        tp(tid, label, words, need, span, required, excluded) AS (VALUES {sets}), y AS (SELECT doc_id, list_transform(string_split(t, chr(10)), lambda line: regexp_extract_all(line, {word})) AS ws FROM x),
-        l AS (SELECT doc_id, span, list_distinct(flatten(ws[i : i + span - 1])) AS w FROM (SELECT doc_id, ws, span, unnest(range(1, len(ws) + 1)) AS i FROM y, (SELECT DISTINCT span FROM tp))),
-        m AS (SELECT doc_id, label, len(list_intersect(w, words)) / len(words) AS c FROM l JOIN tp ON l.span = tp.span WHERE list_has_all(w, required) AND NOT list_has_any(w, excluded) AND len(list_intersect(w, words)) >= need), f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM m GROUP BY doc_id)
+        tp(tid, label, words, need, win, telling) AS (VALUES {sets}), wn(win, anchor, before, after) AS (VALUES {wins}),
+        l AS (SELECT doc_id, win, w[greatest(i - before, 1) : i + len(anchor) - 1 + after] AS b FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) JOIN wn ON w[i] = anchor[1] WHERE w[i : i + len(anchor) - 1] = anchor),
+        m AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), words)) / len(words) AS c FROM l JOIN tp ON l.win = tp.win WHERE len(list_filter(telling, lambda p: NOT contains(' ' || array_to_string(b, ' ') || ' ', p))) = 0 AND len(list_intersect(list_distinct(b), words)) >= need),
+        f AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS c FROM m GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, b.lo AS first_word, b.hi AS last_word, array_to_string(coalesce(b.labels, []), ',') AS base_labels,
         array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ',') AS labels, CASE WHEN b.n > 0 THEN 1.0::DOUBLE ELSE coalesce(f.c, 0) END AS score
         FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN f ON d.doc_id = f.doc_id"""

@@ -37,13 +37,17 @@ def brute_licenses(text):
     words = re.findall(license_scan.WORD, text)
     hits = [(i, label) for phrase, label in license_scan.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     labels, best = {label for _, label in hits}, 0.0
-    lines = text.split("\n")
-    for i in range(len(lines)):
-        for _, label, template, need, span, required, excluded in license_scan.template_sets():
-            block = set(re.findall(license_scan.WORD, "\n".join(lines[i : i + span])))
-            if len(block & set(template)) >= need and set(required) <= block and not set(excluded) & block:
+    templates, windows = license_scan.template_sets()
+    for i in range(len(words)):
+        for _, label, template, need, win, telling in templates:
+            anchor, before, after = windows[win]
+            if words[i : i + len(anchor)] != anchor:
+                continue
+            block = words[max(0, i - before) : i + len(anchor) + after]
+            shared = len(set(block) & set(template))
+            if shared >= need and all(any(block[k : k + len(p)] == p for k in range(len(block))) for p in (t.split(" ") for t in telling)):
                 labels.add(label)
-                best = max(best, len(block & set(template)) / len(template))
+                best = max(best, shared / len(template))
     at = [i for i, _ in hits]
     return len(words), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits})), ",".join(sorted(labels)), 1.0 if hits else best
 
@@ -51,10 +55,12 @@ def brute_licenses(text):
 def test_licenses(spark):
     rng = random.Random(3)
     texts = [*ODD, "CC-by\nx ALL Rights\nreserved", "general public license general PUBLIC license", "Released under the MIT License.", "under the MIT released X license", "permission is hereby granted"]
-    pool = [w for _, _, words, *_ in license_scan.template_sets() for w in words]
-    for _ in range(90):
-        _, _, words, _, _, required, _ = rng.choice(license_scan.template_sets())
-        texts.append(rng.choice(["\n", "\n\n\n\nx\n"]).join(" ".join(rng.sample(words, k=max(1, int(len(words) * rng.uniform(0.6, 1)))) + rng.sample(pool, 2) + rng.choice([required, []])) for _ in range(2)))
+    sets, _ = license_scan.template_sets()
+    pool = [w for _, _, words, *_ in sets for w in words]
+    for _ in range(120):
+        _, _, words, _, _, telling = rng.choice(sets)
+        some = lambda: rng.sample(words, k=max(1, int(len(words) * rng.uniform(0.3, 0.6))))
+        texts.append(rng.choice(["\n", "\n\n\n\nx\n"]).join(" ".join([*some(), *rng.choice([telling, telling[:1], []]), *some(), *rng.sample(pool, 2)]) for _ in range(2)))
     got = {r[0]: tuple(r[1:]) for r in license_scan.scan_licenses(frame(spark, texts)).collect()}
     for i, t in enumerate(texts):
         want = brute_licenses(t)
@@ -76,6 +82,15 @@ NOTICES = {
     "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "gpl,gpl-3.0",
     "Licensed under CC BY-NC 4.0": "cc-by,cc-by-nc-4.0",
     "L\u0130CENSED UNDER THE M\u0130T LICENSE": "",
+    "This program is licensed under the GNU General Public License, version 2.\nSee section 3 for details.": "gpl,gpl-2.0",
+    "This work is licensed under the GNU General Public License, version 3.\nSee section 2.": "gpl,gpl-3.0",
+    "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\nSee version 3 of this file.": "gpl,gpl-2.0",
+    "Licensed under the BSD License\nMIT course notes": "bsd",
+    "Licensed under the Apache License, Version 1.1\nChapter 2": "",
+    "Licensed under the Apache\nLicense,\nVersion 2.0": "apache-2.0",
+    "Licensed under the\nBSD 3-Clause\n\nLicense": "bsd",
+    "Licensed under CC BY-NC-SA 4.0": "cc-by",
+    "// Licensed under the Mozilla Public\n// License, version 2.0": "mpl-2.0",
 }
 
 
