@@ -31,7 +31,7 @@ def test_wpath(spark, tax):
     ic = dict(rows(K.information_content(reach), "node", "ic"))
     assert ic["m"] == pytest.approx(0.221849, abs=1e-6)
     pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "a"), ("a", "x")], "a string, b string")
-    sim = {(r.a, r.b): r.sim for r in K.wpath(pairs, reach, "root").collect()}
+    sim = {(r.a, r.b): r.sim for r in K.wpath(pairs, C.ancestors(tax), "root").collect()}
     assert sim["a", "b"] == pytest.approx(0.368333, abs=1e-5)
     assert sim["a", "c"] == pytest.approx(0.25)
     assert sim["a", "a"] == 1 and sim["a", "x"] == 0
@@ -43,6 +43,22 @@ def test_closure_of_a_cycle_ends(spark):
     assert rows(C.cyclic_rest(e), "src", "dst") == [("a", "b"), ("b", "a")]
 
 
+def test_ancestor_labels_hold_the_closure(spark, tax):
+    cycle = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("a", "d"), ("x", "x"), ("y", "d"), ("y", "a"), ("y", "a")]
+    for edges in (tax, spark.createDataFrame(cycle, "src string, dst string"), tax.limit(0)):
+        flat = C.ancestors(edges).select(F.col("node").alias("src"), F.inline("ups").alias("dst", "dist"))
+        assert rows(flat, "src", "dst", "dist") == rows(C.closure(edges), "src", "dst", "dist")
+
+
+def test_lowest_common_ancestor_ties(spark):
+    # m and n are equally deep; m has more below it, so n tells more. p and q tie in all but the name.
+    edges = [("a", "m"), ("a", "n"), ("b", "m"), ("b", "n"), ("c", "m"), ("d", "p"), ("d", "q"), ("e", "p"), ("e", "q"), ("m", "root"), ("n", "root"), ("p", "root"), ("q", "root"), ("z", "alone")]
+    labels = C.ancestors(spark.createDataFrame(edges, "src string, dst string"))
+    pairs = spark.createDataFrame([("a", "b"), ("d", "e"), ("a", "d"), ("a", "m"), ("z", "a"), ("a", None)], "a string, b string")
+    found = rows(K.lowest_common(pairs, labels, "root"), "a", "b", "anc", "dist")
+    assert found == [("a", "b", "n", 2), ("a", "d", "root", 4), ("a", "m", "m", 1), ("d", "e", "p", 2)]
+
+
 def test_closure_is_idempotent(spark, tax):
     once = C.closure(tax)
     twice = C.closure(once.filter("dist > 0").select("src", "dst"))
