@@ -47,6 +47,8 @@ OWN = ENDINGS = CLASSES * LEAVES // 2
 #: Words with an embedding of their own as neighbours; the rest go by their leaf.
 NEIGHBOURS, EMBED, HIDDEN, SIDES = 4096, 8, 16, (-2, -1, 1, 2)
 BATCH, RATE, LARGEST = 4096, 0.02, 4.0
+#: Added to what has no probability: e to it is nothing beside 1, yet gradients hold no numbers so small that float32 slows down.
+NEVER = -60
 SHARD_TOKENS, TRAIN_TOKENS, PART_CHARS, SCORE_ROWS = 2_000_000, 1 << 16, 1 << 20, 4096
 COUNT_KEYS, SCALE = 300_000, float(1 << 32)
 #: A word, or a run of other signs that are not white space.
@@ -54,7 +56,16 @@ TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
 def tokens_of(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    """What `TOKEN` finds in the text in lower case; most words need no search for it."""
+    out = []
+    for w in text.lower().split():
+        if w.isalnum():
+            out.append(w)
+        elif w[-1] != "_" and w[:-1].isalnum():  # one sign at the end
+            out += (w[:-1], w[-1])
+        else:
+            out += TOKEN.findall(w)
+    return out
 
 
 def signed_hash(text: str) -> int:
@@ -157,7 +168,7 @@ class Network:
 
     def __init__(self, near: int, used: np.ndarray | None = None, seed: int = 3, flat: np.ndarray | None = None):
         used = np.ones((CLASSES, LEAVES), bool) if used is None else used
-        self.off = [np.where(used.any(axis=1), 0, -80).astype(np.float32), np.where(used, 0, -80).astype(np.float32)]
+        self.off = [np.where(used.any(axis=1), 0, NEVER).astype(np.float32), np.where(used, 0, NEVER).astype(np.float32)]
         wide = len(SIDES) * EMBED
         self.shapes = [(near, EMBED), (wide, HIDDEN), (HIDDEN,), (HIDDEN + 1, CLASSES), (CLASSES, HIDDEN + 1, LEAVES)]
         if flat is None:
@@ -179,7 +190,7 @@ class Network:
         x = table[context].reshape(n, -1)
         h = np.ones((n, HIDDEN + 1), table.dtype)
         np.tanh(x @ w1 + b1, out=h[:, :HIDDEN])
-        order = np.argsort(group, kind="stable")
+        order = np.argsort(group.astype(np.int16), kind="stable")  # of short numbers by radix
         sorted_h = h[order]
         ends = [0, *np.cumsum(np.bincount(group, minlength=CLASSES)).tolist()]
         zl = np.empty((n, LEAVES), table.dtype)
@@ -220,9 +231,10 @@ class Network:
         tanh = h[:, :HIDDEN]
         dh *= 1 - tanh * tanh
         dx = dh @ w1.T
+        near, each = context.ravel(), dx.reshape(-1, EMBED)
         dtable = np.empty_like(table)
         for k in range(EMBED):
-            dtable[:, k] = sum(np.bincount(context[:, s], dx[:, s * EMBED + k], len(table)) for s in range(len(SIDES)))
+            dtable[:, k] = np.bincount(near, each[:, k], len(table))
         return [dtable, x.T @ dh, dh.sum(axis=0), h.T @ zc, dwl]
 
 

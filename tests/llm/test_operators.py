@@ -310,6 +310,24 @@ def test_lm_gradient():
             assert (up - down) / 2e-5 == pytest.approx(g[at], abs=1e-4)
 
 
+def test_lm_tokens_are_those_of_the_expression():
+    signs = [chr(c) for c in range(0x3000) if c not in range(0xD800, 0xE000)]
+    text = " ".join([*ODD[1:], "".join(signs), *(f"{c} x{c} {c}x x{c}Y a{c}{c}, {c}{c}" for c in signs)])
+    assert lm_score.tokens_of(text) == lm_score.TOKEN.findall(text.lower())
+
+
+def test_lm_gradients_hold_no_tiny_numbers():
+    """Classes and leaves without words get next to no gradient, but none below what float32 is quick with."""
+    used = np.zeros((lm_score.CLASSES, lm_score.LEAVES), bool)
+    used[:9, :5] = True
+    net = lm_score.Network(20, used)
+    rng = np.random.default_rng(1)
+    at = rng.integers(0, 20, (4096, 4)), rng.integers(0, 9, 4096), rng.integers(0, 5, 4096)
+    for g in net.gradient(*at):
+        assert not ((g != 0) & (np.abs(g) < np.finfo(np.float32).tiny)).any()
+    assert np.abs(net.gradient(*at)[4][:, :, 5:]).max() < 1e-12
+
+
 def test_lm_trains_on_every_position(spark):
     text = " ".join(prose(1, 5, 200))
     model, _ = lm_score.fit(frame(spark, [text]).select("doc_id", "text"))
