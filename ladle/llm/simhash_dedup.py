@@ -7,9 +7,10 @@ fingerprints form a BK-tree: a child hangs under the edge numbered by its Hammin
 parent, and a search follows only the edges within the radius. A shard returns a spanning forest of
 its links, components of which are joined over all shards by Spark jobs.
 
-`keep_one` groups texts by the similarity of their five-word shingles instead. Fingerprints of similar
-texts may differ in more bits than any exact search covers, so the trees' links are joined by those of
-an exact set-similarity join (`shingle_join`), and all are verified.
+`keep_one` groups texts by the similarity of their five-word shingles instead. The trees link what has
+fingerprints within the radius. Fingerprints of similar texts may differ in more bits than any exact
+search covers; those, and only those, are linked by an exact set-similarity join (`shingle_join`). All
+links are verified.
 
 The trees of all shards grow with the input, so they are not broadcast: each is built in the task
 that the shuffle brings its shard's distinct fingerprints to. Equal fingerprints are one node.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ladle.llm.common import keyed_text, tidy
 from ladle.llm.components import components
-from ladle.llm.shingle_join import READ_ROWS, SIMILARITY, candidate_links, family_cells, shingle_hashes, verified_links
+from ladle.llm.shingle_join import READ_ROWS, SIMILARITY, candidate_links, family_cells, set_print, shingle_hashes, verified_links
 from ladle.session import ensure_checkpoint_dir
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -201,11 +202,7 @@ def fingerprint_shingles(docs: DataFrame, key: str) -> DataFrame:
             for a in range(0, batch.num_rows, READ_ROWS):
                 for text in batch.column(2).slice(a, READ_ROWS).to_pylist():
                     hashes = shingle_hashes(text)
-                    ones = np.zeros(64, np.float64)
-                    for at in range(0, len(hashes), 8192):  # bounds the unpacked bits of a very long text
-                        bits = np.unpackbits(hashes[at : at + 8192].view(np.uint8), bitorder="little").reshape(-1, 64).astype(np.float32)
-                        ones += np.ones(len(bits), np.float32) @ bits
-                    prints.append(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+                    prints.append(set_print(hashes))
                     sizes.append(len(hashes))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.int64)), pa.array(np.array(sizes, np.int64))], ["doc_id", "th", "fp", "size"])
 
@@ -222,20 +219,19 @@ def _grouped(docs: DataFrame, key: str, radius: int, similarity: float) -> DataF
     """th, least, head for each distinct text of docs (key, id_text, th, text and others): its smallest id, and a
     text that stands for its group.
 
-    Links of the BK-trees and those of `candidate_links`, which hold every pair at the similarity,
-    make families; within these, pairs of texts whose shingle sets have the similarity make groups.
-    Equal texts count once. A family is verified in cells of bounded size.
+    Links of the BK-trees, which hold every pair of fingerprints within the radius, and those of
+    `candidate_links`, which hold all others that may have the similarity, make families; within these, pairs of
+    texts whose shingle sets have the similarity make groups. Equal texts count once. A family is verified in
+    cells of bounded size.
     """
     prints = fingerprint_shingles(docs, key).checkpoint()
     texts = prints.groupBy("th").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), _least().alias("least")).checkpoint()
     near = shard_links(texts.select("fp").distinct(), radius)
-    # a fingerprint is a node beside the texts that have it
-    used = near.select(F.explode(F.array("u", "v")).alias("fp")).unionAll(texts.groupBy("fp").count().filter("count > 1").select("fp")).distinct()
-    node = F.xxhash64(F.lit("fingerprint"), "fp")
-    held = texts.join(used, "fp", "left_semi").select(F.col("th").alias("u"), node.alias("v"))
-    trees = near.select(F.xxhash64(F.lit("fingerprint"), "u").alias("u"), F.xxhash64(F.lit("fingerprint"), "v").alias("v"))
-    families = components(candidate_links(docs, similarity).unionByName(held).unionByName(trees))
-    members = texts.join(families, texts["th"] == families["node"]).select("th", "size", "root", _id_text("least.id").alias("id_text"))
+    linked = components(near.unionByName(candidate_links(docs, radius, similarity))).select(F.col("node").alias("fp"), "root")
+    # texts of one fingerprint are a family, if it has no links
+    several = texts.groupBy("fp").count().filter("count > 1").select("fp").join(linked, "fp", "left_anti")
+    families = linked.unionByName(several.select("fp", F.col("fp").alias("root")))
+    members = texts.join(families, "fp").select("th", "size", "root", _id_text("least.id").alias("id_text"))
     cells = family_cells(members).select("id_text", "th", "cells")
     # all columns go along, so that the shuffle of docs is the one that the caller's join can use again
     read = docs.join(cells, ["id_text", "th"])

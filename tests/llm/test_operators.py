@@ -481,6 +481,26 @@ def test_no_pair_at_the_similarity_is_lost(spark, n_words):
     assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(texts)
 
 
+def test_trees_and_join_link_each_their_part(spark, monkeypatch):
+    """Fingerprints within the radius are linked by the trees alone, those further apart by the join alone."""
+    rng = np.random.default_rng(17)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 50_000, n)]
+    texts = []
+    for k in range(40):
+        base = words(300)
+        texts += [" ".join(base), " ".join(base + words(2) if k % 2 else base[:250])]
+    docs = frame(spark, texts).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    fps = {r.doc_id: r.fp for r in simhash_dedup.fingerprint_shingles(docs, "doc_id").collect()}
+    bits = [((fps[i] ^ fps[i + 1]) % 2**64).bit_count() for i in range(0, 80, 2)]
+    assert any(0 < b <= 4 for b in bits) and any(b > 4 for b in bits)
+    far = {(r.u, r.v) for r in shingle_join.candidate_links(docs, 4).collect()}
+    assert far == {tuple(sorted((fps[2 * k], fps[2 * k + 1]))) for k, b in enumerate(bits) if b > 4}
+    split = lambda: [r[0] != r[1] for r in np.array([g for _, g in sorted((r.doc_id, r.group_id) for r in simhash_dedup.verified_groups(frame(spark, texts)).collect())]).reshape(-1, 2)]
+    assert not any(split())
+    monkeypatch.setattr(simhash_dedup, "shard_links", lambda df, radius: df.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0))
+    assert split() == [0 < b <= 4 for b in bits]
+
+
 def test_a_large_family_is_split(spark, monkeypatch):
     """Near copies of one text, many to a shingle, verified in cells of a few texts each."""
     monkeypatch.setattr(shingle_join, "LIST", 8)
